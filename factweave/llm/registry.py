@@ -6,7 +6,9 @@ import importlib
 
 #: Query name -> module of this package that holds a function of that name.
 MODULES = {
+    "op4_media": "op4_media",
     "op6_simhash": "op6_simhash",
+    "op8_repetition": "op8_repetition",
     "op10_mixing": "op10_mixing",
 }
 
