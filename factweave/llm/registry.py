@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op4_media": "op4_media",
     "op6_simhash": "op6_simhash",
+    "op7_langid": "op7_langid",
     "op8_repetition": "op8_repetition",
     "op10_mixing": "op10_mixing",
 }
