@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> module of this package that holds a function of that name.
 MODULES = {
+    "op1_html": "op1_html",
     "op4_media": "op4_media",
     "op6_simhash": "op6_simhash",
     "op7_langid": "op7_langid",
