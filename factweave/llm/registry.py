@@ -11,6 +11,7 @@ MODULES = {
     "op6_simhash": "op6_simhash",
     "op7_langid": "op7_langid",
     "op8_repetition": "op8_repetition",
+    "op9_lm": "op9_lm",
     "op10_mixing": "op10_mixing",
 }
 
