@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_html": "op1_html",
     "op4_media": "op4_media",
+    "op5_sentencepiece": "op5_sentencepiece",
     "op6_simhash": "op6_simhash",
     "op7_langid": "op7_langid",
     "op8_repetition": "op8_repetition",
