@@ -7,6 +7,7 @@ import importlib
 #: Query name -> module of this package that holds a function of that name.
 MODULES = {
     "op1_html": "op1_html",
+    "op2_quality": "op2_quality",
     "op4_media": "op4_media",
     "op5_sentencepiece": "op5_sentencepiece",
     "op6_simhash": "op6_simhash",
