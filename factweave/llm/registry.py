@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_html": "op1_html",
     "op2_quality": "op2_quality",
+    "op3_linechunks": "op3_linechunks",
     "op4_media": "op4_media",
     "op5_sentencepiece": "op5_sentencepiece",
     "op6_simhash": "op6_simhash",
