@@ -16,6 +16,7 @@ MODULES = {
     "op8_repetition": "op8_repetition",
     "op9_lm": "op9_lm",
     "op10_mixing": "op10_mixing",
+    "pipeline": "pipeline_query",
 }
 
 
