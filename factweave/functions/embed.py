@@ -6,13 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
+from .text import let
 
 
 def tokens(text: Column) -> Column:
     """Words without punctuation, then adjacent pairs joined by an underscore."""
     words = F.filter(F.split(F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", ""), r"(?U)\s+"), lambda w: w != "")
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("_"), b)))
-    return F.concat(words, F.coalesce(pairs, F.array().cast("array<string>")))
+
+    def with_pairs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.concat(w, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit("_"), b)))
+
+    return let(words, with_pairs)
 
 
 def token_hash(token: Column) -> Column:
@@ -23,14 +28,18 @@ def token_hash(token: Column) -> Column:
 
 def feature_hash(text: Column, dim: int = V.EMBEDDING_DIM) -> Column:
     """array<double> of length ``dim``, scaled to length 1 and rounded to five digits; zeros if there is no token."""
-    hashes = F.transform(tokens(text), token_hash)
-    signed = F.transform(hashes, lambda h: F.struct((h % dim).cast("int").alias("at"), F.when(F.shiftright(h, 8) % 2 == 1, 1.0).otherwise(-1.0).alias("sign")))
-    # Cells are summed over the text's tokens, not over all positions: few tokens touch few cells.
-    cells = F.map_from_entries(
-        F.transform(F.array_distinct(F.transform(signed, lambda s: s["at"])), lambda i: F.struct(i, F.aggregate(signed, F.lit(0.0), lambda total, s: total + F.when(s["at"] == i, s["sign"]).otherwise(0.0))))
-    )
-    norm = F.sqrt(F.aggregate(F.map_values(cells), F.lit(0.0), lambda total, x: total + x * x))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(norm > 1e-9, F.round(F.coalesce(F.try_element_at(cells, i), F.lit(0.0)) / norm, 5)).otherwise(0.0))
+    signed = F.transform(F.transform(tokens(text), token_hash), lambda h: F.struct((h % dim).cast("int").alias("at"), F.when(F.shiftright(h, 8) % 2 == 1, 1.0).otherwise(-1.0).alias("sign")))
+
+    def cells(s: Column) -> Column:
+        """Sums of the cells that the text's tokens touch."""
+        at = F.array_distinct(F.transform(s, lambda x: x["at"]))
+        return F.map_from_entries(F.transform(at, lambda i: F.struct(i, F.aggregate(s, F.lit(0.0), lambda total, x: total + F.when(x["at"] == i, x["sign"]).otherwise(0.0)))))
+
+    def scaled(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(x["norm"] > 1e-9, F.round(F.coalesce(F.try_element_at(x["cells"], i), F.lit(0.0)) / x["norm"], 5)).otherwise(0.0))
+
+    norm = lambda c: F.sqrt(F.aggregate(F.map_values(c), F.lit(0.0), lambda total, x: total + x * x))
+    return let(let(signed, cells), lambda c: let(F.struct(c.alias("cells"), norm(c).alias("norm")), scaled))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
-from .text import first_rule, strip
+from .text import first_rule, let, strip
 
 _NUMBER = r"(?U)([\d,]+(?:\.\d+)?)"
 
@@ -33,35 +33,43 @@ def number(raw: Column) -> Column:
     Signs: parentheses around the whole, leading dashes, the word negative. A percentage is its first number over 100. Otherwise
     the first number times the first scale word of the list that occurs as a token or a suffix of digits.
     """
-    text = strip(raw)
-    coin = currency(text)
-    bracketed = text.startswith("(") & text.endswith(")") & (F.char_length(text) > 1)
-    minus = text.startswith("-") | F.lower(text).contains("negative")
-    body = F.when(bracketed, strip(F.substring(text, F.lit(2), F.char_length(text) - 2))).when(minus, strip(F.regexp_replace(text, "^-+", ""))).otherwise(text)
-    sign = F.when(bracketed | minus, F.lit(-1.0)).otherwise(1.0)
-    low = F.lower(body)
-    first = _double(found(body, _NUMBER))
-    percent = (body.contains("%") | low.contains("percent")) & first.isNotNull()
-    scale = F.lit(1.0)
-    for word, factor in reversed(V.SCALES):
-        scale = F.when(low.rlike(rf"(?U)(?:\b|(?<=\d)){word}(?:\b|$)"), F.lit(factor)).otherwise(scale)
-    unit = F.coalesce(F.lower(found(body, rf"(?iU)\b({V.UNIT_WORDS})\b")), coin)
     none = F.lit(None)
 
     def result(value: Column, unit: Column, coin: Column) -> Column:
         return F.struct(value.cast("double").alias("value"), unit.cast("string").alias("unit"), coin.cast("string").alias("currency"))
 
-    return (
-        F.when(raw.isNull() | (raw == ""), result(none, none, none))
-        .when(percent, result(F.round(first / 100.0, 6) * sign, F.lit("%"), none))
-        .when(first.isNull(), result(none, none, coin))
-        .otherwise(result(first * scale * sign, unit, coin))
-    )
+    def signed(text: Column) -> Column:
+        """The text without its sign, and the sign."""
+        bracketed = text.startswith("(") & text.endswith(")") & (F.char_length(text) > 1)
+        minus = text.startswith("-") | F.lower(text).contains("negative")
+        body = F.when(bracketed, strip(F.substring(text, F.lit(2), F.char_length(text) - 2))).when(minus, strip(F.regexp_replace(text, "^-+", ""))).otherwise(text)
+        return F.struct(body.alias("body"), F.when(bracketed | minus, F.lit(-1.0)).otherwise(1.0).alias("sign"), currency(text).alias("coin"))
+
+    def lowered(x: Column) -> Column:
+        return F.struct(x["body"].alias("body"), F.lower(x["body"]).alias("low"), x["sign"].alias("sign"), x["coin"].alias("coin"), _double(found(x["body"], _NUMBER)).alias("first"))
+
+    def parsed(x: Column) -> Column:
+        percent = (x["low"].contains("%") | x["low"].contains("percent")) & x["first"].isNotNull()
+        scale = F.lit(1.0)
+        for word, factor in reversed(V.SCALES):
+            scale = F.when(x["low"].rlike(rf"(?U)(?:\b|(?<=\d)){word}(?:\b|$)"), F.lit(factor)).otherwise(scale)
+        unit = F.coalesce(F.lower(found(x["body"], rf"(?iU)\b({V.UNIT_WORDS})\b")), x["coin"])
+        return (
+            F.when(percent, result(F.round(x["first"] / 100.0, 6) * x["sign"], F.lit("%"), none))
+            .when(x["first"].isNull(), result(none, none, x["coin"]))
+            .otherwise(result(x["first"] * scale * x["sign"], unit, x["coin"]))
+        )
+
+    whole = let(strip(raw), lambda text: let(signed(text), lambda x: let(lowered(x), parsed)))
+    return F.when(raw.isNull() | (raw == ""), result(none, none, none)).otherwise(whole)
 
 
 def temporal(raw: Column) -> Column:
     """struct<label, start, end, precision>: the first rule that applies names the period."""
-    text = strip(raw)
+    return let(strip(raw), lambda text: _temporal(raw, text))
+
+
+def _temporal(raw: Column, text: Column) -> Column:
     span = r"(?iU)\b(?:FY|Fiscal|Financial\s*Year)?\s*(?:20)?(\d{2})[-/](\d{2})\b"
     fiscal = r"(?iU)\b(?:FY|Fiscal|Financial\s*Year)\s*(\d{2,4})\b"
     quarter = r"(?iU)\b(Q[1-4])\s*(?:FY)?\s*(\d{2,4})\b"
@@ -91,22 +99,25 @@ def temporal(raw: Column) -> Column:
 
 def entity(raw: Column) -> Column:
     """Canonical name: known institutions by pattern, else legal forms spelt one way."""
-    text = strip(raw)
+    return F.when(raw.isNull() | (raw == ""), F.lit("")).otherwise(let(strip(raw), _entity))
+
+
+def _entity(text: Column) -> Column:
     out = text
     for pattern, form in ((r"\b(?:Corp\b\.?|Corporation)\b", "Corporation"), (r"\b(?:Inc\b\.?|Incorporated)\b", "Inc."), (r"\b(?:Ltd\b\.?|Limited)\b", "Ltd."), (r"\b(?:LLC|L\.L\.C\.)\b", "LLC")):
         out = F.regexp_replace(out, f"(?iU){pattern}", form)
-    out = F.when(out.endswith(".") & ~out.endswith("Inc.") & ~out.endswith("Ltd."), strip(F.regexp_replace(out, r"\.\z", ""))).otherwise(out)
+    out = let(out, lambda x: F.when(x.endswith(".") & ~x.endswith("Inc.") & ~x.endswith("Ltd."), strip(F.regexp_replace(x, r"\.\z", ""))).otherwise(x))
     out = strip(F.regexp_replace(out, r"(?U)\s+", " "))
     for pattern, name in reversed(V.INSTITUTIONS):
         out = F.when(text.rlike(rf"(?iU)\b(?:{pattern})\b"), F.lit(name)).otherwise(out)
-    return F.when(raw.isNull() | (raw == ""), F.lit("")).otherwise(out)
+    return out
 
 
 def predicate(raw: Column) -> Column:
     """Canonical predicate of an alias, else the cleaned words."""
     words = strip(F.regexp_replace(F.regexp_replace(F.lower(strip(raw)), r"[_\-]+", " "), r"(?U)\s+", " "))
     table = F.create_map(*chain.from_iterable((F.lit(alias), F.lit(name)) for name, aliases in V.PREDICATE_ALIASES.items() for alias in aliases))
-    return F.when(raw.isNull() | (raw == ""), F.lit("")).otherwise(F.coalesce(F.try_element_at(table, words), words))
+    return F.when(raw.isNull() | (raw == ""), F.lit("")).otherwise(let(words, lambda w: F.coalesce(F.try_element_at(table, w), w)))
 
 
 def metric(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. Nested expressions would repeat it in every place it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def any_of(c: Column, parts: list[str]) -> Column:
     """Whether ``c`` contains one of the strings."""
     out = F.lit(False)
@@ -36,7 +43,10 @@ def clean(c: Column) -> Column:
 
 def block_type(text: Column, is_table: Column | None = None) -> Column:
     """table, heading, list or text."""
-    t = strip(text)
+    return let(strip(text), lambda t: _block_type(t, is_table))
+
+
+def _block_type(t: Column, is_table: Column | None) -> Column:
     upper = t.rlike(r"\p{Lu}") & ~t.rlike(r"\p{Ll}")
     title = t.rlike(r"\p{Lu}") & ~t.rlike(r"\p{L}\p{Lu}") & ~t.rlike(r"(?<!\p{L})\p{Ll}")
     heading = (F.char_length(t) < 80) & ~t.rlike(r"[.:;]\z") & (upper | title)

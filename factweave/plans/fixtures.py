@@ -81,7 +81,7 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # White space for SQL patterns: RE2 has no class for all of Unicode's.
 _WS = "\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}"
 LINES_SQL = f"""
-raw_lines AS (SELECT doc_id, unnest(list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_replace(x, '[{_WS}]+', '', 'g') <> '')) AS text, generate_subscripts(list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_replace(x, '[{_WS}]+', '', 'g') <> ''), 1) - 1 AS block_index FROM documents),
+raw_lines AS (SELECT doc_id, unnest(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[{_WS}]+', '', 'g') <> '')) AS text, generate_subscripts(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[{_WS}]+', '', 'g') <> ''), 1) - 1 AS block_index FROM documents),
 trimmed AS (SELECT *, regexp_replace(text, '^[{_WS}]+|[{_WS}]+$', '', 'g') AS t FROM raw_lines),
 blocks AS (SELECT doc_id AS document_id, block_index, text, t,
   CASE WHEN t = '' THEN 'text'

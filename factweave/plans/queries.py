@@ -36,13 +36,13 @@ def query(sql: str | None = None):
 
 def _hash_sql(text: str) -> str:
     """Feature-hash vector of a text in SQL."""
-    words = f"list_filter(regexp_split_to_array(regexp_replace(lower({text}), '[^\\w\\s]', '', 'g'), '\\s+'), x -> x <> '')"
+    words = f"list_filter(regexp_split_to_array(regexp_replace(lower({text}), '[^\\w\\s]', '', 'g'), '\\s+'), lambda x: x <> '')"
     return f"""
-    SELECT *, list_transform(raw, x -> CASE WHEN norm > 1e-9 THEN round(x / norm, 5) ELSE 0.0 END) AS emb FROM (
-      SELECT *, sqrt(list_sum(list_transform(raw, x -> x * x))) AS norm FROM (
-        SELECT *, list_transform(range(128), i -> list_sum(list_transform(hs, h -> CASE WHEN h % 128 = i THEN CASE WHEN (h >> 8) % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ELSE 0.0::DOUBLE END))) AS raw FROM (
-          SELECT *, list_transform(toks, t -> list_reduce(list_prepend(0::BIGINT, list_transform(string_split(t, ''), c -> unicode(c)::BIGINT)), (h, c) -> (h * 31 + c) & 4294967295::BIGINT)) AS hs FROM (
-            SELECT *, list_concat(words, list_transform(range(1, len(words)), i -> words[i] || '_' || words[i + 1])) AS toks FROM (SELECT *, {words} AS words FROM source_rows)))))"""
+    SELECT *, list_transform(raw, lambda x: CASE WHEN norm > 1e-9 THEN round(x / norm, 5) ELSE 0.0 END) AS emb FROM (
+      SELECT *, sqrt(list_sum(list_transform(raw, lambda x: x * x))) AS norm FROM (
+        SELECT *, list_transform(range(128), lambda i: list_sum(list_transform(hs, lambda h: CASE WHEN h % 128 = i THEN CASE WHEN (h >> 8) % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ELSE 0.0::DOUBLE END))) AS raw FROM (
+          SELECT *, list_transform(toks, lambda t: list_reduce(list_prepend(0::BIGINT, list_transform(string_split(t, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) & 4294967295::BIGINT)) AS hs FROM (
+            SELECT *, list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || '_' || words[i + 1])) AS toks FROM (SELECT *, {words} AS words FROM source_rows)))))"""
 
 
 PAIRS_SQL = f"""{X0.CLAIMS_SQL},
@@ -493,10 +493,10 @@ def evidence_fuzzy(spark, d):
 
 
 # Vectors.
-@query(f"WITH source_rows AS (SELECT p_partkey, p_name FROM part), emb AS ({_hash_sql('p_name')}) SELECT p_partkey, at, v FROM (SELECT p_partkey, unnest(range(128)) AS at, unnest(emb) AS v FROM emb) WHERE v <> 0")
+@query(f"WITH source_rows AS (SELECT p_partkey, p_name FROM part), emb AS ({_hash_sql('p_name')}) SELECT p_partkey, slot, v FROM (SELECT p_partkey, unnest(range(128)) AS slot, unnest(emb) AS v FROM emb) WHERE v <> 0")
 def feature_hashes(spark, d):
-    p = X0.table(spark, d, "part").select("p_partkey", F.posexplode(feature_hash(F.col("p_name"))).alias("at", "v"))
-    return p.where("v <> 0").select("p_partkey", F.col("at").cast("long").alias("at"), "v")
+    p = X0.table(spark, d, "part").select("p_partkey", F.posexplode(feature_hash(F.col("p_name"))).alias("slot", "v"))
+    return p.where("v <> 0").select("p_partkey", F.col("slot").cast("long").alias("slot"), "v")
 
 
 @query("SELECT query, vec_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM (SELECT a.vec_id AS query, b.vec_id AS vec_id, round(greatest(-1.0, least(1.0, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 5) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rank <= 5")
