@@ -3,7 +3,8 @@
 A text is cut into lines, and lines into sentences, so that a passage set in one line has several units too. A rolling
 hash over the hashes of the last ``WINDOW`` units decides by one bit whether a chunk ends after a unit. Both outcomes of the
 bit are used, as two complementary chunkings: whatever stands before or after a passage, its boundaries inside stay, and
-what one chunking cuts into single units the other holds together. Chunks of two and more units and at least ``LEAST_WORDS``
+what one chunking cuts into single units the other holds together. A second bit of the hash gives two more, for short
+passages. Chunks of two and more units and at least ``LEAST_WORDS``
 words are counted over the whole corpus by 64-bit hash; of those that occur again, the bytes are fetched and compared
 with the first occurrence (by id, then position), and all but the first are cut out.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, documents, materialize, row_key
 
-WINDOW = 2
+WINDOW, BITS = 2, 2
 LEAST_UNITS, LEAST_WORDS = 2, 10
 BITMAP_BITS = 25
 _END = re.compile(r"(?<=[.!?]) |\n")
@@ -56,24 +57,23 @@ def units(text: str) -> list[tuple[int, int, int]]:
 
 
 def chunks(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first unit and past the last unit of every chunk of the two chunkings that is long enough."""
+    """Hash, first unit and past the last unit of every chunk of the chunkings that is long enough."""
     n = len(pieces)
     none = np.zeros(0, np.int64)
     if n < LEAST_UNITS:
         return none, none, none
-    h = np.fromiter((xxhash.xxh64_intdigest(p) for p in pieces), np.uint64, n)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, n)
     words = np.concatenate([[0], np.cumsum([p.count(" ") + 1 for p in pieces])])
     roll = h.copy()
     for k in range(1, min(WINDOW, n)):
         roll[k:] = roll[k:] * np.uint64(31) + h[:-k]
     roll = (roll ^ (roll >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    bit = (roll >> np.uint64(63)).astype(bool)
+    bits = [(roll >> np.uint64(63 - i)) & np.uint64(1) == 1 for i in range(BITS)]
     power = np.cumprod(np.full(n, _BASE, np.uint64))
     inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _INVERSE, np.uint64))])
     total = np.concatenate([[np.uint64(0)], np.cumsum(h * power)])
     spans = []
-    for side in (bit, ~bit):
-        side = side.copy()
+    for side in [x for bit in bits for x in (bit, ~bit)]:
         side[-1] = True
         ends = np.flatnonzero(side) + 1
         starts = np.concatenate([[0], ends[:-1]])
@@ -86,7 +86,8 @@ def chunks(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pieces(text: str) -> list[str]:
-    return [text[a:b].strip() for a, b, _ in units(text)]
+    """The units' texts, as :func:`units` cuts them."""
+    return [x for x in map(str.strip, _END.split(text)) if x]
 
 
 def without(text: str, spans: list[int]) -> tuple[str, int]:

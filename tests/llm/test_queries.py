@@ -1,0 +1,161 @@
+"""The registered queries on the driver's small tables and on odd ones: nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables."""
+
+import math
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+import corpus_pipeline
+from factweave.llm import op3_linechunks, op5_sentencepiece, op6_simhash, op10_mixing, registry
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, k long, h string, fp string, size string, score string, kept string, copies string, prefix string, spans string, token_ids string, removed_units string"
+PASSAGE = " ".join(f"Sentence number {i} of the passage has some words in it." for i in range(12))
+
+
+def _doc(i, text, lang="en", source="s1"):
+    return (i, text, lang, source, None if text is None else len(text), 1, *["x"] * 9, "y")
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("odd"))
+    rows = [
+        _doc(1, "The quick brown fox jumps over the lazy dog again and again. " * 9), _doc(1, "The quick brown fox jumps over the lazy dog again and again. " * 9), _doc(2, None), _doc(3, ""), _doc(4, " \n\t "), _doc(5, "x" * 200_000, None, None),
+        _doc(6, "word " * 60_000, "fr", ""), _doc(None, "A text without an id. It has two sentences."), _doc(7, "Der Hund und die Katze. " * 20, "de", None), _doc(8, f"Eins. {PASSAGE} Zwei."), _doc(9, f"Drei vier.\n{PASSAGE}\nEnde."), _doc(10, "12 34 !! ##", None, "s2"),
+        _doc(11, "one two three four five six seven eight nine ten", "en", "s2"), _doc(11, "another text under the same id, with other words", "en", "s2"), _doc(12, "▁ marker ▁▁ and \x00 nul ퟿ é漢😀", "zz", "é"),
+    ]
+    spark.createDataFrame(rows, DOCS).coalesce(2).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 1), (None, 1, 0), (9, None, 0), (8, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, "u", "<p>Text, with, commas, and some length to it.</p>", "z"), (2, None, None, None), (None, "v", "", "q"), (2, None, None, None)], "page_id long, url string, html string, text string").write.parquet(f"{d}/pages.parquet")
+    return d
+
+
+@pytest.fixture(scope="module")
+def empty(spark, odd, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("empty"))
+    for t in ("documents", "labels", "pages"):
+        spark.read.parquet(f"{odd}/{t}.parquet").where("false").write.parquet(f"{d}/{t}.parquet")
+    return d
+
+
+NAMES = [n for n in registry.queries() if n != "pipeline"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_odd_and_empty_tables(spark, odd, empty, name):
+    f = registry.queries()[name]
+    rows = f(spark, odd).collect()
+    assert len(rows) == (4 if name == "op1_html" else 15)
+    assert f(spark, empty).count() == 0
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, empty):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, odd)
+        assert docs.columns == spark.read.parquet(f"{odd}/documents.parquet").columns
+    assert corpus_pipeline.run(spark, empty).count() == 0
+    assert corpus_pipeline.run(spark, odd).count() > 0
+
+
+def test_simhash_classes(spark, small):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    fp = {d: op6_simhash.fingerprint((t or "").encode()) for d, t in docs.items()}
+    root = {d: d for d in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(docs)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if (fp[a] ^ fp[b]).bit_count() <= 2:
+                ra, rb = find(a), find(b)
+                root[max(ra, rb)] = min(ra, rb)
+    rows = op6_simhash.op6_simhash(spark, small).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in rows} == {d: (f"{fp[d]:016x}", find(d)) for d in docs}
+    kept = op6_simhash.one_per_group(spark.read.parquet(f"{small}/documents.parquet")).select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == sorted({find(d) for d in docs})
+
+
+def test_line_chunks_like_plain(spark, small):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    seen, want = set(), {}
+    for d in sorted(docs):
+        pieces = op3_linechunks._pieces(docs[d])
+        _, a, b = op3_linechunks.chunks(pieces)
+        spans = []
+        for x, y in sorted(zip(a.tolist(), b.tolist(), strict=True)):
+            key = tuple(pieces[x:y])
+            if key in seen:
+                spans.append(x * op3_linechunks._WIDE + y)
+            seen.add(key)
+        want[d] = op3_linechunks.without(docs[d], spans)
+    got = {r.doc_id: (r.text, r.removed_units) for r in op3_linechunks.op3_linechunks(spark, small).collect()}
+    assert got == want and any(n for _, n in want.values())
+
+
+def test_scores_like_plain(spark, small):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    tokens = {d: [*t.encode().lower().split(), b"\n"] for d, t in docs.items()}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in docs}
+    c = Counter(w for d, t in tokens.items() if not held[d] for w in t)
+    n, v = sum(c.values()), len(c)
+    rows = registry.queries()["op9_lm"](spark, small).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        t = tokens[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(c[w] > 0 for w in t), n)
+        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
+    out = [r for r in rows if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_mix_meets_its_targets(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = op10_mixing.mix(docs).collect()
+    source = {r.doc_id: r.source for r in docs.collect()}
+    size, taken, target, largest = Counter(), Counter(), {}, Counter()
+    for r in rows:
+        s = source[r.doc_id]
+        size[s] += r.size
+        taken[s] += r.taken
+        target[s] = r.target
+        largest[s] = max(largest[s], r.size)
+        assert 0 <= r.taken <= 2 * r.size
+    assert math.isclose(sum(target.values()), 1.5 * sum(size.values()), rel_tol=1e-9)
+    assert all(abs(taken[s] - target[s]) <= largest[s] and target[s] <= 2 * size[s] + 1e-6 for s in size)
+    assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in op10_mixing.mix(docs).collect())
+    assert op10_mixing.mixed_documents(docs).count() == sum(r.copies for r in rows)
+
+
+def test_languages_of_held_out_documents(spark, small):
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = [r for r in registry.queries()["op7_langid"](spark, small).collect() if r.held_out]
+    assert rows and sum(r.lang_pred == lang[r.doc_id] for r in rows) >= 0.95 * len(rows)
+
+
+def test_tokens_decode(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").limit(40)
+    out = op5_sentencepiece.decoded(op5_sentencepiece.with_tokens(docs).withColumnRenamed("text", "own"))
+    assert out.where("own <> text or not round_trip").count() == 0
+
+
+def test_quality_rejects_what_is_rated_badly(spark, small):
+    kept = registry.queries()["op2_quality"](spark, small).select("doc_id", "kept")
+    rated = spark.read.parquet(f"{small}/labels.parquet").join(kept, "doc_id").groupBy((F.col("quality") + 1 - F.col("toxic")).alias("g")).agg(F.avg(F.col("kept").cast("int")).alias("k"))
+    share = {r.g: r.k for r in rated.collect()}
+    assert share[2] >= 0.95 and share.get(1, 0) <= 0.6
+
+
+def test_media_columns(spark):
+    from factweave.llm import op4_media
+
+    rows = spark.createDataFrame([(1, bytearray(op4_media.encode_pgm(bytes(128))), "x"), (2, None, "y"), (3, bytearray(b"no image"), "z")], T.StructType([T.StructField("i", T.IntegerType()), T.StructField("media", T.BinaryType()), T.StructField("height", T.StringType())]))
+    got = {r.i: r for r in op4_media.media_columns(rows).collect()}
+    assert (got[1].height, got[1].width, got[1].error) == (2, 64, None) and got[2].error == "null" and got[3].tile is None
