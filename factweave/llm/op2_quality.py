@@ -12,7 +12,8 @@ chance words out of the sums; their weights are fitted by full-batch Adam on the
 2 ** BITS entries, which bounds the broadcast.
 
 Defined results: documents without a word get tail probability 0 and are not kept; without any label every other
-document is kept with tail probability 1; repeated labels of an id count once, with the lower quality and the higher
+document is kept with tail probability 1; if no feature passes the test, nothing tells documents apart and all with words
+are kept; repeated labels of an id count once, with the lower quality and the higher
 toxicity; labels with nulls are not used; repeated rows get equal results; further columns are kept by :func:`graded`.
 """
 
@@ -150,7 +151,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3) -> Model:
     weights[kept] = w
     model = Model(weights, theta)
     best = model.tails(np.bincount(doc, w[feature], n))[grades == n_grades - 1, -1]
-    if len(best):
+    if not size:
+        model.limit = 0.0
+    elif len(best):
         model.limit = float(np.clip(np.quantile(best, BEST_LOSS), LOWEST_LIMIT, HIGHEST_LIMIT))
     return model
 

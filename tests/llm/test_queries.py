@@ -147,10 +147,11 @@ def test_tokens_decode(spark, small):
 
 
 def test_quality_rejects_what_is_rated_badly(spark, small):
+    small = small.replace("sf0.001", "sf0.01")  # 87 ratings are too few to learn the words of four languages
     kept = registry.queries()["op2_quality"](spark, small).select("doc_id", "kept")
     rated = spark.read.parquet(f"{small}/labels.parquet").join(kept, "doc_id").groupBy((F.col("quality") + 1 - F.col("toxic")).alias("g")).agg(F.avg(F.col("kept").cast("int")).alias("k"))
     share = {r.g: r.k for r in rated.collect()}
-    assert share[2] >= 0.95 and share.get(1, 0) <= 0.6
+    assert share[2] >= 0.95 and share[1] <= 0.4
 
 
 def test_media_columns(spark):
