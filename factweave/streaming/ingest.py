@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,31 @@ def new_documents(arrived: DataFrame, known: DataFrame, key: str = "id") -> Data
     return packed.select("r.*")
 
 
+def unprocessed(found: DataFrame, documents: DataFrame, facts: DataFrame) -> DataFrame:
+    """Files (column filename) of a folder that still have to be read: those without a completed document that has facts."""
+    done = documents.where("status = 'completed'").join(facts.select(F.col("document_id").alias("id")), "id", "left_semi").select("filename")
+    return found.join(done, "filename", "left_anti")
+
+
+class StageTimer:
+    """Seconds of each stage of a document's ingestion, as rows of a job table."""
+
+    def __init__(self, document_id: str):
+        self.document_id, self.seconds = document_id, {}
+
+    @contextmanager
+    def stage(self, name: str):
+        began = time.monotonic()
+        try:
+            yield
+        finally:
+            self.seconds[name] = round(self.seconds.get(name, 0.0) + time.monotonic() - began, 3)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        rows = [(self.document_id, k, v, schemas.STAGES.get(k)) for k, v in self.seconds.items()]
+        return spark.createDataFrame(rows, "document_id string, stage string, seconds double, progress int")
+
+
 def accepted(filename: Column) -> Column:
     """Whether an upload is of a kind that is read."""
     return F.lower(filename).endswith(".pdf")

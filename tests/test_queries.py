@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from factweave.plans import fixtures, queries, views
-from factweave.streaming.ingest import Store, distinct_stream, ingest_batch, ingest_stream, job_state, new_documents, status_counts
+from factweave.streaming.ingest import StageTimer, Store, distinct_stream, ingest_batch, ingest_stream, job_state, new_documents, status_counts, unprocessed
 
 SAMPLE = ["candidate_pairs_top8", "tier1_pairs", "hydrated_facts", "overview_stats", "dataset_counts", "block_types", "density_top15", "normalize_number", "table_unpivot", "overlap_antijoin", "feature_hashes", "facts_csv"]
 
@@ -55,7 +55,14 @@ def test_new_documents(spark):
     a = spark.createDataFrame([(1, "h1"), (2, "h2"), (3, "h2")], "id int, file_hash string")
     known = spark.createDataFrame([("h1", "failed"), ("h2", "completed")], "file_hash string, status string")
     assert [r.id for r in new_documents(a, known).collect()] == [1]
-    assert job_state(F.lit("COMPLETED")) is not None
+    assert a.select(job_state(F.lit("COMPLETED")), job_state(F.lit("none"))).first()[:] == (100, None)
+    found = spark.createDataFrame([("a.pdf",), ("b.pdf",), ("c.pdf",)], "filename string")
+    docs = spark.createDataFrame([("1", "a.pdf", "completed"), ("2", "b.pdf", "completed"), ("3", "c.pdf", "failed")], "id string, filename string, status string")
+    assert {r.filename for r in unprocessed(found, docs, spark.createDataFrame([("1",), ("1",), ("3",)], "document_id string")).collect()} == {"b.pdf", "c.pdf"}
+    timer = StageTimer("1")
+    with timer.stage("LAYOUT_EXTRACTION"):
+        pass
+    assert [(r.stage, r.progress) for r in timer.table(spark).collect()] == [("LAYOUT_EXTRACTION", 20)]
 
 
 def test_stream_equals_batch(spark, small, tmp_path):
