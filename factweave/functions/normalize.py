@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from .text import first_rule, let, strip
 
-_NUMBER = r"(?U)([\d,]+(?:\.\d+)?)"
+_NUMBER = f"(?U){V.NUMBER}"
 
 
 def found(c: Column, pattern: str, group: int = 1) -> Column:
@@ -70,11 +70,7 @@ def temporal(raw: Column) -> Column:
 
 
 def _temporal(raw: Column, text: Column) -> Column:
-    span = r"(?iU)\b(?:FY|Fiscal|Financial\s*Year)?\s*(?:20)?(\d{2})[-/](\d{2})\b"
-    fiscal = r"(?iU)\b(?:FY|Fiscal|Financial\s*Year)\s*(\d{2,4})\b"
-    quarter = r"(?iU)\b(Q[1-4])\s*(?:FY)?\s*(\d{2,4})\b"
-    days = r"(?U)(\d{4}-\d{2}-\d{2})\s*(?:to|–|-)\s*(\d{4}-\d{2}-\d{2})"
-    year = r"(?U)\b(19\d{2}|20\d{2})\b"
+    span, fiscal, quarter, days, year = f"(?iU){V.FISCAL_SPAN}", f"(?iU){V.FISCAL_YEAR}", f"(?iU){V.QUARTER}", f"(?U){V.DAY_RANGE}", f"(?U){V.YEAR}"
     none = F.lit(None)
     y1, y2 = (found(text, span, g).try_cast("int") for g in (1, 2))
 
@@ -104,7 +100,7 @@ def entity(raw: Column) -> Column:
 
 def _entity(text: Column) -> Column:
     out = text
-    for pattern, form in ((r"\b(?:Corp\b\.?|Corporation)\b", "Corporation"), (r"\b(?:Inc\b\.?|Incorporated)\b", "Inc."), (r"\b(?:Ltd\b\.?|Limited)\b", "Ltd."), (r"\b(?:LLC|L\.L\.C\.)\b", "LLC")):
+    for pattern, form in V.LEGAL_FORMS:
         out = F.regexp_replace(out, f"(?iU){pattern}", form)
     out = let(out, lambda x: F.when(x.endswith(".") & ~x.endswith("Inc.") & ~x.endswith("Ltd."), strip(F.regexp_replace(x, r"\.\z", ""))).otherwise(x))
     out = strip(F.regexp_replace(out, r"(?U)\s+", " "))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 from ..functions import normalize as N
-from ..functions.text import strip
+from ..functions.text import any_of, strip
 
 
 def _claim(metric: Column, number: Column, raw: Column, time: Column, quote: Column, path: str, confidence: float) -> list[Column]:
@@ -48,12 +48,12 @@ def callouts(blocks: DataFrame, skip_tables: bool = False) -> DataFrame:
     lines = F.filter(F.transform(F.split(F.col("text"), "\n"), strip), lambda x: x != "")
     triples = F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.struct(i.alias("at"), F.col("lines")[i].alias("line"), F.get("lines", i + 1).alias("after"), F.when(i > 0, F.get("lines", i - 1)).alias("before")))
     at = source.withColumn("lines", lines).where("size(lines) >= 2").withColumn("x", F.explode(triples)).select("*", "x.*").drop("x")
-    at = at.where(~F.col("line").rlike(r"(?U)^\(?\d{1,2}\)?\*?$") & ~F.col("line").isin(V.CALLOUT_STOP_LINES)).withColumn("number", N.number(F.col("line"))).where("number.value is not null")
+    at = at.where(~F.col("line").rlike(f"(?U){V.FOOTNOTE}") & ~F.col("line").isin(V.CALLOUT_STOP_LINES)).withColumn("number", N.number(F.col("line"))).where("number.value is not null")
     after, before = N.metric(F.col("after")), N.metric(F.col("before"))
     at = at.select("*", F.coalesce(after, before).alias("metric"), F.when(after.isNotNull(), F.col("after")).otherwise(F.col("before")).alias("metric_text")).where("metric is not null")
     value, low_line, low_text = F.col("number.value"), F.lower("line"), F.lower("text")
     shown = F.col("line").contains("%") | low_line.contains("percent") | low_line.contains("per cent") | F.col("text").contains("%") | low_text.contains("per cent")
-    label = F.col("line").rlike(r"(?iU)^(?:chart|table|figure|section|box|appendix|\d+\.\d+)\b")
+    label = F.col("line").rlike(f"(?iU){V.CHART_LABEL}")
     at = at.where(
         F.when(F.col("metric").isin("revenue", "total_income"), F.abs(value) >= 50)
         .when(F.col("metric").isin("express_parcel_volume", "freight_volume", "workforce"), value >= 500)
@@ -67,13 +67,9 @@ def callouts(blocks: DataFrame, skip_tables: bool = False) -> DataFrame:
         none = F.lit(None).cast("string")
         return F.struct(F.lit(text).alias("label"), none.alias("start"), none.alias("end"), F.lit(precision).alias("precision"))
 
-    ladder = (
-        F.when(low.contains("2024-25") | low.contains("fy25") | low.contains("fy2025"), period("FY2025", "fiscal_year"))
-        .when(low.contains("2023-24") | low.contains("fy24") | low.contains("fy2024") | low.contains("2024"), period("FY2024", "fiscal_year"))
-        .when(low.contains("fy22") | low.contains("2022"), period("FY2022", "fiscal_year"))
-        .when(low.contains("fy21") | low.contains("2021"), period("FY2021", "fiscal_year"))
-        .when(low.contains("q4"), period("Q4 FY2024", "quarter"))
-    )
+    ladder = F.lit(None)
+    for words, name, precision in reversed(V.CALLOUT_PERIODS):
+        ladder = F.when(any_of(low, words), period(name, precision)).otherwise(ladder)
     at = at.withColumn("found", time).withColumn("time", F.when(F.coalesce(F.col("found.precision"), F.lit("unspecified")) == "unspecified", F.coalesce(ladder, F.col("found"))).otherwise(F.col("found")))
     quote = F.concat(F.col("metric_text"), F.lit(": "), F.col("line"))
     return at.select(*_claim(F.col("metric"), F.col("number"), F.col("line"), F.col("time"), quote, "callout_metric", 0.99), F.struct(F.col("block_index"), F.lit(1).alias("path"), F.col("at"), F.lit(0).alias("sub")).alias("place"))

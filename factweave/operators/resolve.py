@@ -43,11 +43,11 @@ def relationship() -> Column:
     gap = F.abs(va - vb) / F.greatest(F.abs(va), F.abs(vb), F.lit(1e-9))
     same_text = low(a["raw_value"]) == low(b["raw_value"])
 
-    time_reason = F.concat(F.lit("Claim A specifies '"), ta, F.lit("' while Claim B specifies '"), tb, F.lit("'"))
-    scope_reason = F.concat(F.lit("Claim A pertains to '"), ca, F.lit("' scope while Claim B pertains to '"), cb, F.lit("' scope"))
+    def said(template: str, *values: Column) -> Column:
+        return F.format_string(template, *[F.coalesce(v, F.lit("None")) for v in values])
 
-    def said(*parts: str | Column) -> Column:
-        return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("None")) for p in parts])
+    time_reason, scope_reason = said(V.TIME_REASON, ta, tb), said(V.SCOPE_REASON, ca, cb)
+    period = F.when(F.coalesce(a["time_label"], F.lit("")) == "", "current").otherwise(a["time_label"])
 
     def decided(kind: str, confidence: float, dimensions: list[str], explanation: Column, **metadata: Column) -> Column:
         more = F.struct(F.lit(True).alias("entity_match"), F.lit(True).alias("predicate_match"), *[v.alias(k) for k, v in metadata.items()])
@@ -59,11 +59,11 @@ def relationship() -> Column:
     five = ["entity", "predicate", "time", "scope", "value"]
     return (
         F.when(~comparable, F.lit(None))
-        .when(other_time, decided("CONTEXTUAL_DIFFERENCE", 0.96, ["entity", "predicate", "time"], said("The values refer to different reporting periods (", time_reason, "), so the difference does not constitute a contradiction."), time_difference=time_reason, time_a=a["time_label"], time_b=b["time_label"]))
-        .when(other_scope, decided("CONTEXTUAL_DIFFERENCE", 0.95, ["entity", "predicate", "scope"], said("The claims reflect different operational scopes (", scope_reason, "), explaining why the values differ."), scope_difference=scope_reason, scope_a=a["scope"], scope_b=b["scope"]))
-        .when(numeric & (gap <= V.VALUE_TOLERANCE), decided("CORROBORATES", 0.98, five, said("Both independent sources assert the same ", a["predicate"], " of ", a["raw_value"], " for ", a["subject"], " with matching context."), relative_difference=gap, value_a=va, value_b=vb))
-        .when(numeric, decided("CONTRADICTS", 0.94, five, said("Direct conflict: Source A reports ", a["raw_value"], " while Source B reports ", b["raw_value"], " for the same entity (", a["subject"], ") and identical period (", F.when(F.coalesce(a["time_label"], F.lit("")) == "", "current").otherwise(a["time_label"]), ")."), conflict_type=F.lit("numerical_incompatibility"), value_a=va, value_b=vb))
-        .when(same_text, decided("CORROBORATES", 0.97, ["entity", "predicate", "value"], said("Both sources affirm identical information: '", a["raw_value"], "' for ", a["subject"], "."), text_exact_match=F.lit(True)))
+        .when(other_time, decided("CONTEXTUAL_DIFFERENCE", 0.96, ["entity", "predicate", "time"], said(V.EXPLAIN_TIME, time_reason), time_difference=time_reason, time_a=a["time_label"], time_b=b["time_label"]))
+        .when(other_scope, decided("CONTEXTUAL_DIFFERENCE", 0.95, ["entity", "predicate", "scope"], said(V.EXPLAIN_SCOPE, scope_reason), scope_difference=scope_reason, scope_a=a["scope"], scope_b=b["scope"]))
+        .when(numeric & (gap <= V.VALUE_TOLERANCE), decided("CORROBORATES", 0.98, five, said(V.EXPLAIN_SAME_VALUE, a["predicate"], a["raw_value"], a["subject"]), relative_difference=gap, value_a=va, value_b=vb))
+        .when(numeric, decided("CONTRADICTS", 0.94, five, said(V.EXPLAIN_CONFLICT, a["raw_value"], b["raw_value"], a["subject"], period), conflict_type=F.lit("numerical_incompatibility"), value_a=va, value_b=vb))
+        .when(same_text, decided("CORROBORATES", 0.97, ["entity", "predicate", "value"], said(V.EXPLAIN_SAME_TEXT, a["raw_value"], a["subject"]), text_exact_match=F.lit(True)))
     )
 
 

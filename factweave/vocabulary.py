@@ -78,6 +78,36 @@ INSTITUTIONS = [
     (r"Delhivery\s*(?:Limited|Ltd\.?|Corporate)?", "Delhivery Limited"),
 ]
 
+# Legal forms by pattern, and how they are spelt.
+LEGAL_FORMS = [
+    (r"\b(?:Corp\b\.?|Corporation)\b", "Corporation"), (r"\b(?:Inc\b\.?|Incorporated)\b", "Inc."), (r"\b(?:Ltd\b\.?|Limited)\b", "Ltd."), (r"\b(?:LLC|L\.L\.C\.)\b", "LLC"),
+]
+
+# Patterns of numbers and periods.
+NUMBER = r"([\d,]+(?:\.\d+)?)"
+FISCAL_SPAN = r"\b(?:FY|Fiscal|Financial\s*Year)?\s*(?:20)?(\d{2})[-/](\d{2})\b"
+FISCAL_YEAR = r"\b(?:FY|Fiscal|Financial\s*Year)\s*(\d{2,4})\b"
+QUARTER = r"\b(Q[1-4])\s*(?:FY)?\s*(\d{2,4})\b"
+DAY_RANGE = r"(\d{4}-\d{2}-\d{2})\s*(?:to|–|-)\s*(\d{4}-\d{2}-\d{2})"
+YEAR = r"\b(19\d{2}|20\d{2})\b"
+FOOTNOTE = r"^\(?\d{1,2}\)?\*?$"
+CHART_LABEL = r"^(?:chart|table|figure|section|box|appendix|\d+\.\d+)\b"
+
+# Period of a callout by words in its text and file name, first hit in this order.
+CALLOUT_PERIODS = [
+    (["2024-25", "fy25", "fy2025"], "FY2025", "fiscal_year"), (["2023-24", "fy24", "fy2024", "2024"], "FY2024", "fiscal_year"), (["fy22", "2022"], "FY2022", "fiscal_year"),
+    (["fy21", "2021"], "FY2021", "fiscal_year"), (["q4"], "Q4 FY2024", "quarter"),
+]
+
+# Texts of the explanations; %s stands for a value.
+TIME_REASON = "Claim A specifies '%s' while Claim B specifies '%s'"
+SCOPE_REASON = "Claim A pertains to '%s' scope while Claim B pertains to '%s' scope"
+EXPLAIN_TIME = "The values refer to different reporting periods (%s), so the difference does not constitute a contradiction."
+EXPLAIN_SCOPE = "The claims reflect different operational scopes (%s), explaining why the values differ."
+EXPLAIN_SAME_VALUE = "Both independent sources assert the same %s of %s for %s with matching context."
+EXPLAIN_CONFLICT = "Direct conflict: Source A reports %s while Source B reports %s for the same entity (%s) and identical period (%s)."
+EXPLAIN_SAME_TEXT = "Both sources affirm identical information: '%s' for %s."
+
 # Document subject by a part of the file name, first hit in this order.
 SUBJECT_RULES = [
     (["delhivery"], "Delhivery Limited"), (["rbi"], "Reserve Bank of India"), (["economic-survey", "india-economic"], "Government of India"), (["imf"], "International Monetary Fund"),
