@@ -4,8 +4,8 @@ The model file is read directly (protobuf wire format). A unigram model's scores
 they are; the pieces of a BPE model carry merge ranks instead, which are turned into log scores by Zipf's law,
 log(1 / (rank + 2)) - log(H), whitespace runs (rank -1e9) by their length among the best. The trie over UTF-8 bytes is built
 once per worker as a double array (base, check). White space markers join each word to the space before it; as no piece
-continues past a marker, the best path of a text is the best paths of its words one after another, and those are
-kept in a bounded cache. Characters that no piece covers become byte pieces.
+continues past a marker, the best path of a text is the best paths of its words one after another. These are kept in a
+bounded cache; the words of a batch that it lacks go through the trie and the Viterbi pass together, as numpy arrays. Characters that no piece covers become byte pieces.
 
 Defined results: a null or empty text has no tokens; text is not normalised beyond the model's own rules (identity, a
 dummy prefix, spaces as markers) and a marker character in the text itself goes to byte pieces, so decoding gives the
@@ -19,7 +19,9 @@ from __future__ import annotations
 import math
 import struct
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 MOST_CACHED = 400_000
+LONGEST_TOGETHER = 48  # bytes; longer stretches are encoded one by one
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
 
@@ -139,6 +142,10 @@ class DoubleArray:
                 yield i + 1, -1 - base[leaf]
 
 
+#: Stands for a marker character of the text's own, in the list of stretches.
+LITERAL = "\0" + MARK
+
+
 class Encoder:
     def __init__(self, data: bytes):
         self.pieces, self.settings = read_model(data)
@@ -152,6 +159,75 @@ class Encoder:
         self.words_apart = not any(k in (NORMAL, USER) and MARK in p.lstrip(MARK) for p, _, k in self.pieces)
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, _, k in self.pieces]
         self.cache: dict[str, list[int]] = {}
+        self.fixed = {LITERAL: [self.bytes[c] for c in MARK.encode()]} if self.bytes else {}
+        self.base, self.check = np.array(self.trie.base, np.int32), np.array(self.trie.check, np.int32)
+        self.score_of = np.array(scores)
+
+    def best_many(self, texts: list[str]) -> list[list[int]]:
+        """``best`` of each text, all at once for those that are short."""
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        out: list[list[int] | None] = [None if len(b) <= LONGEST_TOGETHER else self.best(t) for b, t in zip(raw, texts, strict=True)]
+        todo = sorted((i for i, x in enumerate(out) if x is None), key=lambda i: len(raw[i]))
+        for at in range(0, len(todo), 20_000):  # alike lengths together
+            part = todo[at : at + 20_000]
+            for i, ids in zip(part, self._together([raw[i] for i in part]), strict=True):
+                out[i] = ids
+        return out
+
+    def _together(self, raw: list[bytes]) -> list[list[int]]:
+        n = np.fromiter(map(len, raw), np.int64, len(raw))
+        longest = int(n.max(initial=0))
+        data = np.frombuffer(b"".join(b.ljust(longest, b"\0") for b in raw), np.uint8).reshape(len(raw), longest).astype(np.int32)
+        width = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
+        top = np.full((len(raw), longest + 1), -np.inf)
+        top[:, 0] = 0.0
+        start, piece_at = np.zeros((len(raw), longest + 1), np.int32), np.full((len(raw), longest + 1), -1, np.int32)
+        base, check = self.base, self.check
+        for at in range(longest):
+            here = np.flatnonzero((n > at) & (top[:, at] > -np.inf))
+            if not len(here):
+                continue
+            whole = np.zeros(len(raw), bool)
+            rows, state = here, np.zeros(len(here), np.int32)
+            for k in range(at, longest):
+                inside = n[rows] > k
+                rows, state = rows[inside], state[inside]
+                after = base[state] + data[rows, k] + 1
+                ok = check[after] == state
+                rows, state = rows[ok], after[ok]
+                if not len(rows):
+                    break
+                leaf = base[state]
+                ends = check[leaf] == state
+                r = rows[ends]
+                if len(r):
+                    piece = -1 - base[leaf[ends]]
+                    whole[r[width[r, at] == k + 1 - at]] = True
+                    s = top[r, at] + self.score_of[piece]
+                    better = s > top[r, k + 1]
+                    r = r[better]
+                    top[r, k + 1], start[r, k + 1], piece_at[r, k + 1] = s[better], at, piece[better]
+            r = here[~whole[here]]
+            end = at + width[r, at]
+            s = top[r, at] + self.unknown_score
+            better = s > top[r, end]
+            r, end = r[better], end[better]
+            top[r, end], start[r, end], piece_at[r, end] = s[better], at, -1
+        out = []
+        for b, starts, pieces in zip(raw, start.tolist(), piece_at.tolist(), strict=True):
+            at, ids = len(b), []
+            while at:
+                piece = pieces[at]
+                if piece >= 0:
+                    ids.append(piece)
+                elif self.bytes:
+                    ids += [self.bytes[c] for c in reversed(b[starts[at] : at])]
+                else:
+                    ids.append(self.unknown)
+                at = starts[at]
+            ids.reverse()
+            out.append(ids)
+        return out
 
     def best(self, text: str) -> list[int]:
         """Ids on the path of the highest total score, by one pass over the bytes."""
@@ -197,46 +273,57 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> list[int]:
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text; what the cache lacks is encoded together."""
+        cut = [self._stretches(t) for t in texts]
+        cache = self.cache
+        if len(cache) > MOST_CACHED:
+            cache.clear()
+        cache.update(self.fixed)
+        new = [x for x in set(chain.from_iterable(cut)) if x not in cache]
+        cache.update(zip(new, self.best_many(new), strict=True))
+        out = [list(chain.from_iterable(map(cache.__getitem__, x))) for x in cut]
+        for x in new:
+            if len(x) > 64:
+                del cache[x]
+        return out
+
+    def _stretches(self, text: str) -> list[str]:
+        """The text with markers, cut where no piece crosses. A marker of the text's own is a stretch that begins with NUL."""
         if not text:
             return []
         if self.settings["squeeze"]:
             text = " ".join(x for x in text.split(" ") if x)
-        if MARK not in text or not self.bytes:
-            return self._marked(text, self.settings["dummy_prefix"])
-        literal = [self.bytes[c] for c in MARK.encode()]
-        first, *rest = text.split(MARK)
-        out = self._marked(first, self.settings["dummy_prefix"]) if first else []
-        for part in rest:
-            out += literal
-            out += self._marked(part, False)
-        return out
-
-    def _marked(self, text: str, prefix: bool) -> list[int]:
-        marked = (MARK if prefix else "") + text.replace(" ", MARK)
+        if MARK in text and self.bytes:
+            first, *rest = text.split(MARK)
+            out = self._cut(first, self.settings["dummy_prefix"]) if first else []
+            for part in rest:
+                out.append(LITERAL)
+                out += self._cut(part, False)
+            return out
+        return self._cut(text, self.settings["dummy_prefix"])
+
+    def _cut(self, text: str, prefix: bool) -> list[str]:
         if not self.words_apart:
-            return self.best(marked)
-        out: list[int] = []
-        cache = self.cache
-        if len(cache) > MOST_CACHED:
-            cache.clear()
-        run = ""  # a run of spaces is one stretch with the word after it
-        parts = marked.split(MARK)
-        if parts[0]:
-            out += self.best(parts[0])
-        for part in parts[1:]:
-            run += MARK
-            if not part:
-                continue
-            unit = run + part
+            return [(MARK if prefix else "") + text.replace(" ", MARK)]
+        parts = text.split(" ")
+        if prefix and "" not in parts:
+            return [MARK + x for x in parts]
+        out, run = [], MARK if prefix else ""
+        if not prefix and parts[0]:
+            out.append(parts[0])
+        elif prefix and parts[0]:
+            out.append(run + parts[0])
             run = ""
-            ids = cache.get(unit)
-            if ids is None:
-                ids = self.best(unit)
-                if len(unit) <= 64:
-                    cache[unit] = ids
-            out += ids
+        for part in parts[1:]:  # a run of spaces is one stretch with the word after it
+            run += MARK
+            if part:
+                out.append(run + part)
+                run = ""
         if run:
-            out += self.best(run)
+            out.append(run)
         return out
 
     def decode(self, ids) -> str:
@@ -271,7 +358,7 @@ def with_tokens(df: DataFrame, text: str = "text", model: str = MODEL) -> DataFr
         e = _encoder(name)
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
-            ids = [e.encode(x) for x in texts]
+            ids = e.encode_batch(texts)
             same = [e.decode(i) == x for i, x in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(same, pa.bool_())], names=["_fw_row", "token_ids", "n_tokens", "round_trip"])
 
