@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
@@ -20,6 +20,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def bind(df: DataFrame, **values: Column) -> DataFrame:
+    """``df`` with further columns that are computed once. Filters on a plain column are pushed below it, which repeats its expression; they stay above a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
 def any_of(c: Column, parts: list[str]) -> Column:
     """Whether ``c`` contains one of the strings."""
     out = F.lit(False)
@@ -77,16 +82,20 @@ def page_quality(text: Column, width: Column, height: Column, has_images: Column
 
 def density(text: Column, kind: Column) -> Column:
     """struct<score double, signals array<string>>: weighted hits of the signal patterns; boilerplate has none."""
+    boilerplate = text.rlike(f"(?iU){V.BOILERPLATE}")
+    none = F.struct(F.lit(V.BOILERPLATE_POINTS).alias("score"), F.array().cast("array<string>").alias("signals"))
+    counts = F.array(*[F.regexp_count(text, F.lit(f"(?iU){pattern}")) for _, pattern, _, _ in V.DENSITY_SIGNALS])
+    return F.when(boilerplate, none).otherwise(let(counts, lambda hits: _density(hits, kind)))
+
+
+def _density(counts: Column, kind: Column) -> Column:
     points, names = [F.when(kind == "table", F.lit(V.TABLE_POINTS)).otherwise(0.0)], [F.when(kind == "table", F.lit("structured_table"))]
-    for name, pattern, each, most in V.DENSITY_SIGNALS:
-        hits = F.regexp_count(text, F.lit(f"(?iU){pattern}"))
+    for i, (name, _, each, most) in enumerate(V.DENSITY_SIGNALS):
+        hits = counts[i]
         gain = hits * F.lit(each)
         points.append(gain if most is None else F.least(gain, F.lit(most)))
         names.append(F.when(hits > 0, F.lit(name)))
     total = points[0]
     for p in points[1:]:
         total = total + p
-    boilerplate = text.rlike(f"(?iU){V.BOILERPLATE}")
-    return F.when(boilerplate, F.struct(F.lit(V.BOILERPLATE_POINTS).alias("score"), F.array().cast("array<string>").alias("signals"))).otherwise(
-        F.struct(F.round(total, 2).alias("score"), F.array_compact(F.array(*names)).alias("signals"))
-    )
+    return F.struct(F.round(total, 2).alias("score"), F.array_compact(F.array(*names)).alias("signals"))

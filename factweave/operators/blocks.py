@@ -83,7 +83,8 @@ def table_context(headers: Column) -> Column:
 
 def scored_blocks(blocks: DataFrame) -> DataFrame:
     """Blocks other than headings with density score and signals."""
-    return blocks.where(F.col("block_type") != "heading").withColumn("_d", density(F.col("text"), F.col("block_type"))).select("*", F.col("_d.score").alias("score"), F.col("_d.signals").alias("signals")).drop("_d")
+    # A generator, so that filters on the score don't repeat the patterns (see text.bind).
+    return blocks.where(F.col("block_type") != "heading").select("*", F.inline(F.array(density(F.col("text"), F.col("block_type")))))
 
 
 def top_candidates(blocks: DataFrame, k: int = V.MOST_CHUNKS, least: float = V.LEAST_DENSITY) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 from ..functions import normalize as N
-from ..functions.text import any_of, strip
+from ..functions.text import any_of, bind, strip
 
 
 def _claim(metric: Column, number: Column, raw: Column, time: Column, quote: Column, path: str, confidence: float) -> list[Column]:
@@ -31,8 +31,9 @@ def unpivot_tables(blocks: DataFrame) -> DataFrame:
     """
     rows = blocks.where("size(table_data.headers) > 0 and size(table_data.rows) > 0").select("*", F.posexplode("table_data.rows").alias("row", "cells")).where("size(cells) >= 2")
     cells = rows.withColumn("metric_text", strip(F.col("cells")[0])).where(F.char_length("metric_text") >= 3).select("*", F.posexplode("table_data.headers").alias("col", "header")).where("col > 0 and col < size(cells)")
-    timed = cells.withColumn("time", N.temporal(strip(F.col("header")))).where("time.label is not null and time.label <> '' and time.precision <> 'unspecified'")
-    valued = timed.withColumn("raw", strip(F.get("cells", F.col("col")))).withColumn("number", N.number(F.col("raw"))).where("number.value is not null")
+    timed = bind(cells, time=N.temporal(strip(F.col("header")))).where("time.label is not null and time.label <> '' and time.precision <> 'unspecified'")
+    raw = bind(timed, raw=strip(F.get("cells", F.col("col"))))
+    valued = bind(raw, number=N.number(F.col("raw"))).where("number.value is not null")
     metric = F.coalesce(N.metric(F.col("metric_text")), N.predicate(F.col("metric_text")))
     quote = F.concat(F.col("metric_text"), F.lit(" ("), F.col("header"), F.lit("): "), F.col("raw"))
     return valued.select(*_claim(metric, F.col("number"), F.col("raw"), F.col("time"), quote, "table_grid", 0.98), F.struct(F.col("block_index"), F.lit(0).alias("path"), F.col("row").alias("at"), F.col("col").alias("sub")).alias("place"))
@@ -47,10 +48,12 @@ def callouts(blocks: DataFrame, skip_tables: bool = False) -> DataFrame:
     source = blocks.where(F.col("block_type") != "table") if skip_tables else blocks
     lines = F.filter(F.transform(F.split(F.col("text"), "\n"), strip), lambda x: x != "")
     triples = F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.struct(i.alias("at"), F.col("lines")[i].alias("line"), F.get("lines", i + 1).alias("after"), F.when(i > 0, F.get("lines", i - 1)).alias("before")))
-    at = source.withColumn("lines", lines).where("size(lines) >= 2").withColumn("x", F.explode(triples)).select("*", "x.*").drop("x")
-    at = at.where(~F.col("line").rlike(f"(?U){V.FOOTNOTE}") & ~F.col("line").isin(V.CALLOUT_STOP_LINES)).withColumn("number", N.number(F.col("line"))).where("number.value is not null")
+    at = bind(source, lines=lines).where("size(lines) >= 2").withColumn("x", F.explode(triples)).select("*", "x.*").drop("x")
+    at = at.where(~F.col("line").rlike(f"(?U){V.FOOTNOTE}") & ~F.col("line").isin(V.CALLOUT_STOP_LINES))
+    at = bind(at, number=N.number(F.col("line"))).where("number.value is not null")
     after, before = N.metric(F.col("after")), N.metric(F.col("before"))
-    at = at.select("*", F.coalesce(after, before).alias("metric"), F.when(after.isNotNull(), F.col("after")).otherwise(F.col("before")).alias("metric_text")).where("metric is not null")
+    at = bind(at, _after=after)
+    at = bind(at, metric=F.coalesce("_after", before), metric_text=F.when(F.col("_after").isNotNull(), F.col("after")).otherwise(F.col("before"))).where("metric is not null")
     value, low_line, low_text = F.col("number.value"), F.lower("line"), F.lower("text")
     shown = F.col("line").contains("%") | low_line.contains("percent") | low_line.contains("per cent") | F.col("text").contains("%") | low_text.contains("per cent")
     label = F.col("line").rlike(f"(?iU){V.CHART_LABEL}")
@@ -70,7 +73,7 @@ def callouts(blocks: DataFrame, skip_tables: bool = False) -> DataFrame:
     ladder = F.lit(None)
     for words, name, precision in reversed(V.CALLOUT_PERIODS):
         ladder = F.when(any_of(low, words), period(name, precision)).otherwise(ladder)
-    at = at.withColumn("found", time).withColumn("time", F.when(F.coalesce(F.col("found.precision"), F.lit("unspecified")) == "unspecified", F.coalesce(ladder, F.col("found"))).otherwise(F.col("found")))
+    at = bind(at, found=time).withColumn("time", F.when(F.coalesce(F.col("found.precision"), F.lit("unspecified")) == "unspecified", F.coalesce(ladder, F.col("found"))).otherwise(F.col("found")))
     quote = F.concat(F.col("metric_text"), F.lit(": "), F.col("line"))
     return at.select(*_claim(F.col("metric"), F.col("number"), F.col("line"), F.col("time"), quote, "callout_metric", 0.99), F.struct(F.col("block_index"), F.lit(1).alias("path"), F.col("at"), F.lit(0).alias("sub")).alias("place"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import number, temporal
 from ..operators.blocks import text_blocks
+from ..session import spread
 
 SEGMENT_NAMES = ("delhivery", "rbi-annual", "imf-article", "acme")
 
@@ -56,7 +57,7 @@ docs AS (
 
 def claim_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sentence for each order, one page a month: document_id, page_number, block_index, id, block_type, text, bbox."""
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    o, c = spread(table(spark, sf_dir, "orders")), table(spark, sf_dir, "customer")
     text = F.concat(F.col("c_name"), F.lit(" reported revenue of $"), F.floor("o_totalprice").cast("string"), F.lit(" million in FY"), F.year("o_orderdate").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, ". All rights reserved.").when(F.col("o_orderkey") % 3 == 0, " with 500 employees.").otherwise("."))
     key = F.col("o_orderkey")
     return o.join(c, o.o_custkey == c.c_custkey).select(
@@ -75,7 +76,7 @@ sentences AS (
 
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The non-blank lines of documents as blocks."""
-    return text_blocks(table(spark, sf_dir, "documents"))
+    return text_blocks(spread(table(spark, sf_dir, "documents")))
 
 
 # White space for SQL patterns: RE2 has no class for all of Unicode's.
@@ -107,7 +108,7 @@ def table_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def callout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A block of three lines for each order: a metric, its number, a second number."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     metric = F.when(F.col("o_orderkey") % 3 == 0, "Total revenue").when(F.col("o_orderkey") % 3 == 1, "Repo rate").otherwise("Other items")
     text = F.concat(metric, F.lit("\n$"), F.floor("o_totalprice").cast("string"), F.lit(" million\nQ1 "), F.year("o_orderdate").cast("string"))
     return o.select(
@@ -118,7 +119,7 @@ def callout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes made of the numbers of order lines: page_id, box_id, bbox, is_table (every seventh)."""
-    l = table(spark, sf_dir, "lineitem")
+    l = spread(table(spark, sf_dir, "lineitem"))
     x, y = (F.col("l_partkey") % 50).cast("double"), (F.col("l_suppkey") % 50).cast("double")
     key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     return l.select((F.col("l_orderkey") % 997).alias("page_id"), key.alias("box_id"), F.array(x, y, x + F.col("l_quantity"), y + 20.0).alias("bbox"), (key % 7 == 0).alias("is_table"))
@@ -131,7 +132,7 @@ boxes AS (SELECT l_orderkey % 997 AS page_id, l_orderkey * 10 + l_linenumber AS
 
 def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers, periods, entities and predicates in many spellings, made of orders: key, amount, period, name, predicate, filename."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     k, whole, year = F.col("o_orderkey"), F.floor("o_totalprice").cast("string"), F.year("o_orderdate").cast("string")
 
     def pick(*options):

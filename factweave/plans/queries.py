@@ -16,6 +16,7 @@ from ..operators import extract as X
 from ..operators import ground as G
 from ..operators import pairs as P
 from ..operators import resolve as R
+from ..session import spread
 from . import fixtures as X0
 from . import views as Q
 
@@ -328,7 +329,7 @@ def stage_latency(spark, d):
 @query("""WITH q AS (SELECT doc_id, length(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))) AS n, len(regexp_extract_all(text, '[a-zA-Z0-9\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}.,;:$\\-–—%()/"''#@&+=*<>\\[\\]]')) AS ok FROM documents)
 SELECT doc_id, CASE WHEN n = 0 THEN 1.0 WHEN n < 35 THEN 0.8 WHEN 1.0 - ok / n > 0.35 THEN round(greatest(0.1, 1.0 - (1.0 - ok / n)), 6) ELSE round(greatest(0.6, least(1.0, 1.0 - (1.0 - ok / n))), 2) END AS score, n >= 35 AND 1.0 - ok / n > 0.35 AS is_poor FROM q""")
 def page_quality_scores(spark, d):
-    t = X0.table(spark, d, "documents").select("doc_id", page_quality(F.col("text"), F.lit(612.0), F.lit(792.0), F.lit(False)).alias("q"))
+    t = spread(X0.table(spark, d, "documents")).select("doc_id", page_quality(F.col("text"), F.lit(612.0), F.lit(792.0), F.lit(False)).alias("q"))
     return t.select("doc_id", F.when(F.col("q.is_poor"), F.round("q.score", 6)).otherwise(F.col("q.score")).alias("score"), "q.is_poor")
 
 
@@ -363,11 +364,11 @@ def boilerplate_filter(spark, d):
 
 
 # Sentences of orders have ASCII words only, where the boundaries of SQL's patterns agree.
-_DENSITY_SQL = """points AS (SELECT *, CASE WHEN contains(lower(text), 'all rights reserved') THEN -10.0 ELSE round(3.5 * len(regexp_extract_all(text, '(?i)\\b(?:revenue|turnover|net income|operating income|sales|ebitda|profit|loss|assets|debt|cash|expenses|margin|dividend)\\b'))
+_DENSITY_SQL = """points AS (SELECT *, CAST(CASE WHEN contains(lower(text), 'all rights reserved') THEN -10.0 ELSE round(3.5 * len(regexp_extract_all(text, '(?i)\\b(?:revenue|turnover|net income|operating income|sales|ebitda|profit|loss|assets|debt|cash|expenses|margin|dividend)\\b'))
   + 2.5 * len(regexp_extract_all(text, '(?i)(?:\\$|€|£|₹|USD|EUR|GBP|INR|crore|crores|lakh|lakhs|million|millions|billion|billions|trillion)\\b'))
   + 3.0 * len(regexp_extract_all(text, '(?i)\\b(?:employees|headcount|customers|subscribers|shipments|volume|express parcel|centers|pincodes|coverage|clients|network)\\b'))
   + least(6.0, 2.0 * len(regexp_extract_all(text, '(?i)\\b(?:FY\\s*[0-9]{2,4}|Q[1-4]\\s*[0-9]{2,4}|\\b(?:19|20)[0-9]{2}\\b|as of|ended|quarter|fiscal)\\b')))
-  + least(4.0, 0.5 * len(regexp_extract_all(text, '(?i)\\b[0-9]+(?:[.,][0-9]+)?\\s*(?:%|percent|cr|mn|bn)?\\b'))), 2) END AS score FROM sentences WHERE block_type <> 'heading')"""
+  + least(4.0, 0.5 * len(regexp_extract_all(text, '(?i)\\b[0-9]+(?:[.,][0-9]+)?\\s*(?:%|percent|cr|mn|bn)?\\b'))), 2) END AS DOUBLE) AS score FROM sentences WHERE block_type <> 'heading')"""
 
 
 @query(f"WITH {X0.TEXT_SQL.strip()}, {_DENSITY_SQL} SELECT document_id, block_index, score FROM points")
@@ -387,7 +388,7 @@ def candidate_chunks(spark, d):
 
 @query("WITH raw AS (SELECT doc_id, regexp_replace(lower(text), '[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+', ' ', 'g') AS t FROM documents) SELECT doc_id, sha256(trim(regexp_replace(t, '[^\\p{L}\\p{N}\\p{M}\\p{Pc} ]', '', 'g'), ' ')) AS digest FROM raw")
 def comparison_text(spark, d):
-    return X0.table(spark, d, "documents").select("doc_id", F.sha2(clean(F.col("text")), 256).alias("digest"))
+    return spread(X0.table(spark, d, "documents")).select("doc_id", F.sha2(clean(F.col("text")), 256).alias("digest"))
 
 
 @query(f"""WITH {X0.BOXES_SQL.strip()}, tabs AS (SELECT * FROM boxes WHERE is_table) SELECT page_id, box_id FROM boxes b WHERE NOT is_table AND NOT EXISTS (SELECT 1 FROM tabs t WHERE t.page_id = b.page_id
@@ -458,7 +459,7 @@ def dedup_signature(spark, d):
     return out.select("document_id", "normalized_value", F.col("time_data.label").alias("time_label"), F.col("block_id").cast("long").alias("block_id"))
 
 
-@query("SELECT o_orderkey AS key, CASE status WHEN 'grounded' THEN greatest(0.85, least(0.99, base)) WHEN 'grounded_with_warning' THEN round(base * 0.85, 2) ELSE round(base * 0.30, 2) END AS confidence FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'grounded' WHEN 1 THEN 'grounded_with_warning' ELSE 'unsupported' END AS status, CASE o_orderkey % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.9 WHEN 2 THEN 1.0 ELSE 0.9 END AS base FROM orders)")
+@query("SELECT o_orderkey AS key, CAST(CASE status WHEN 'grounded' THEN greatest(0.85, least(0.99, base)) WHEN 'grounded_with_warning' THEN round(base * 0.85, 2) ELSE round(base * 0.30, 2) END AS DOUBLE) AS confidence FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'grounded' WHEN 1 THEN 'grounded_with_warning' ELSE 'unsupported' END AS status, CASE o_orderkey % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.9 WHEN 2 THEN 1.0 ELSE 0.9 END AS base FROM orders)")
 def confidence_adjustment(spark, d):
     k = F.col("o_orderkey")
     status = F.when(k % 3 == 0, "grounded").when(k % 3 == 1, "grounded_with_warning").otherwise("unsupported")
@@ -530,7 +531,7 @@ def html_blocks(spark, d):
     """Blocks of pages, tables and all, by the HTML source."""
     from ..sources.readers import html_blocks as read
 
-    return read(X0.table(spark, d, "pages"), "page_id", "html").select("document_id", "block_index", "block_type", "text")
+    return read(spread(X0.table(spark, d, "pages")), "page_id", "html").select("document_id", "block_index", "block_type", "text")
 
 
 @query()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "factweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -17,3 +17,16 @@ def session(name: str = "factweave", master: str | None = None, **conf: str) ->
     for k, v in (base | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+#: Up to so many bytes, by Spark's estimate, a table is dealt out to all cores.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame, limit: int = SPREAD_BYTES) -> DataFrame:
+    """``df`` dealt out to all cores if it is small: a small file is one row group and so one task, however much each row costs.
+
+    Larger tables are left as they are: their scan has splits enough, and nothing is shuffled.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= limit else df
