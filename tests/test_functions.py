@@ -122,3 +122,20 @@ def test_small_rules(spark):
     assert column(spark, ["grounded", "grounded_with_warning", "unsupported"], lambda c: adjusted_confidence(c, F.lit(None).cast("double"))) == pytest.approx([0.9, 0.77, 0.27], abs=0.011)
     assert column(spark, [0.0, 0.5], stored_score, "double") == [1.0, 0.5]
     assert column(spark, [0.0, 0.5], lambda c: stored_score(c, strict=True), "double") == [0.0, 0.5]
+
+
+def test_spread_deals_out_small_tables_only(spark):
+    from factweave.session import spread
+
+    df = spark.range(100).coalesce(1)
+    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in spread(df).collect()) == list(range(100))
+    assert spread(df, limit=1) is df
+
+
+def test_bind_keeps_filters_above(spark):
+    from factweave.functions.text import bind
+
+    out = bind(spark.createDataFrame([("a",), ("bb",), (None,)], "t string"), n=F.length("t"), u=F.upper("t"))
+    assert out.columns == ["t", "n", "u"] and out.count() == 3
+    assert [tuple(r) for r in out.where("n > 1").collect()] == [("bb", 2, "BB")]
