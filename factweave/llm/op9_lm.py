@@ -1,14 +1,18 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Training counts every word of every training document (a DataFrame aggregation over partial counts). N-grams whose
-words hold at least ``WORD_SHARE`` of all tokens, and which hold at least ``GRAM_SHARE`` themselves, become arcs: pairs
-first, then the triples that extend kept pairs. Each context that has arcs is a state with a failure arc to its suffix,
-whose weight is the mass that absolute discounting leaves, normalised. One left-to-right traversal per text carries the
-state and adds log10 probabilities.
+Training counts every word, pair and triple of every training document (DataFrame aggregations over partial counts).
+Pairs and triples seen at least ``LEAST_COUNT`` times, whatever the corpus, are the model's arcs, with absolute
+discounting; each context that has arcs has a failure weight, the mass that discounting leaves, normalised. Counts and
+weights of all of them are tables; no n-gram is dropped for the corpus' size.
 
-What is broadcast is bounded by the shares, whatever the corpus: at most 1 / HOT_SHARE words and 1 / GRAM_SHARE arcs of
-each length. Rarer words never appear in an arc; their exact counts are joined by word in a shuffle, so that no count is
-capped or dropped.
+A path's score is a sum over the text's n-grams: a word gives log p(w) and its failure weight; an arc gives what it
+changes against failing, log p(w | context) - failure weight - log p(w | shorter context), and a pair its own failure
+weight. The automaton that is broadcast holds only the hot part of the model, with the whole model's weights: words and
+n-grams of at least HOT_SHARE and GRAM_SHARE of all tokens, so at most 1 / share of each. One traversal per text gives
+their sum. Rare words and the texts' other distinct n-grams are joined to the tables in a shuffle, and added.
+
+A bitmap of fixed 2 ** BITMAP_BITS bits spares n-grams that are in no table the shuffle; a false hit costs a row, never a
+result. N-grams are told apart by 64-bit hashes of their words.
 
 Defined results: a null or empty text is the end token alone; with an empty training part every probability is 1;
 repeated rows are scored and counted each; the score of a text does not depend on the others in its batch; further
@@ -20,9 +24,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +36,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, documents, materialize, remainder, utf8
 
 FOLDS, HELD_OUT = 7, 2
+LEAST_COUNT = 2
 HOT_SHARE = 1e-6
-WORD_SHARE = 1e-5
 GRAM_SHARE = 1e-6
+SEED, BITMAP_BITS = 42, 27
 DISCOUNT = 0.5
 END = b"\n"  # no word holds white space
 MOST_PARTIAL = 500_000
@@ -47,9 +54,11 @@ def tokens(text: bytes) -> list[bytes]:
 
 @dataclass
 class Model:
-    """Exact counts (word, c) as a table, and the automaton over the frequent words."""
+    """The tables of all words (word, c, bo) and of the n-grams outside the automaton (key, value), and the automaton over the hot ones."""
 
     counts: DataFrame
+    cold: DataFrame
+    bits: np.ndarray  # bitmap of the keys in cold
     total: int
     distinct: int
     words: dict[bytes, int]
@@ -88,7 +97,7 @@ class Model:
         return out
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("counts", "_logs")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("counts", "cold", "_logs")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -118,52 +127,84 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def count_keys(texts: DataFrame, keys_of) -> DataFrame:
-    """key, c: exact counts of the long keys that ``keys_of(text)`` gives as an array."""
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _hashed(x: np.ndarray, seed) -> np.ndarray:
+    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = (np.asarray(seed, np.uint64) + (p5 + np.uint64(8))) ^ (_rotated(x * p2, 31) * p1)
+    h = _rotated(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64(x, y) of longs, as unsigned."""
+    return _hashed(y, _hashed(x, np.full(1, SEED, np.uint64)))
+
+
+def word_hashes(t: list[bytes]) -> np.ndarray:
+    """Spark's xxhash64(word) of each word, as unsigned."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, t, repeat(SEED)), np.uint64, len(t))
+
+
+def hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    k = keys & np.uint64((1 << BITMAP_BITS) - 1)
+    return (bits[k >> np.uint64(6)] >> (k & np.uint64(63))) & np.uint64(1) == 1
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of the column key, as 64-bit words; at most 2 ** (BITMAP_BITS - 6) rows reach the driver."""
+    bit = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    got = keys.select(F.shiftright(bit, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("one")).groupBy("at").agg(F.bit_or("one").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    out[got.column("at").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def count_grams(texts: DataFrame, parts_of) -> DataFrame:
+    """x, y, n: exact counts, of at least LEAST_COUNT, of the n-grams that ``parts_of(text)`` gives as two arrays."""
+
+    def summed(key, x, y, n):
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        first = order[starts]
+        return key[starts], x[first], y[first], np.add.reduceat(n[order], starts)
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple] = []
+        size = 0
 
         def merged():
-            keys = np.concatenate([k for k, _ in held])
-            n = np.concatenate([c for _, c in held])
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order]
-            starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1)) if len(keys) else np.zeros(0, np.int64)
-            return keys[starts], np.add.reduceat(n, starts) if len(starts) else n
+            return summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+        def given(key, x, y, n):
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(n)], names=["x", "y", "n"])
 
-        size = 0
         for b in batches:
-            keys = [keys_of(x) for x in b.column(0).to_pylist()]
-            if keys and len(keys := np.concatenate(keys)):
-                held.append(np.unique(keys, return_counts=True))
+            parts = [parts_of(d) for d in b.column(0).to_pylist()]
+            x, y = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in (0, 1))
+            if len(x):
+                held.append(summed(joined(x, y), x, y, np.ones(len(x), np.int64)))
                 size += len(held[-1][0])
             if size > 4 * MOST_PARTIAL:
                 held = [merged()]
                 size = len(held[0][0])
                 if size > 2 * MOST_PARTIAL:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], names=["key", "n"])
+                    yield given(*held[0])
                     held, size = [], 0
         if held:
-            keys, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
-
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
+            yield given(*merged())
 
+    return texts.mapInArrow(run, "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
-def word_ids(words: dict[bytes, int], text: bytes) -> np.ndarray:
-    """Numbers of the tokens; -1 for words that aren't frequent."""
-    t = tokens(text)
-    get = words.get
-    return np.fromiter((get(w, -1) for w in t), np.int64, len(t))
 
-
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Place of each key in the sorted table, -1 where it lacks."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
+def pair_keys(data: bytes) -> np.ndarray:
+    h = word_hashes(tokens(data))
+    return joined(h[:-1], h[1:])
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
@@ -174,69 +215,75 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     counts = materialize(count_words(texts), "words")
     row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = int(row.n), int(row.v)
-    hot = counts.where(F.col("c") >= HOT_SHARE * total).toArrow()  # at most 1 / HOT_SHARE rows
-    order = sorted(zip(hot.column("c").to_pylist(), hot.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
-    words = {w: i for i, (_, w) in enumerate(order)}
-    c1 = np.array([c for c, _ in order], np.int64)
+    least = max(GRAM_SHARE * total, LEAST_COUNT)
+
+    def pairs_of(data: bytes):
+        h = word_hashes(tokens(data))
+        return h[:-1], h[1:]
+
+    pairs = materialize(count_grams(texts, pairs_of).withColumn("key", F.xxhash64("x", "y")), "pairs")
+    seen = spark.sparkContext.broadcast(bitmap(pairs))
+
+    def triples_of(data: bytes):
+        k = pair_keys(data)
+        hit = hits(seen.value, k)
+        both = hit[:-1] & hit[1:]
+        return k[:-1][both], k[1:][both]
+
+    triples = materialize(count_grams(texts, triples_of), "triples")  # x, y: the keys of its two pairs
+
+    def weights(table: DataFrame) -> DataFrame:
+        """x, bo: log10 of the mass that the arcs of a context leave, over what they leave one order down."""
+        left, rest = (F.greatest(1 - F.sum(c), F.lit(1e-12)) for c in ("p", "lower"))
+        return table.groupBy("x").agg(F.log10(left / rest).alias("bo"))
+
+    word = counts.select(F.xxhash64("word").alias("h"), "c")
+    first, second = word.select(F.col("h").alias("x"), F.col("c").alias("above")), word.select(F.col("h").alias("y"), ((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("lower"))
+    pairs = materialize(pairs.join(first, "x").join(second, "y").select("key", "x", "y", "n", ((F.col("n") - DISCOUNT) / F.col("above")).alias("p"), "lower"), "pair_p")
+    above, below = pairs.select(F.col("key").alias("x"), F.col("n").alias("above")), pairs.select(F.col("key").alias("y"), F.col("p").alias("lower"))
+    triples = materialize(triples.join(above, "x").join(below, "y").select("x", "y", "n", ((F.col("n") - DISCOUNT) / F.col("above")).alias("p"), "lower"), "triple_p")
+    one, two = materialize(weights(pairs), "pair_bo"), materialize(weights(triples), "triple_bo")
+    counts = materialize(counts.withColumn("x", F.xxhash64("word")).join(one, "x", "left").drop("x"), "words")
+    pairs = pairs.join(two.select(F.col("x").alias("key"), F.col("bo").alias("own")), "key", "left")
+    change = F.log10("p") - F.col("bo") - F.log10("lower")
+    cold2 = pairs.where(F.col("n") < least).join(one, "x").select("key", (change + F.coalesce("own", F.lit(0.0))).alias("value"))
+    cold3 = triples.where(F.col("n") < least).join(two, "x").select(F.xxhash64("x", "y").alias("key"), change.alias("value"))
+    cold = materialize(cold2.union(cold3), "cold")
+    hot2 = pairs.where(F.col("n") >= least).select("key", "x", "y", F.log10("p").alias("p"), "own").toArrow()  # at most 1 / GRAM_SHARE rows
+    hot3 = triples.where(F.col("n") >= least).select("x", "y", F.log10("p").alias("p")).toArrow()
+    hot1 = counts.where(F.col("c") >= HOT_SHARE * total).toArrow()  # at most 1 / HOT_SHARE rows
+    return _automaton(counts, cold, total, distinct, hot1, hot2, hot3)
+
+
+def _automaton(counts, cold, total, distinct, hot1, hot2, hot3) -> Model:
+    """The states are the hot words and pairs that are contexts; an n-gram is hot only if its parts are."""
+    order = sorted(zip(hot1.column("c").to_pylist(), hot1.column("word").to_pylist(), hot1.column("bo").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
+    words = {w: i for i, (_, w, _) in enumerate(order)}
     width = max(len(words), 1)
-    common = int((c1 >= max(WORD_SHARE * total, 2)).sum())  # the first so many numbers
-    least = max(GRAM_SHARE * total, 2)
-    shared = spark.sparkContext.broadcast(words)
-
-    def pairs_of(data: bytes) -> np.ndarray:
-        ids = word_ids(shared.value, data)
-        a, b = ids[:-1], ids[1:]
-        ok = (a >= 0) & (b >= 0) & (a < common) & (b < common)
-        return a[ok] * width + b[ok]
-
-    def kept(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        got = table.where(F.col("c") >= least).toArrow()  # at most 1 / GRAM_SHARE rows
-        keys, n = got.column("key").to_numpy(), got.column("c").to_numpy()
-        order = np.argsort(keys)
-        return keys[order], n[order]
-
-    k2, c2 = kept(count_keys(texts, pairs_of))
-    pair_table = spark.sparkContext.broadcast(k2)
-
-    def triples_of(data: bytes) -> np.ndarray:
-        ids = word_ids(shared.value, data)
-        a, b = ids[:-1], ids[1:]
-        pair = np.where((a >= 0) & (b >= 0), _find(pair_table.value, a * width + b), -1)
-        ok = (pair[:-1] >= 0) & (pair[1:] >= 0)
-        return pair[:-1][ok] * width + ids[2:][ok]
-
-    k3, c3 = kept(count_keys(texts, triples_of)) if len(k2) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return _automaton(counts, total, distinct, words, c1, width, (k2, c2), (k3, c3))
-
-
-def _automaton(counts, total, distinct, words, c1, width, pairs, triples) -> Model:
-    (k2, c2), (k3, c3) = pairs, triples
-    p1 = (c1 + 1) / (total + distinct + 1)
-
-    def level(context: np.ndarray, above: np.ndarray, n: np.ndarray, lower: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of the n-grams and the backoff weight of each context; ``lower``: the n-grams' probabilities one order down."""
-        p = (n - DISCOUNT) / above[context]
-        left = 1 - np.bincount(context, p, size)
-        rest = 1 - np.bincount(context, lower, size)
-        return p, np.clip(left, 1e-12, None) / np.clip(rest, 1e-12, None)
-
-    a, b = k2 // width, k2 % width
-    p2, w1 = level(a, c1.astype(float), c2, p1[b], len(c1)) if len(k2) else (np.zeros(0), np.ones(len(c1)))
-    first, last = k3 // width, k3 % width  # a triple is its first pair's place and its last word
-    second = _find(k2, b[first] * width + last) if len(k3) else np.zeros(0, np.int64)
-    p3, w2 = level(first, c2.astype(float), c3, p2[second], len(k2)) if len(k3) else (np.zeros(0), np.ones(len(k2)))
-
-    one = np.unique(a)  # words with arcs
-    two = np.unique(first)  # pairs with arcs
+    c1 = np.array([c for c, _, _ in order], np.int64)
+
+    def places(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        by = np.argsort(table)
+        return by[np.searchsorted(table, keys, sorter=by)]
+
+    h = word_hashes(list(words)).view(np.int64)
+    key, x, y = (hot2.column(c).to_numpy() for c in ("key", "x", "y"))
+    a, b = (places(h, x), places(h, y)) if len(key) else (np.zeros(0, np.int64),) * 2
+    first, second = (places(key, hot3.column(c).to_numpy()) for c in ("x", "y")) if hot3.num_rows else (np.zeros(0, np.int64),) * 2
+    last = b[second]
+
+    one = [i for i, (_, _, bo) in enumerate(order) if bo is not None]
+    own = hot2.column("own").to_pylist()
+    two = [i for i, bo in enumerate(own) if bo is not None]
     state1 = np.zeros(width, np.int64)
     state1[one] = 1 + np.arange(len(one))
-    state2 = state1[b].copy() if len(k2) else np.zeros(0, np.int64)
+    state2 = state1[b]
     state2[two] = 1 + len(one) + np.arange(len(two))
     fail = [0] + [0] * len(one) + state1[b[two]].tolist()
-    weight = [0.0] + np.log10(w1[one]).tolist() + np.log10(w2[two]).tolist()
-    arcs = dict(zip((state1[a] * width + b).tolist(), zip(np.log10(p2).tolist(), state2.tolist(), strict=True), strict=True))
-    arcs |= dict(zip((state2[first] * width + last).tolist(), zip(np.log10(p3).tolist(), state2[second].tolist(), strict=True), strict=True))
-    return Model(counts, total, distinct, words, np.log10(p1), arcs, fail, weight, state1.tolist(), width)
+    weight = [0.0] + [order[i][2] for i in one] + [own[i] for i in two]
+    arcs = dict(zip((state1[a] * width + b).tolist(), zip(hot2.column("p").to_pylist(), state2.tolist(), strict=True), strict=True))
+    arcs |= dict(zip((state2[first] * width + last).tolist(), zip(hot3.column("p").to_pylist(), state2[second].tolist(), strict=True), strict=True))
+    return Model(counts, cold, bitmap(cold), total, distinct, words, np.log10((c1 + 1) / (total + distinct + 1)), arcs, fail, weight, state1.tolist(), width)
 
 
 def score(docs: DataFrame, model: Model, held_out: Column, text: str = "text") -> DataFrame:
@@ -246,11 +293,18 @@ def score(docs: DataFrame, model: Model, held_out: Column, text: str = "text") -
     shared = spark.sparkContext.broadcast(model)
     rare = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
+    def cold_of(m: Model, t: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of the pairs and triples that the bitmap knows, and how often each occurs."""
+        h = word_hashes(t)
+        k = joined(h[:-1], h[1:])
+        k = np.concatenate([k, joined(k[:-1], k[1:])])
+        return np.unique(k[hits(m.bits, k)], return_counts=True)
+
     def run(batches):
         m = shared.value
         get, logs, at = m.words.get, m.logs, (TaskContext.get().partitionId() << 40)
         for b in batches:
-            rows = []
+            rows, cold = [], []
             for data in b.column(2).to_pylist():
                 t = tokens(data)
                 listed = [get(w, -1) for w in t]
@@ -259,22 +313,29 @@ def score(docs: DataFrame, model: Model, held_out: Column, text: str = "text") -
                 n_known = int(known.sum())
                 left = Counter(w for w, i in zip(t, listed, strict=True) if i < 0) if n_known < len(t) else {}
                 rows.append((at, len(t), n_known, float(logs[ids[known]].sum()), m.traverse(listed), [{"word": w, "n": n} for w, n in left.items()]))
+                cold.append(cold_of(m, t))
                 at += 1
+            ends = np.cumsum([0, *(len(k) for k, _ in cold)])
+            keys, n = (np.concatenate([c[i] for c in cold]).astype(kind) if cold else np.zeros(0, kind) for i, kind in ((0, np.uint64), (1, np.int64)))
+            grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"]))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "model", "rare"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)), grams], names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "model", "rare", "cold"])
 
     picked = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), utf8(text).alias("data"))
-    each = materialize(picked.mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, model double, rare array<struct<word:binary,n:bigint>>"), "scored")
+    each = materialize(picked.mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, model double, rare array<struct<word:binary,n:bigint>>, cold array<struct<key:bigint,n:bigint>>"), "scored")
     loose = each.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rest = loose.join(model.counts, "word", "left").groupBy("row").agg(
-        F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(model.total + model.distinct + 1)))).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("seen")
+    c, n = F.coalesce(F.col("c"), F.lit(0)), F.col("n")
+    of_words = loose.join(model.counts, "word", "left").select(
+        "row", (n * F.log10((c + 1) / F.lit(float(model.total + model.distinct + 1)))).alias("base"), (n * F.coalesce("bo", F.lit(0.0))).alias("more"), F.when(c > 0, n).otherwise(0).alias("seen")
     )
-    more = F.coalesce(F.col("more"), F.lit(0.0))
-    return each.drop("rare").join(rest, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"),
+    of_grams = each.select("row", F.explode("cold").alias("x")).select("row", "x.key", "x.n").join(model.cold, "key").select("row", F.lit(0.0).alias("base"), (n * F.col("value")).alias("more"), F.lit(0).cast("long").alias("seen"))
+    sums = [F.sum(x).alias(x) for x in ("base", "more", "seen")]
+    rest = of_words.groupBy("row").agg(*sums).union(of_grams.groupBy("row").agg(*sums)).groupBy("row").agg(*(F.sum(x).alias(f"{x}_rest") for x in ("base", "more", "seen")))
+    base, more = F.coalesce("base_rest", F.lit(0.0)), F.coalesce("more_rest", F.lit(0.0))
+    return each.drop("rare", "cold").join(rest, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen_rest", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("base") + base).alias("base_score"), (F.col("model") + base + more).alias("score"),
     )
 
 

@@ -251,6 +251,34 @@ def test_automaton_is_a_distribution(spark):
         assert math.isclose(total + 10**lp * unseen, 1, abs_tol=1e-6), state
 
 
+@pytest.mark.parametrize("share", [1e-6, 0.02, 0.5])
+def test_scores_hold_every_ngram_seen_twice(spark, monkeypatch, share):
+    """The score is the same whatever part of the model is hot, and equals plain backoff over all n-grams seen twice."""
+    monkeypatch.setattr(op9_lm, "HOT_SHARE", share)
+    monkeypatch.setattr(op9_lm, "GRAM_SHARE", share)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a b", "a c", "b a c", "c", "d e f", str(rng.randint(0, 60))]) for _ in range(rng.randint(0, 40))) for _ in range(40)]
+    parts = [[w.encode() for w in t.split()] + [op9_lm.END] for t in texts]
+    grams = [Counter(tuple(p[i : i + k]) for p in parts[:30] for i in range(len(p) - k + 1)) for k in (1, 2, 3)]
+    total, distinct = sum(grams[0].values()), len(grams[0])
+    arcs = {g: n for c in grams[1:] for g, n in c.items() if n >= 2}
+
+    def p(g):
+        if len(g) == 1:
+            return (grams[0][g] + 1) / (total + distinct + 1)
+        if g in arcs:
+            return (arcs[g] - 0.5) / grams[len(g) - 2][g[:-1]]
+        out = [x for x in arcs if x[:-1] == g[:-1]]
+        return p(g[1:]) * ((1 - sum(map(p, out))) / (1 - sum(p(x[1:]) for x in out)) if out else 1)
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    m = op9_lm.train(df.where("doc_id < 30"))
+    assert (m.cold.count() > 5) == (share > 1e-6)
+    got = {r.doc_id: r.score for r in op9_lm.score(df, m, op9_lm.F.col("doc_id") >= 30).collect()}
+    for i, t in enumerate(parts):
+        assert math.isclose(got[i], sum(math.log10(p(tuple(t[max(0, j - 2) : j + 1]))) for j in range(len(t))), abs_tol=1e-8), i
+
+
 # op10
 def test_targets_are_shared_again():
     sizes = {"b": 100, "a": 10, None: 1000, "c": 0}
