@@ -4,7 +4,9 @@ A text is cut into lines, and lines into sentences, so that a passage set in one
 hash over the hashes of the last ``WINDOW`` units decides by one bit whether a chunk ends after a unit. Both outcomes of the
 bit are used, as two complementary chunkings: whatever stands before or after a passage, its boundaries inside stay, and
 what one chunking cuts into single units the other holds together. A second bit of the hash gives two more, for short
-passages. Chunks of two and more units and at least ``LEAST_WORDS``
+passages. Beside these, the shortest run of two and more units and at least ``LEAST_WORDS`` words from each unit on, the
+shortest up to each unit, and each unit of at least ``LEAST_ALONE`` words are chunks: these don't depend on the neighbours, and those within a passage
+cover it, so every repeated run of units of that length is found whole. Chunks of two and more units and at least ``LEAST_WORDS``
 words are counted over the whole corpus by 64-bit hash; of those that occur again, the bytes are fetched and compared
 with the first occurrence (by id, then position), and all but the first are cut out.
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, documents, materialize, row_key
 
 WINDOW, BITS = 2, 2
-LEAST_UNITS, LEAST_WORDS = 2, 10
+LEAST_UNITS, LEAST_WORDS, LEAST_ALONE = 2, 10, 25
 BITMAP_BITS = 25
 _END = re.compile(r"(?<=[.!?]) |\n")
 _BASE = 0x9E3779B97F4A7C15
@@ -57,10 +59,10 @@ def units(text: str) -> list[tuple[int, int, int]]:
 
 
 def chunks(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first unit and past the last unit of every chunk of the chunkings that is long enough."""
+    """Hash, first unit and past the last unit of every chunk of the chunkings that is long enough, of the shortest runs and of long units."""
     n = len(pieces)
     none = np.zeros(0, np.int64)
-    if n < LEAST_UNITS:
+    if not n:
         return none, none, none
     h = np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, n)
     words = np.concatenate([[0], np.cumsum([p.count(" ") + 1 for p in pieces])])
@@ -79,6 +81,12 @@ def chunks(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts = np.concatenate([[0], ends[:-1]])
         long = (ends - starts >= LEAST_UNITS) & (words[ends] - words[starts] >= LEAST_WORDS)
         spans.append(starts[long] * _WIDE + ends[long])
+    at = np.arange(n)
+    stop = np.maximum(np.searchsorted(words, words[:-1] + LEAST_WORDS), at + LEAST_UNITS)
+    spans.append((at * _WIDE + stop)[stop <= n])
+    start = np.minimum(np.searchsorted(words, words[1:] - LEAST_WORDS, side="right") - 1, at + 1 - LEAST_UNITS)
+    spans.append((start * _WIDE + at + 1)[start >= 0])
+    spans.append((at * _WIDE + at + 1)[np.diff(words) >= LEAST_ALONE])
     span = np.unique(np.concatenate(spans))
     a, b = span // _WIDE, span % _WIDE
     value = (total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)

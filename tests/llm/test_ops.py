@@ -82,6 +82,31 @@ def test_shared_passage_is_found_whatever_surrounds_it():
     assert found >= 99
 
 
+def test_short_passages_go_whole(spark):
+    """Against all runs of units, listed one by one."""
+    rng = random.Random(4)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)) + "."
+    passages = [[line(rng.choice([3, 6, 12])) for _ in range(k)] for k in (2, 3, 4, 5) for _ in range(6)] + [[line(30)], [line(12)]]
+    docs = []
+    for i in range(60):
+        parts = [x for _ in range(rng.randint(0, 3)) for x in ([line(9)] * rng.randint(0, 2) + rng.choice(passages))]
+        docs.append((i, rng.choice([" ", "\n"]).join(parts)))
+    seen, want = set(), {}
+    for i, text in docs:
+        u = [x.strip() for x in text.replace(". ", ".\n").split("\n") if x.strip()]
+        gone = set()
+        for a in range(len(u)):
+            for b in range(a + 1, len(u) + 1):
+                n = sum(len(x.split()) for x in u[a:b])
+                if (b - a >= 2 and n >= 10) or n >= 25:
+                    run = tuple(u[a:b])
+                    gone |= set(range(a, b)) if run in seen else set()
+                    seen.add(run)
+        want[i] = [x for j, x in enumerate(u) if j not in gone]
+    got = {r.doc_id: op3_linechunks._pieces(r.text) for r in op3_linechunks.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want and sum(len(op3_linechunks._pieces(t)) for _, t in docs) > sum(map(len, want.values())) + 100
+
+
 # op4
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 5000])
 def test_text_as_image(n):
