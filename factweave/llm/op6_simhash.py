@@ -28,10 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, materialize, utf8
+from .common import bounded_batches, documents, materialize, row_key, utf8
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 SALTS = 16
+#: The pipeline's stage: near copies by word shingles.
+STAGE_SHINGLE, STAGE_LEAST, BANDS, ROWS = 5, 0.8, 20, 5
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _ROW = (np.arange(8) * 256).astype(np.int64)
 _PLACE = (np.arange(8)[:, None] * 8 + np.arange(8)).astype(np.uint64)
@@ -144,5 +147,76 @@ def one_per_group(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) ->
     return stay.unionByName(docs.where("doc_id is null"))
 
 
+def shingles(data: bytes, shingle: int) -> np.ndarray:
+    """The distinct XXH64 values of the word shingles; of all words together, if they are fewer."""
+    words = data.lower().split()
+    n = max(len(words) - shingle + 1, 1)
+    grams = (b" ".join(words[i : i + shingle]) for i in range(n))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n))
+
+
+def bands(values: np.ndarray) -> list[int]:
+    """A key of each band of ROWS minimum hashes of the shingles."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(values), 1 << 12):
+        x = values[at : at + (1 << 12), None] * _ODD
+        low = np.minimum(low, ((x ^ (x >> np.uint64(32))) * _ODD).min(axis=0))
+    return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(low.reshape(BANDS, ROWS))]
+
+
+def similar(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """fp, k, doc_id, component: rows by key, and the component of those whose shingle sets have a Jaccard similarity of ``least`` or more.
+
+    Candidates share a band of minimum hashes; each meets one centre of its band's bucket, another in each band, so work is
+    linear in a group. Every link is verified on the whole sets; rows of equal sets (fp) are one node.
+    """
+    bounded_batches(docs.sparkSession)
+
+    def sign(batches):
+        for b in batches:
+            sets = [shingles(x, shingle) for x in b.column(2).to_pylist()]
+            fp = pa.array([xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, pa.array([bands(x) for x in sets], pa.list_(pa.int64()))], names=["k", "doc_id", "fp", "bands"])
+
+    data = docs.select(row_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("data"))
+    signed = materialize(data.mapInArrow(sign, "k long, doc_id long, fp long, bands array<long>"), "signed")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
+    nodes = materialize(signed.groupBy("fp").agg(F.min(order).alias("first"), F.first("bands").alias("bands")), "nodes")
+    member = nodes.select("fp", F.explode("bands").alias("band"))
+    turn = F.struct(F.xxhash64("fp", "band").alias("turn"), "fp")
+    centre = member.groupBy("band").agg(F.min(turn)["fp"].alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "centre")
+    pairs = materialize(member.join(centre, "band").where("fp <> centre").select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")).distinct(), "candidates")
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    one = nodes.join(wanted, "fp", "left_semi").select("fp", F.col("first.k").alias("k"))
+    texts = materialize(data.join(one, "k").dropDuplicates(["fp"]).select("fp", "data"), "texts")
+
+    def verify(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = shingles(x, shingle), shingles(y, shingle)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    left, right = texts.select(F.col("fp").alias("a"), F.col("data").alias("x")), texts.select(F.col("fp").alias("b"), F.col("data").alias("y"))
+    edges = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
+    found = components(edges, nodes.select("fp", "first"))
+    by_fp = nodes.join(found, "fp", "left").select("fp", F.coalesce("least", "first").alias("component"))
+    return signed.select("k", "doc_id", "fp").join(by_fp, "fp")
+
+
+def one_of_similar(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: float = STAGE_LEAST) -> DataFrame:
+    """The documents, with their own columns, of which one of each group of :func:`similar` texts stays: that with the smallest id.
+
+    Rows that repeat the staying row's id and text are one document and leave one row; rows without an id stay.
+    """
+    keep = similar(docs, shingle, least).where("k = component.k").select(F.col("k").alias("_fw_key")).distinct()
+    names = docs.columns
+    keyed = docs.where("doc_id is not null").withColumn("_fw_key", row_key())
+    stay = keyed.join(keep, "_fw_key").dropDuplicates(["_fw_key"]).select(*names)
+    return stay.unionByName(docs.where("doc_id is null"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

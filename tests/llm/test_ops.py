@@ -215,6 +215,24 @@ def test_components_equal_all_pairs(spark):
     assert all(got.get(signed(x), i) == want[find(x)] for i, x in enumerate(fps))
 
 
+def test_stage_links_similar_texts(spark):
+    """Pairs of documents with some words changed, against the exact similarity; repeated ids of other texts stay."""
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    docs, twins, near = [(1, "one text of its own"), (1, "other text under one id")], 0, 0
+    for i in range(60):
+        w = words(200)
+        v = list(w)
+        for at in rng.sample(range(200), rng.choice([1, 3, 40])):
+            v[at] = words(1)[0]
+        x, y = (set(zip(*(z[k:] for k in range(5)), strict=False)) for z in (w, v))
+        near += len(x & y) / len(x | y) >= 0.8
+        twins += 1
+        docs += [(10 + 2 * i, " ".join(w)), (11 + 2 * i, " ".join(v))]
+    got = op6_simhash.one_of_similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert near > 20 and len(got) == len(docs) - near and {r.text for r in got if r.doc_id == 1} == {docs[0][1], docs[1][1]}
+
+
 # op7
 def test_viterbi_equals_trying_all():
     rng = np.random.default_rng(0)
