@@ -486,7 +486,7 @@ def evidence_containment(spark, d):
 @query()
 def evidence_fuzzy(spark, d):
     """Grounding of quotes: the first line of each document with its first word left out or changed, cited to its second block."""
-    b = X0.line_blocks(spark, d).where("block_index < 6").withColumns({"id": F.concat_ws("_", "document_id", "block_index"), "bbox": F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0))})
+    b = X0.line_blocks(spark, d).withColumns({"id": F.concat_ws("_", "document_id", "block_index"), "bbox": F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0))})
     pages = b.groupBy("document_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_index", "text"))), lambda x: x["text"]), "\n").alias("raw_text"), F.lit(612.0).alias("width"))
     k = F.col("document_id") % 3
     quotes = b.where("block_index = 0").select(F.col("document_id").alias("quote_id"), "document_id", "page_number", F.concat(F.col("document_id").cast("string"), F.lit("_1")).alias("block_id"), F.when(k == 0, F.col("text")).when(k == 1, F.regexp_replace("text", r"^\S+\s+", "")).otherwise(F.regexp_replace("text", r"^\S+", "zzz zzz")).alias("quote"))

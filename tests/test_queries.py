@@ -89,3 +89,10 @@ def test_stream_helpers(spark, tmp_path):
     q.awaitTermination()
     assert spark.table("seen").count() == 2
     assert {r.stage: r.n for r in status_counts(spark.read.parquet(str(tmp_path / "in"))).collect()} == {"QUEUED": 2, "DONE": 1}
+
+
+def test_evidence_fuzzy_reads_every_line(spark, tmp_path):
+    """A quote that only the ninth line holds."""
+    text = "\n".join(["alpha", *(f"filler line number {i}" for i in range(7)), "here zzz zzz stands"])
+    spark.createDataFrame([(2, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.quote_id, r.status, r.score) for r in queries.QUERIES["evidence_fuzzy"](spark, str(tmp_path)).collect()] == [(2, "grounded", 0.95)]
