@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,34 +18,67 @@ BATCH_BYTES = 16 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder for tables between steps: ``spark.checkpoint.dir``, or that of ``setCheckpointDir``.
+
+    A folder of our own serves only where both are unset and the master is local; a cluster without a shared folder is refused,
+    since its executors would write to their own disks.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    own = getattr(spark.sparkContext, "_factweave_dir", None)
-    if own is None:
-        own = tempfile.mkdtemp(prefix="factweave-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext._factweave_dir = own
-        spark.sparkContext.setCheckpointDir(f"file://{own}/rdd")
-    return f"file://{own}"
+    if context.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="factweave-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    context.setCheckpointDir(f"file://{own}/rdd")
+    return context.getCheckpointDir().rstrip("/")
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings (double underscores for dots) that are put back at the end."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts lineage in a form that survives the loss of executors: any executor, or the driver after a restart of a
-    stage, reads the same files. Unlike an RDD checkpoint the table is columnar and compressed.
+    stage, reads the same files. The shuffle files that made the table go as soon as it is written, since nothing reads
+    them again; :func:`release` deletes the table when what was made of it is written too.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/factweave/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._factweave_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that no later step reads."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._factweave_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough that a Python worker holds few texts at a time."""
+    """Keep Arrow batches small enough that a Python worker holds few texts at a time.
+
+    Plans run after they are made, so these two settings stay in the session; they bound memory and change no result.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -1,18 +1,20 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Training counts every word, pair and triple of every training document (DataFrame aggregations over partial counts).
-Pairs and triples seen at least ``LEAST_COUNT`` times, whatever the corpus, are the model's arcs, with absolute
-discounting; each context that has arcs has a failure weight, the mass that discounting leaves, normalised. Counts and
-weights of all of them are tables; no n-gram is dropped for the corpus' size.
+Training counts every word and every longer n-gram up to ``order`` of every training document. Longer n-grams seen at least
+``LEAST_COUNT`` times, whatever the corpus, are the model's arcs, with absolute discounting; each context that has arcs has a
+failure weight, the mass that discounting leaves, normalised. All of them are rows of tables, keyed by a 64-bit hash;
+none is dropped for the corpus' size, so the tables grow with it.
 
 A path's score is a sum over the text's n-grams: a word gives log p(w) and its failure weight; an arc gives what it
-changes against failing, log p(w | context) - failure weight - log p(w | shorter context), and a pair its own failure
-weight. The automaton that is broadcast holds only the hot part of the model, with the whole model's weights: words and
-n-grams of at least HOT_SHARE and GRAM_SHARE of all tokens, so at most 1 / share of each. One traversal per text gives
-their sum. Rare words and the texts' other distinct n-grams are joined to the tables in a shuffle, and added.
+changes against failing, log p(w | context) - failure weight - log p(w | shorter context), and its own failure weight. So the
+model can be read in two parts without changing the sum. The hot part, n-grams of at least HOT_SHARE of all tokens and so at
+most 1 / HOT_SHARE of each length, is an automaton that is broadcast with the whole model's weights: a state is the longest
+suffix that is a context, a missing arc follows the state's failure arc. Each text's other distinct n-grams are joined to the
+tables in one shuffle by n-gram, pre-aggregated by text.
 
-A bitmap of fixed 2 ** BITMAP_BITS bits spares n-grams that are in no table the shuffle; a false hit costs a row, never a
-result. N-grams are told apart by 64-bit hashes of their words.
+A bitmap of fixed 2 ** BITMAP_BITS bits spares n-grams that are in no table that shuffle; a false hit costs a row, never
+a result, and with far more n-grams than bits all are shuffled. N-grams and words are told apart by 64-bit hashes: of n
+different ones, n ** 2 / 2 ** 65 pairs are expected to share one.
 
 Defined results: a null or empty text is the end token alone; with an empty training part every probability is 1;
 repeated rows are scored and counted each; the score of a text does not depend on the others in its batch; further
@@ -22,27 +24,26 @@ columns are ignored; an empty table gives an empty result. Rows without an id be
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, materialize, remainder, utf8
+from .common import bounded_batches, documents, materialize, release, remainder, row_key, utf8
 
 FOLDS, HELD_OUT = 7, 2
+ORDER = 3
 LEAST_COUNT = 2
-HOT_SHARE = 1e-6
-GRAM_SHARE = 1e-6
+HOT_SHARE = 1e-7
 SEED, BITMAP_BITS = 42, 27
 DISCOUNT = 0.5
 END = b"\n"  # no word holds white space
-MOST_PARTIAL = 500_000
+END_HASH = np.uint64(xxhash.xxh64_intdigest(END, SEED))
+MOST_PARTIAL = 2_000_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -52,79 +53,13 @@ def tokens(text: bytes) -> list[bytes]:
     return out
 
 
-@dataclass
-class Model:
-    """The tables of all words (word, c, bo) and of the n-grams outside the automaton (key, value), and the automaton over the hot ones."""
-
-    counts: DataFrame
-    cold: DataFrame
-    bits: np.ndarray  # bitmap of the keys in cold
-    total: int
-    distinct: int
-    words: dict[bytes, int]
-    logs: np.ndarray  # log10 of each frequent word's smoothed probability
-    arcs: dict[int, tuple[float, int]]  # state * width + word -> log10 probability, next state
-    fail: list[int]
-    weight: list[float]
-    start: list[int]  # the state after a word seen at the root
-    width: int
-
-    def log_unigram(self, c: float) -> float:
-        return math.log10((c + 1) / (self.total + self.distinct + 1))
-
-    def traverse(self, ids: list[int]) -> float:
-        """Sum over the tokens; for -1, a word that isn't frequent, only the way down to the root."""
-        arcs, fail, weight, start, logs, width = self.arcs.get, self.fail, self.weight, self.start, self._logs, self.width
-        state, out = 0, 0.0
-        for w in ids:
-            if w < 0:
-                while state:
-                    out += weight[state]
-                    state = fail[state]
-                continue
-            while True:
-                arc = arcs(state * width + w)
-                if arc is not None:
-                    out += arc[0]
-                    state = arc[1]
-                    break
-                if not state:
-                    out += logs[w]
-                    state = start[w]
-                    break
-                out += weight[state]
-                state = fail[state]
-        return out
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("counts", "cold", "_logs")}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._logs = self.logs.tolist()
-
-    def __post_init__(self):
-        self._logs = self.logs.tolist()
-
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """word (bytes), c: exact counts over all texts (column data), the end token included."""
-
-    def run(batches):
-        seen: Counter[bytes] = Counter()
-
-        def give():
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                seen.update(tokens(x))
-            if len(seen) > MOST_PARTIAL:
-                yield from give()
-        yield from give()
-
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of the texts, one text after the other, and the number of each text's tokens."""
+    parts = []
+    for x in texts:
+        t = tokens(x)
+        parts.append(np.fromiter(map(xxhash.xxh64_intdigest, t, repeat(SEED)), np.uint64, len(t)))
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 def _rotated(x: np.ndarray, by: int) -> np.ndarray:
@@ -145,9 +80,91 @@ def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return _hashed(y, _hashed(x, np.full(1, SEED, np.uint64)))
 
 
-def word_hashes(t: list[bytes]) -> np.ndarray:
-    """Spark's xxhash64(word) of each word, as unsigned."""
-    return np.fromiter(map(xxhash.xxh64_intdigest, t, repeat(SEED)), np.uint64, len(t))
+def longer(keys: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the n-grams of one token more, by their last token, and which of them there are: none goes on after an end.
+
+    ``keys``, ``valid``: of the shorter ones. A key joins those of the n-gram's context and suffix.
+    """
+    out, there = np.zeros_like(keys), np.zeros_like(valid)
+    out[1:] = joined(keys[:-1], keys[1:])
+    there[1:] = valid[1:] & valid[:-1] & (h[:-1] != END_HASH)
+    return out, there
+
+
+@dataclass
+class Automaton:
+    """Hot words by hash, and the arcs between states by number of state and word; state 0 is the root."""
+
+    word: np.ndarray  # hashes, ascending
+    logs: np.ndarray  # log10 of each word's smoothed probability
+    start: np.ndarray  # the state after a word seen at the root
+    arc: np.ndarray  # state * number of words + word, ascending
+    value: np.ndarray  # log10 probability of each arc
+    after: np.ndarray  # the state behind each arc
+    fail: np.ndarray
+    weight: np.ndarray
+    depth: int  # most words of a state
+
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        """Number of each word; -1 for words that aren't hot."""
+        return places(self.word, h)
+
+    def arcs(self, state: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Place of each arc, or -1."""
+        return np.where((ids >= 0) & (state > 0), places(self.arc, state * max(len(self.word), 1) + ids), -1)
+
+    def states(self, ids: np.ndarray) -> np.ndarray:
+        """The state before each token of a run of texts, each closed by the end, which leads to the root.
+
+        A state is the longest suffix that is a context, so those of one more word follow from those of one less.
+        """
+        own = state = np.where(ids >= 0, self.start[ids], 0) if len(self.start) else np.zeros(len(ids), np.int64)
+        for _ in range(self.depth - 1):
+            arc = self.arcs(np.concatenate([[0], state[:-1]]), ids)
+            state = np.where(arc >= 0, self.after[arc], own) if len(self.after) else own
+        return np.concatenate([[0], state[:-1]])
+
+    def traverse(self, ids: np.ndarray) -> np.ndarray:
+        """What each token adds: failure weights until the state has the arc, then the arc; at the root the word."""
+        out, state, open_ = np.zeros(len(ids)), self.states(ids), np.arange(len(ids))
+        while len(open_):
+            s, w = state[open_], ids[open_]
+            arc = self.arcs(s, w)
+            hit, root = arc >= 0, s == 0
+            out[open_[hit]] += self.value[arc[hit]]
+            last = open_[root & ~hit & (w >= 0)]
+            out[last] += self.logs[ids[last]]
+            open_ = open_[~hit & ~root]
+            out[open_] += self.weight[state[open_]]
+            state[open_] = self.fail[state[open_]]
+        return out
+
+
+def places(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each key in the ascending table, or -1."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.searchsorted(table, keys)
+    at[at == len(table)] = 0
+    return np.where(table[at] == keys, at, -1)
+
+
+@dataclass
+class Model:
+    """The automaton of hot n-grams, and the table of all others: key, c (of words only), value, bo."""
+
+    cold: DataFrame
+    bits: np.ndarray  # bitmap of the cold keys of n-grams
+    total: int
+    distinct: int
+    hot: Automaton
+    order: int
+
+    def log_unigram(self, c: float) -> float:
+        return math.log10((c + 1) / (self.total + self.distinct + 1))
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "cold"}
 
 
 def hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -165,125 +182,150 @@ def bitmap(keys: DataFrame) -> np.ndarray:
 
 
 def count_grams(texts: DataFrame, parts_of) -> DataFrame:
-    """x, y, n: exact counts, of at least LEAST_COUNT, of the n-grams that ``parts_of(text)`` gives as two arrays."""
+    """x, y, n: exact counts of the n-grams that ``parts_of(hashes)`` gives by context and suffix, as arrays x, y, n; of words (y = 0) all, of others those of at least LEAST_COUNT.
+
+    A task counts its own texts first, in bounded memory, so a hot n-gram is shuffled once a task.
+    """
 
-    def summed(key, x, y, n):
-        order = np.argsort(key, kind="stable")
+    def summed(x, y, n):
+        key = joined(x, y)
+        order = np.argsort(key)
         key = key[order]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         first = order[starts]
-        return key[starts], x[first], y[first], np.add.reduceat(n[order], starts)
+        return x[first], y[first], np.add.reduceat(n[order], starts)
 
     def run(batches):
         held: list[tuple] = []
-        size = 0
+        fresh = 0
 
         def merged():
             return summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-        def given(key, x, y, n):
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(n)], names=["x", "y", "n"])
+        def given(x, y, n):
+            for at in range(0, len(x), 1 << 18):
+                s = slice(at, at + (1 << 18))
+                yield pa.RecordBatch.from_arrays([pa.array(x[s].view(np.int64)), pa.array(y[s].view(np.int64)), pa.array(n[s])], names=["x", "y", "n"])
 
         for b in batches:
-            parts = [parts_of(d) for d in b.column(0).to_pylist()]
-            x, y = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in (0, 1))
+            x, y, n = parts_of(hashed(b.column(0).to_pylist())[0])
             if len(x):
-                held.append(summed(joined(x, y), x, y, np.ones(len(x), np.int64)))
-                size += len(held[-1][0])
-            if size > 4 * MOST_PARTIAL:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > 2 * MOST_PARTIAL:
-                    yield given(*held[0])
-                    held, size = [], 0
+                held.append((x, y, n))
+                fresh += len(x)
+            if fresh > MOST_PARTIAL:
+                held, fresh = [merged()], 0
+                if len(held[0][0]) > 2 * MOST_PARTIAL:
+                    yield from given(*held[0])
+                    held = []
         if held:
-            yield given(*merged())
+            yield from given(*merged())
 
-    return texts.mapInArrow(run, "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    return texts.mapInArrow(run, "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST_COUNT) | (F.col("y") == 0))
 
 
-def pair_keys(data: bytes) -> np.ndarray:
-    h = word_hashes(tokens(data))
-    return joined(h[:-1], h[1:])
-
-
-def train(docs: DataFrame, text: str = "text") -> Model:
+def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     """Fit on all of ``docs``."""
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(utf8(text).alias("data"))
-    counts = materialize(count_words(texts), "words")
-    row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+
+    def words_and_pairs(h: np.ndarray):
+        word, n = np.unique(h, return_counts=True)
+        at = np.flatnonzero(h[:-1] != END_HASH)
+        return np.concatenate([word, h[at]]), np.concatenate([np.zeros(len(word), np.uint64), h[at + 1]]), np.concatenate([n, np.ones(len(at), np.int64)])
+
+    counted = materialize(count_grams(texts, words_and_pairs), "grams")
+    words = counted.where("y = 0").select(F.col("x").alias("key"), F.col("n").alias("c"))
+    row = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = int(row.n), int(row.v)
-    least = max(GRAM_SHARE * total, LEAST_COUNT)
-
-    def pairs_of(data: bytes):
-        h = word_hashes(tokens(data))
-        return h[:-1], h[1:]
-
-    pairs = materialize(count_grams(texts, pairs_of).withColumn("key", F.xxhash64("x", "y")), "pairs")
-    seen = spark.sparkContext.broadcast(bitmap(pairs))
-
-    def triples_of(data: bytes):
-        k = pair_keys(data)
-        hit = hits(seen.value, k)
-        both = hit[:-1] & hit[1:]
-        return k[:-1][both], k[1:][both]
-
-    triples = materialize(count_grams(texts, triples_of), "triples")  # x, y: the keys of its two pairs
-
-    def weights(table: DataFrame) -> DataFrame:
-        """x, bo: log10 of the mass that the arcs of a context leave, over what they leave one order down."""
-        left, rest = (F.greatest(1 - F.sum(c), F.lit(1e-12)) for c in ("p", "lower"))
-        return table.groupBy("x").agg(F.log10(left / rest).alias("bo"))
-
-    word = counts.select(F.xxhash64("word").alias("h"), "c")
-    first, second = word.select(F.col("h").alias("x"), F.col("c").alias("above")), word.select(F.col("h").alias("y"), ((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("lower"))
-    pairs = materialize(pairs.join(first, "x").join(second, "y").select("key", "x", "y", "n", ((F.col("n") - DISCOUNT) / F.col("above")).alias("p"), "lower"), "pair_p")
-    above, below = pairs.select(F.col("key").alias("x"), F.col("n").alias("above")), pairs.select(F.col("key").alias("y"), F.col("p").alias("lower"))
-    triples = materialize(triples.join(above, "x").join(below, "y").select("x", "y", "n", ((F.col("n") - DISCOUNT) / F.col("above")).alias("p"), "lower"), "triple_p")
-    one, two = materialize(weights(pairs), "pair_bo"), materialize(weights(triples), "triple_bo")
-    counts = materialize(counts.withColumn("x", F.xxhash64("word")).join(one, "x", "left").drop("x"), "words")
-    pairs = pairs.join(two.select(F.col("x").alias("key"), F.col("bo").alias("own")), "key", "left")
-    change = F.log10("p") - F.col("bo") - F.log10("lower")
-    cold2 = pairs.where(F.col("n") < least).join(one, "x").select("key", (change + F.coalesce("own", F.lit(0.0))).alias("value"))
-    cold3 = triples.where(F.col("n") < least).join(two, "x").select(F.xxhash64("x", "y").alias("key"), change.alias("value"))
-    cold = materialize(cold2.union(cold3), "cold")
-    hot2 = pairs.where(F.col("n") >= least).select("key", "x", "y", F.log10("p").alias("p"), "own").toArrow()  # at most 1 / GRAM_SHARE rows
-    hot3 = triples.where(F.col("n") >= least).select("x", "y", F.log10("p").alias("p")).toArrow()
-    hot1 = counts.where(F.col("c") >= HOT_SHARE * total).toArrow()  # at most 1 / HOT_SHARE rows
-    return _automaton(counts, cold, total, distinct, hot1, hot2, hot3)
-
-
-def _automaton(counts, cold, total, distinct, hot1, hot2, hot3) -> Model:
-    """The states are the hot words and pairs that are contexts; an n-gram is hot only if its parts are."""
-    order = sorted(zip(hot1.column("c").to_pylist(), hot1.column("word").to_pylist(), hot1.column("bo").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
-    words = {w: i for i, (_, w, _) in enumerate(order)}
-    width = max(len(words), 1)
-    c1 = np.array([c for c, _, _ in order], np.int64)
-
-    def places(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        by = np.argsort(table)
-        return by[np.searchsorted(table, keys, sorter=by)]
-
-    h = word_hashes(list(words)).view(np.int64)
-    key, x, y = (hot2.column(c).to_numpy() for c in ("key", "x", "y"))
-    a, b = (places(h, x), places(h, y)) if len(key) else (np.zeros(0, np.int64),) * 2
-    first, second = (places(key, hot3.column(c).to_numpy()) for c in ("x", "y")) if hot3.num_rows else (np.zeros(0, np.int64),) * 2
-    last = b[second]
-
-    one = [i for i, (_, _, bo) in enumerate(order) if bo is not None]
-    own = hot2.column("own").to_pylist()
-    two = [i for i, bo in enumerate(own) if bo is not None]
-    state1 = np.zeros(width, np.int64)
-    state1[one] = 1 + np.arange(len(one))
-    state2 = state1[b]
-    state2[two] = 1 + len(one) + np.arange(len(two))
-    fail = [0] + [0] * len(one) + state1[b[two]].tolist()
-    weight = [0.0] + [order[i][2] for i in one] + [own[i] for i in two]
-    arcs = dict(zip((state1[a] * width + b).tolist(), zip(hot2.column("p").to_pylist(), state2.tolist(), strict=True), strict=True))
-    arcs |= dict(zip((state2[first] * width + last).tolist(), zip(hot3.column("p").to_pylist(), state2[second].tolist(), strict=True), strict=True))
-    return Model(counts, cold, bitmap(cold), total, distinct, words, np.log10((c1 + 1) / (total + distinct + 1)), arcs, fail, weight, state1.tolist(), width)
+    least = max(HOT_SHARE * total, LEAST_COUNT)
+    shorter = words.select("key", "c", ((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("p"))
+    pairs, levels, contexts, made = counted.where("y <> 0"), [], [], [counted]
+    for n in range(2, order + 1):
+        if n > 2:
+            pairs = materialize(count_grams(texts, _longest_of(spark, shorter, n)), f"grams{n}")
+        of_suffix, of_context = shorter.select(F.col("key").alias("y"), F.col("p").alias("lower")), shorter.select(F.col("key").alias("x"), "c")
+        with_lower = materialize(pairs.join(of_suffix, "y"), f"lower{n}")
+        sums = with_lower.groupBy("x").agg(F.sum(F.col("n") - DISCOUNT).alias("held"), F.sum("lower").alias("low"))
+        left, rest = (F.greatest(1 - c, F.lit(1e-12)) for c in (F.col("held") / F.col("c"), F.col("low")))
+        context = materialize(of_context.join(sums, "x").select("x", "c", F.log10(left / rest).alias("bo")), f"contexts{n}")
+        p, hot = (F.col("n") - DISCOUNT) / F.col("c"), F.col("n") >= least
+        level = with_lower.join(context, "x").select(
+            F.xxhash64("x", "y").alias("key"), F.col("n").alias("c"), p.alias("p"), (F.log10(p) - F.col("bo") - F.log10("lower")).alias("value"), F.when(hot, F.col("x")).alias("x"), F.when(hot, F.col("y")).alias("y")
+        )
+        levels.append(materialize(level, f"level{n}"))
+        contexts.append(context.select(F.col("x").alias("key"), "bo"))
+        release(with_lower, *([pairs] if n > 2 else []))
+        made += [context, levels[-1]]
+        shorter = levels[-1]
+    of_own = [*contexts, None]  # the failure weights of words, pairs and so on
+    tables = [words.withColumn("p", F.lit(None).cast("double")).withColumn("value", F.lit(None).cast("double")), *levels]
+    tables = [t.join(own, "key", "left") if own is not None else t.withColumn("bo", F.lit(None).cast("double")) for t, own in zip(tables, of_own, strict=True)]
+    is_hot = F.col("c") >= least
+    # At most 1 / HOT_SHARE rows of each length.
+    hot = [t.where(is_hot).select("key", "c", "p", *(("x", "y") if i else ()), "bo").toArrow() for i, t in enumerate(tables)]
+    cold = tables[0].where(~is_hot).select("key", "c", "value", "bo")
+    for t in tables[1:]:
+        cold = cold.unionByName(t.where(~is_hot).select("key", F.lit(None).cast("long").alias("c"), "value", "bo"))
+    cold = materialize(cold, "cold")
+    release(*made)
+    return Model(cold, bitmap(cold.where("c is null")), total, distinct, _automaton(hot, total, distinct), order)
+
+
+def _longest_of(spark: SparkSession, shorter: DataFrame, n: int):
+    """The parts of n-grams of length ``n`` of which both parts were seen twice, as far as a bitmap tells."""
+    seen = spark.sparkContext.broadcast(bitmap(shorter))
+
+    def parts_of(h: np.ndarray):
+        keys, valid = h, np.ones(len(h), bool)
+        for _ in range(n - 2):
+            keys, valid = longer(keys, valid, h)
+        valid &= hits(seen.value, keys)
+        at = np.flatnonzero(valid[1:] & valid[:-1] & (h[:-1] != END_HASH))
+        return keys[at], keys[at + 1], np.ones(len(at), np.int64)
+
+    return parts_of
+
+
+def _automaton(hot: list[pa.Table], total: int, distinct: int) -> Automaton:
+    """States are the hot n-grams that are contexts; parts of a hot n-gram are hot themselves."""
+
+    def read(t: pa.Table) -> dict[str, np.ndarray]:
+        order = np.argsort(t.column("key").to_numpy().view(np.uint64))
+        out = {c: t.column(c).to_numpy()[order] for c in t.column_names if c != "bo"}
+        out |= {c: out[c].astype(np.int64).view(np.uint64) for c in ("key", "x", "y") if c in out}
+        return out | {"bo": t.column("bo").to_pandas().to_numpy(np.float64)[order]}  # NaN: no context
+
+    word, *longer_ = map(read, hot)
+    width = max(len(word["key"]), 1)
+    fail, weight, arcs, values, after = [np.zeros(1, np.int64)], [np.zeros(1)], [], [], []
+    known, number, last = word, np.zeros(len(word["key"]), np.int64), np.arange(len(word["key"]))
+    states = 1
+
+    def numbered(t, suffix_state):
+        """The state of each n-gram: its own if it is a context, else that of its suffix."""
+        nonlocal states
+        own = ~np.isnan(t["bo"])
+        out = suffix_state.copy()
+        out[own] = states + np.arange(own.sum())
+        states += int(own.sum())
+        fail.append(suffix_state[own])
+        weight.append(t["bo"][own])
+        return out
+
+    number = start = numbered(word, number)
+    for t in longer_:
+        x, y = places(known["key"], t["x"]), places(known["key"], t["y"])
+        context, last = number[x], last[y]
+        number = numbered(t, number[y])
+        arcs.append(context * width + last)
+        values.append(np.log10(t["p"].astype(np.float64)))
+        after.append(number)
+        known = t
+    arc = np.concatenate(arcs) if arcs else np.zeros(0, np.int64)
+    order = np.argsort(arc)
+    value, behind = (np.concatenate(c)[order] if arcs else np.zeros(0, k) for c, k in ((values, np.float64), (after, np.int64)))
+    return Automaton(word["key"], np.log10((word["c"].astype(np.float64) + 1) / (total + distinct + 1)), start, arc[order], value, behind, np.concatenate(fail), np.concatenate(weight), len(longer_))
 
 
 def score(docs: DataFrame, model: Model, held_out: Column, text: str = "text") -> DataFrame:
@@ -291,55 +333,56 @@ def score(docs: DataFrame, model: Model, held_out: Column, text: str = "text") -
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    rare = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-
-    def cold_of(m: Model, t: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys of the pairs and triples that the bitmap knows, and how often each occurs."""
-        h = word_hashes(t)
-        k = joined(h[:-1], h[1:])
-        k = np.concatenate([k, joined(k[:-1], k[1:])])
-        return np.unique(k[hits(m.bits, k)], return_counts=True)
+    part = pa.struct([("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
 
     def run(batches):
+        """A row with the automaton's sums for each text, and a row for each n-gram of it that isn't in the automaton."""
         m = shared.value
-        get, logs, at = m.words.get, m.logs, (TaskContext.get().partitionId() << 40)
         for b in batches:
-            rows, cold = [], []
-            for data in b.column(2).to_pylist():
-                t = tokens(data)
-                listed = [get(w, -1) for w in t]
-                ids = np.array(listed, np.int64)
-                known = ids >= 0
-                n_known = int(known.sum())
-                left = Counter(w for w, i in zip(t, listed, strict=True) if i < 0) if n_known < len(t) else {}
-                rows.append((at, len(t), n_known, float(logs[ids[known]].sum()), m.traverse(listed), [{"word": w, "n": n} for w, n in left.items()]))
-                cold.append(cold_of(m, t))
-                at += 1
-            ends = np.cumsum([0, *(len(k) for k, _ in cold)])
-            keys, n = (np.concatenate([c[i] for c in cold]).astype(kind) if cold else np.zeros(0, kind) for i, kind in ((0, np.uint64), (1, np.int64)))
-            grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"]))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)), grams], names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "model", "rare", "cold"])
-
-    picked = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), utf8(text).alias("data"))
-    each = materialize(picked.mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, model double, rare array<struct<word:binary,n:bigint>>, cold array<struct<key:bigint,n:bigint>>"), "scored")
-    loose = each.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n")
-    c, n = F.coalesce(F.col("c"), F.lit(0)), F.col("n")
-    of_words = loose.join(model.counts, "word", "left").select(
-        "row", (n * F.log10((c + 1) / F.lit(float(model.total + model.distinct + 1)))).alias("base"), (n * F.coalesce("bo", F.lit(0.0))).alias("more"), F.when(c > 0, n).otherwise(0).alias("seen")
-    )
-    of_grams = each.select("row", F.explode("cold").alias("x")).select("row", "x.key", "x.n").join(model.cold, "key").select("row", F.lit(0.0).alias("base"), (n * F.col("value")).alias("more"), F.lit(0).cast("long").alias("seen"))
-    sums = [F.sum(x).alias(x) for x in ("base", "more", "seen")]
-    rest = of_words.groupBy("row").agg(*sums).union(of_grams.groupBy("row").agg(*sums)).groupBy("row").agg(*(F.sum(x).alias(f"{x}_rest") for x in ("base", "more", "seen")))
-    base, more = F.coalesce("base_rest", F.lit(0.0)), F.coalesce("more_rest", F.lit(0.0))
-    return each.drop("rare", "cold").join(rest, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen_rest", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + base).alias("base_score"), (F.col("model") + base + more).alias("score"),
+            h, size = hashed(b.column(2).to_pylist())
+            text_of, ids = np.repeat(np.arange(len(size)), size), m.hot.ids(h)
+            hot = np.flatnonzero(ids >= 0)
+            sums = [np.bincount(text_of[at], w, len(size)) for at, w in ((hot, None), (hot, m.hot.logs[ids[hot]]), (slice(None), m.hot.traverse(ids)))]
+            loose = [(h[ids < 0], text_of[ids < 0])]
+            keys, valid = h, np.ones(len(h), bool)
+            for _ in range(m.order - 1):
+                keys, valid = longer(keys, valid, h)
+                at = np.flatnonzero(valid & hits(m.bits, keys))
+                loose.append((keys[at], text_of[at]))
+            own = pa.StructArray.from_arrays([pa.array(size), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], fields=list(part))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(1), pa.array(np.zeros(len(size), bool)), own], names=names)
+            key, of = (np.concatenate(c) for c in zip(*loose, strict=True))
+            word = np.arange(len(key)) < len(loose[0][0])
+            order = np.argsort(of, kind="stable")
+            for at in range(0, len(order), 1 << 18):
+                o = order[at : at + (1 << 18)]
+                t = pa.array(of[o])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(t), b.column(1).take(t), pa.array(key[o].view(np.int64)), pa.array(word[o]), pa.nulls(len(o), part)], names=names)
+
+    names = ["doc_id", "k", "key", "word", "own"]
+    row = [F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", text).alias("k")]
+    rows = docs.select(*row, utf8(text).alias("data")).mapInArrow(run, "doc_id long, k long, key long, word boolean, own struct<tokens:bigint,known:bigint,base:double,model:double>")
+    c, zero = F.coalesce("c", F.lit(0)), F.lit(0.0)
+    base = F.when(F.col("word"), F.log10((c + 1) / F.lit(float(model.total + model.distinct + 1)))).otherwise(zero)
+    found = rows.join(model.cold, "key", "left").select(
+        "doc_id", "k", "own", base.alias("base"), (base + F.coalesce("value", zero) + F.coalesce("bo", zero)).alias("model"), (F.col("word") & (c > 0)).cast("long").alias("known"),
+    )
+    sums = materialize(
+        found.groupBy("doc_id", "k").agg(
+            F.count("own").alias("copies"), F.sum("own.tokens").alias("n_tokens"), (F.sum("known") + F.sum("own.known")).alias("n_known"),
+            (F.sum("base") + F.sum("own.base")).alias("base_score"), (F.sum("model") + F.sum("own.model")).alias("score"),
+        ), "scores",
     )
+    # Rows equal in id and text were summed together: each has its share.
+    each = sums.select(F.col("doc_id").alias("id"), F.col("k").alias("of"), *[(F.col(x) / F.col("copies")).cast(kind).alias(x) for x, kind in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double"))])
+    picked = docs.select(*row, held_out.alias("held_out"))
+    return picked.join(each, (F.col("k") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held = remainder("doc_id", FOLDS) == HELD_OUT
-    return score(docs, train(docs.where(~held)), held)
+    model = train(docs.where(~held))
+    out = score(docs, model, held)
+    release(model.cold)
+    return out

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 import corpus_pipeline
 from factweave.llm import op3_linechunks, op5_sentencepiece, op6_simhash, op10_mixing, registry
 
+from test_ops import plain_backoff
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k long, h string, fp string, size string, score string, kept string, copies string, prefix string, spans string, token_ids string, removed_units string"
 PASSAGE = " ".join(f"Sentence number {i} of the passage has some words in it." for i in range(12))
 
@@ -106,12 +108,14 @@ def test_scores_like_plain(spark, small):
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in docs}
     c = Counter(w for d, t in tokens.items() if not held[d] for w in t)
     n, v = sum(c.values()), len(c)
+    p = plain_backoff([Counter(tuple(t[i : i + k]) for d, t in tokens.items() if not held[d] for i in range(len(t) - k + 1)) for k in (1, 2, 3)])
     rows = registry.queries()["op9_lm"](spark, small).collect()
     assert len(rows) == len(docs)
     for r in rows:
         t = tokens[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(c[w] > 0 for w in t), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10(p(tuple(t[max(0, j - 2) : j + 1]))) for j in range(len(t))), rel_tol=1e-9)
     out = [r for r in rows if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 

@@ -276,50 +276,73 @@ def test_repetition_counts(text):
 def test_automaton_is_a_distribution(spark):
     rng = random.Random(7)
     texts = [" ".join(rng.choice(["a b", "a c", "b a c", "c", "d e f"]) for _ in range(40)) for _ in range(30)]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    m = op9_lm.train(df)
+    m = op9_lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
     c = Counter(w for t in texts for w in op9_lm.tokens(t.encode()))
-    assert m.total == sum(c.values()) and m.distinct == len(c) and len(m.arcs) > 5 and max(m.fail) > 0
-    unseen = 10 ** m.log_unigram(0)
-    for state in range(len(m.fail)):
-        total = 0.0
-        for w in m.words.values():
-            s, lp = state, 0.0
-            while (arc := m.arcs.get(s * m.width + w)) is None and s:
-                lp, s = lp + m.weight[s], m.fail[s]
-            total += 10 ** (lp + (arc[0] if arc else m.logs[w]))
+    hot, width = m.hot, len(m.hot.word)
+    assert m.total == sum(c.values()) and m.distinct == len(c) == width and len(hot.arc) > 5 and hot.fail.max() > 0 and m.cold.count() == 0
+    arcs = {(int(a) // width, int(a) % width): i for i, a in enumerate(hot.arc)}
+
+    def step(state, word):
+        """One token of the plain traversal: what it adds, and the state after it."""
+        added = 0.0
+        while (i := arcs.get((state, word))) is None and state:
+            added, state = added + hot.weight[state], hot.fail[state]
+        return (added + hot.value[i], hot.after[i]) if i is not None else (added + hot.logs[word], hot.start[word])
+
+    for state in range(len(hot.fail)):
         lp, s = 0.0, state
         while s:
-            lp, s = lp + m.weight[s], m.fail[s]
-        assert math.isclose(total + 10**lp * unseen, 1, abs_tol=1e-6), state
-
-
-@pytest.mark.parametrize("share", [1e-6, 0.02, 0.5])
-def test_scores_hold_every_ngram_seen_twice(spark, monkeypatch, share):
-    """The score is the same whatever part of the model is hot, and equals plain backoff over all n-grams seen twice."""
+            lp, s = lp + hot.weight[s], hot.fail[s]
+        assert math.isclose(sum(10 ** step(state, w)[0] for w in range(width)) + 10 ** (lp + m.log_unigram(0)), 1, abs_tol=1e-6), state
+    h, _ = op9_lm.hashed([t.encode() for t in [*texts, "", "f d", "c"]])
+    ids, state, want = hot.ids(h), 0, []
+    for w in ids.tolist():
+        added, state = step(state, w)
+        want.append(added)
+    assert np.allclose(hot.traverse(ids), want, atol=1e-12)
+
+
+@pytest.mark.parametrize(("share", "order"), [(1e-7, 3), (0.02, 3), (0.5, 3), (0.02, 2), (0.02, 4)])
+def test_scores_hold_every_ngram_seen_twice(spark, monkeypatch, share, order):
+    """The score is the same whatever part of the model is hot, and equals plain backoff over all n-grams seen twice; rows may repeat."""
     monkeypatch.setattr(op9_lm, "HOT_SHARE", share)
-    monkeypatch.setattr(op9_lm, "GRAM_SHARE", share)
     rng = random.Random(8)
     texts = [" ".join(rng.choice(["a b", "a c", "b a c", "c", "d e f", str(rng.randint(0, 60))]) for _ in range(rng.randint(0, 40))) for _ in range(40)]
     parts = [[w.encode() for w in t.split()] + [op9_lm.END] for t in texts]
-    grams = [Counter(tuple(p[i : i + k]) for p in parts[:30] for i in range(len(p) - k + 1)) for k in (1, 2, 3)]
+    grams = [Counter(tuple(p[i : i + k]) for p in parts[:30] for i in range(len(p) - k + 1)) for k in range(1, order + 1)]
+    p = plain_backoff(grams)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    m = op9_lm.train(df.where("doc_id < 30"), order=order)
+    assert (m.cold.where("c is null").count() > 5) == (share > 1e-6)
+    got = op9_lm.score(df.union(df.where("doc_id = 3")).union(df.where("doc_id = 4").selectExpr("null", "text")), m, op9_lm.F.col("doc_id") >= 30).collect()
+    assert len(got) == 42
+    for r in got:
+        t = parts[4 if r.doc_id is None else r.doc_id]
+        assert math.isclose(r.score, sum(math.log10(p(tuple(t[max(0, j - order + 1) : j + 1]))) for j in range(len(t))), abs_tol=1e-8), r
+        assert r.n_tokens == len(t) and r.n_known == sum(grams[0][(w,)] > 0 for w in t)
+
+
+def plain_backoff(grams):
+    """Probability of a tuple's last word after the others: absolute discounting over all n-grams seen twice. ``grams``: counts by length."""
     total, distinct = sum(grams[0].values()), len(grams[0])
-    arcs = {g: n for c in grams[1:] for g, n in c.items() if n >= 2}
+    arcs, after = {g: n for c in grams[1:] for g, n in c.items() if n >= 2}, {}
+    for g in arcs:
+        after.setdefault(g[:-1], []).append(g)
+    weights = {}
 
     def p(g):
         if len(g) == 1:
             return (grams[0][g] + 1) / (total + distinct + 1)
         if g in arcs:
             return (arcs[g] - 0.5) / grams[len(g) - 2][g[:-1]]
-        out = [x for x in arcs if x[:-1] == g[:-1]]
-        return p(g[1:]) * ((1 - sum(map(p, out))) / (1 - sum(p(x[1:]) for x in out)) if out else 1)
-
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    m = op9_lm.train(df.where("doc_id < 30"))
-    assert (m.cold.count() > 5) == (share > 1e-6)
-    got = {r.doc_id: r.score for r in op9_lm.score(df, m, op9_lm.F.col("doc_id") >= 30).collect()}
-    for i, t in enumerate(parts):
-        assert math.isclose(got[i], sum(math.log10(p(tuple(t[max(0, j - 2) : j + 1]))) for j in range(len(t))), abs_tol=1e-8), i
+        context = g[:-1]
+        if context not in weights:
+            out = after.get(context, [])
+            weights[context] = (1 - sum(map(p, out))) / (1 - sum(p(x[1:]) for x in out)) if out else 1
+        return p(g[1:]) * weights[context]
+
+    return p
 
 
 # op10
