@@ -59,13 +59,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/factweave/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+    with tidy(spark):
         df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._factweave_path = path
     return out
 
 
+def tidy(spark: SparkSession):
+    """Shuffle files of actions in this block go when the action ends."""
+    return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
+def collected(df: DataFrame) -> pa.Table:
+    """The rows of a table of a bounded size."""
+    with tidy(df.sparkSession):
+        return df.toArrow()
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of :func:`materialize` that no later step reads."""
     for t in tables:

@@ -33,17 +33,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, materialize, release, remainder, row_key, utf8
+from .common import bounded_batches, collected, documents, materialize, release, remainder, row_key, utf8
 
 FOLDS, HELD_OUT = 7, 2
-ORDER = 3
+ORDER = 2
 LEAST_COUNT = 2
-HOT_SHARE = 1e-7
+HOT_SHARE = 2e-7
 SEED, BITMAP_BITS = 42, 27
 DISCOUNT = 0.5
 END = b"\n"  # no word holds white space
 END_HASH = np.uint64(xxhash.xxh64_intdigest(END, SEED))
-MOST_PARTIAL = 2_000_000
+MOST_PARTIAL = 1_000_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -175,7 +175,7 @@ def hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def bitmap(keys: DataFrame) -> np.ndarray:
     """Bits of the column key, as 64-bit words; at most 2 ** (BITMAP_BITS - 6) rows reach the driver."""
     bit = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    got = keys.select(F.shiftright(bit, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("one")).groupBy("at").agg(F.bit_or("one").alias("bits")).toArrow()
+    got = collected(keys.select(F.shiftright(bit, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("one")).groupBy("at").agg(F.bit_or("one").alias("bits")))
     out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     out[got.column("at").to_numpy()] = got.column("bits").to_numpy()
     return out.view(np.uint64)
@@ -214,7 +214,7 @@ def count_grams(texts: DataFrame, parts_of) -> DataFrame:
                 fresh += len(x)
             if fresh > MOST_PARTIAL:
                 held, fresh = [merged()], 0
-                if len(held[0][0]) > 2 * MOST_PARTIAL:
+                if len(held[0][0]) > MOST_PARTIAL:
                     yield from given(*held[0])
                     held = []
         if held:
@@ -236,8 +236,8 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
 
     counted = materialize(count_grams(texts, words_and_pairs), "grams")
     words = counted.where("y = 0").select(F.col("x").alias("key"), F.col("n").alias("c"))
-    row = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, distinct = int(row.n), int(row.v)
+    row = collected(words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"))).to_pylist()[0]
+    total, distinct = int(row["n"]), int(row["v"])
     least = max(HOT_SHARE * total, LEAST_COUNT)
     shorter = words.select("key", "c", ((F.col("c") + 1) / F.lit(float(total + distinct + 1))).alias("p"))
     pairs, levels, contexts, made = counted.where("y <> 0"), [], [], [counted]
@@ -254,22 +254,22 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
             F.xxhash64("x", "y").alias("key"), F.col("n").alias("c"), p.alias("p"), (F.log10(p) - F.col("bo") - F.log10("lower")).alias("value"), F.when(hot, F.col("x")).alias("x"), F.when(hot, F.col("y")).alias("y")
         )
         levels.append(materialize(level, f"level{n}"))
-        contexts.append(context.select(F.col("x").alias("key"), "bo"))
+        contexts.append(context.select(F.col("x").alias("key"), "c", "bo"))
         release(with_lower, *([pairs] if n > 2 else []))
         made += [context, levels[-1]]
         shorter = levels[-1]
-    of_own = [*contexts, None]  # the failure weights of words, pairs and so on
-    tables = [words.withColumn("p", F.lit(None).cast("double")).withColumn("value", F.lit(None).cast("double")), *levels]
-    tables = [t.join(own, "key", "left") if own is not None else t.withColumn("bo", F.lit(None).cast("double")) for t, own in zip(tables, of_own, strict=True)]
-    is_hot = F.col("c") >= least
     # At most 1 / HOT_SHARE rows of each length.
-    hot = [t.where(is_hot).select("key", "c", "p", *(("x", "y") if i else ()), "bo").toArrow() for i, t in enumerate(tables)]
-    cold = tables[0].where(~is_hot).select("key", "c", "value", "bo")
-    for t in tables[1:]:
-        cold = cold.unionByName(t.where(~is_hot).select("key", F.lit(None).cast("long").alias("c"), "value", "bo"))
+    is_hot = F.col("c") >= least
+    hot = [collected(t.where(is_hot).select(*columns)) for t, columns in zip([words, *levels], [("key", "c"), *[("key", "p", "x", "y")] * len(levels)], strict=True)]
+    weights = [collected(t.where(is_hot).select("key", "bo")) for t in contexts]
+    none = F.lit(None)
+    cold = words.select("key", "c", none.cast("double").alias("value")).where(~is_hot).join(contexts[0].select("key", "bo"), "key", "left")
+    for t, own in zip(levels, [*contexts[1:], None], strict=True):
+        rest = t.where(~is_hot).select("key", none.cast("long").alias("c"), "value")
+        cold = cold.unionByName(rest.withColumn("bo", none.cast("double")) if own is None else rest.join(own.select("key", "bo"), "key", "left"))
     cold = materialize(cold, "cold")
     release(*made)
-    return Model(cold, bitmap(cold.where("c is null")), total, distinct, _automaton(hot, total, distinct), order)
+    return Model(cold, bitmap(cold.where("c is null")), total, distinct, _automaton(hot, weights, total, distinct), order)
 
 
 def _longest_of(spark: SparkSession, shorter: DataFrame, n: int):
@@ -287,16 +287,20 @@ def _longest_of(spark: SparkSession, shorter: DataFrame, n: int):
     return parts_of
 
 
-def _automaton(hot: list[pa.Table], total: int, distinct: int) -> Automaton:
-    """States are the hot n-grams that are contexts; parts of a hot n-gram are hot themselves."""
+def _automaton(hot: list[pa.Table], weights: list[pa.Table], total: int, distinct: int) -> Automaton:
+    """States are the hot n-grams that are contexts, with their failure weights; parts of a hot n-gram are hot themselves."""
 
     def read(t: pa.Table) -> dict[str, np.ndarray]:
         order = np.argsort(t.column("key").to_numpy().view(np.uint64))
-        out = {c: t.column(c).to_numpy()[order] for c in t.column_names if c != "bo"}
-        out |= {c: out[c].astype(np.int64).view(np.uint64) for c in ("key", "x", "y") if c in out}
-        return out | {"bo": t.column("bo").to_pandas().to_numpy(np.float64)[order]}  # NaN: no context
-
-    word, *longer_ = map(read, hot)
+        out = {c: t.column(c).to_numpy()[order] for c in t.column_names}
+        return out | {c: out[c].astype(np.int64).view(np.uint64) for c in ("key", "x", "y") if c in out}
+
+    tables = [read(t) for t in hot]
+    for t, w in zip(tables, [*map(read, weights), None], strict=True):
+        t["bo"] = np.full(len(t["key"]), np.nan)  # no context
+        if w is not None and len(t["key"]):
+            t["bo"][places(t["key"], w["key"])] = w["bo"]
+    word, *longer_ = tables
     width = max(len(word["key"]), 1)
     fail, weight, arcs, values, after = [np.zeros(1, np.int64)], [np.zeros(1)], [], [], []
     known, number, last = word, np.zeros(len(word["key"]), np.int64), np.arange(len(word["key"]))
@@ -349,7 +353,7 @@ def score(docs: DataFrame, model: Model, held_out: Column, text: str = "text") -
                 keys, valid = longer(keys, valid, h)
                 at = np.flatnonzero(valid & hits(m.bits, keys))
                 loose.append((keys[at], text_of[at]))
-            own = pa.StructArray.from_arrays([pa.array(size), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], fields=list(part))
+            own = pa.StructArray.from_arrays([pa.array(size), pa.array(sums[0].astype(np.int64)), *(pa.array(x.astype(np.float64)) for x in sums[1:])], fields=list(part))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(1), pa.array(np.zeros(len(size), bool)), own], names=names)
             key, of = (np.concatenate(c) for c in zip(*loose, strict=True))
             word = np.arange(len(key)) < len(loose[0][0])

@@ -115,7 +115,7 @@ def test_scores_like_plain(spark, small):
         t = tokens[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(c[w] > 0 for w in t), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(tuple(t[max(0, j - 2) : j + 1]))) for j in range(len(t))), rel_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10(p(tuple(t[max(0, j - 1) : j + 1]))) for j in range(len(t))), rel_tol=1e-9)
     out = [r for r in rows if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 

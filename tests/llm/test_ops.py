@@ -276,7 +276,7 @@ def test_repetition_counts(text):
 def test_automaton_is_a_distribution(spark):
     rng = random.Random(7)
     texts = [" ".join(rng.choice(["a b", "a c", "b a c", "c", "d e f"]) for _ in range(40)) for _ in range(30)]
-    m = op9_lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    m = op9_lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), order=3)
     c = Counter(w for t in texts for w in op9_lm.tokens(t.encode()))
     hot, width = m.hot, len(m.hot.word)
     assert m.total == sum(c.values()) and m.distinct == len(c) == width and len(hot.arc) > 5 and hot.fail.max() > 0 and m.cold.count() == 0
