@@ -3,18 +3,20 @@
 A text is cut into lines, and lines into sentences, so that a passage set in one line has several units too. A rolling
 hash over the hashes of the last ``WINDOW`` units decides by one bit whether a chunk ends after a unit. Both outcomes of the
 bit are used, as two complementary chunkings: whatever stands before or after a passage, its boundaries inside stay, and
-what one chunking cuts into single units the other holds together. A second bit of the hash gives two more, for short
-passages. Beside these, the shortest run of two and more units and at least ``LEAST_WORDS`` words from each unit on, the
-shortest up to each unit, and each unit of at least ``LEAST_ALONE`` words are chunks: these don't depend on the neighbours, and those within a passage
-cover it, so every repeated run of units of that length is found whole. Chunks of two and more units and at least ``LEAST_WORDS``
-words are counted over the whole corpus by 64-bit hash; of those that occur again, the bytes are fetched and compared
-with the first occurrence (by id, then position), and all but the first are cut out.
+what one chunking cuts into single units the other holds together. The boundary chunks of a passage still depend on its
+neighbours, so the shortest run of two and more units from each unit on, the shortest up to each unit, and each unit of at
+least ``least_alone`` words are chunks too: those within a passage cover it, so every repeated run is found whole. A chunk
+runs over a line break, or has at least ``least_words`` words inside one line; chunks of several lines may be as short as they like.
 
-A removed unit has an equal one earlier in the order, so by induction the first occurrence of every passage stays.
+Chunks are counted over the whole corpus by 64-bit hash. Of those that occur again, each document takes as few as cover its
+repeated units, long chunks before short ones; their bytes are fetched and compared with the first occurrence (by id,
+then text, then position), and all but the first are cut out. A removed unit has an equal one earlier in the order, so by
+induction the first occurrence of every passage stays. A hash shared by different chunks can only leave text in.
 
 Scale: hashes, not texts, are aggregated; hot hashes meet in partial aggregates and in joins that Spark can split. Only
-documents with a repeated chunk are shuffled with their text. They are found by a bitmap over row keys of a fixed
-2 ** BITMAP_BITS bits: a false hit costs a shuffled text, never a result.
+documents with a repeated chunk are shuffled with their text. They are found by a bitmap over row keys, of 16 bits a
+document and at most 2 ** BITMAP_BITS in all: a false hit costs a shuffled text, never a result. Rows are told apart by id and
+a hash of id and text together.
 
 Defined results: null texts stay null; a text that is removed whole stays as an empty text; repeated rows (same id and
 text) are one document and keep or lose the same units; rows without an id come first in the order; empty tables give
@@ -31,11 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, materialize, row_key
+from .common import bounded_batches, collected, documents, materialize, release, row_key
 
-WINDOW, BITS = 2, 2
-LEAST_UNITS, LEAST_WORDS, LEAST_ALONE = 2, 10, 25
-BITMAP_BITS = 25
+WINDOW = 2
+LEAST_WORDS, LEAST_ALONE = 10, 25
+BITMAP_BITS = 27
 _END = re.compile(r"(?<=[.!?]) |\n")
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -58,44 +60,71 @@ def units(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def chunks(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first unit and past the last unit of every chunk of the chunkings that is long enough, of the shortest runs and of long units."""
-    n = len(pieces)
-    none = np.zeros(0, np.int64)
+def pieces(text: str) -> tuple[list[str], list[bool]]:
+    """The units' texts, as :func:`units` cuts them, and whether each begins a line."""
+    out: list[str] = []
+    opens: list[bool] = []
+    for line in text.split("\n"):
+        own = [x for x in map(str.strip, _END.split(line)) if x]
+        out += own
+        opens += [True, *[False] * (len(own) - 1)] if own else []
+    return out, opens
+
+
+def chunks(texts: list[tuple[list[str], list[bool]]], least_words: int = LEAST_WORDS, least_alone: int = LEAST_ALONE) -> tuple[np.ndarray, ...]:
+    """Hash, text, first unit and past the last unit of every chunk of the texts (:func:`pieces` of each), computed for all at once."""
+    size = np.fromiter((len(p) for p, _ in texts), np.int64, len(texts))
+    n = int(size.sum())
     if not n:
-        return none, none, none
-    h = np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, n)
-    words = np.concatenate([[0], np.cumsum([p.count(" ") + 1 for p in pieces])])
+        return (np.zeros(0, np.int64),) * 4
+    every = [x for p, _ in texts for x in p]
+    h = np.fromiter(map(xxhash.xxh64_intdigest, every), np.uint64, n)
+    words = np.concatenate([[0], np.cumsum(np.fromiter((x.count(" ") + 1 for x in every), np.int64, n))])
+    opens = np.fromiter((x for _, o in texts for x in o), bool, n)
+    of = np.repeat(np.arange(len(texts)), size)
+    at, begin, end = np.arange(n), np.repeat(np.cumsum(size) - size, size), np.repeat(np.cumsum(size), size)
+
+    # The next unit after each, and the last up to each, that begins a line.
+    following = np.concatenate([np.minimum.accumulate(np.where(opens, at, n)[::-1])[::-1][1:], [n]])
+    latest = np.maximum.accumulate(np.where(opens, at, 0))
+    stop = np.maximum(np.minimum(np.searchsorted(words, words[:-1] + least_words), following + 1), at + 2)
+    start = np.minimum(np.maximum(np.searchsorted(words, words[1:] - least_words, side="right") - 1, latest - 1), at - 1)
+    spans = [(at * _WIDE + stop)[stop <= end], (start * _WIDE + at + 1)[start >= begin], (at * _WIDE + at + 1)[np.diff(words) >= least_alone]]
+
     roll = h.copy()
-    for k in range(1, min(WINDOW, n)):
-        roll[k:] = roll[k:] * np.uint64(31) + h[:-k]
-    roll = (roll ^ (roll >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    bits = [(roll >> np.uint64(63 - i)) & np.uint64(1) == 1 for i in range(BITS)]
-    power = np.cumprod(np.full(n, _BASE, np.uint64))
-    inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _INVERSE, np.uint64))])
-    total = np.concatenate([[np.uint64(0)], np.cumsum(h * power)])
-    spans = []
-    for side in [x for bit in bits for x in (bit, ~bit)]:
-        side[-1] = True
-        ends = np.flatnonzero(side) + 1
+    for k in range(1, WINDOW):
+        roll[k:] = np.where(at[k:] - begin[k:] >= k, roll[k:] * np.uint64(31) + h[:-k], roll[k:])
+    bit = (roll ^ (roll >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(63) == 1
+    lines = np.concatenate([[0], np.cumsum(opens)])
+    for side in (bit, ~bit):
+        ends = np.flatnonzero(side | (at + 1 == end)) + 1
         starts = np.concatenate([[0], ends[:-1]])
-        long = (ends - starts >= LEAST_UNITS) & (words[ends] - words[starts] >= LEAST_WORDS)
-        spans.append(starts[long] * _WIDE + ends[long])
-    at = np.arange(n)
-    stop = np.maximum(np.searchsorted(words, words[:-1] + LEAST_WORDS), at + LEAST_UNITS)
-    spans.append((at * _WIDE + stop)[stop <= n])
-    start = np.minimum(np.searchsorted(words, words[1:] - LEAST_WORDS, side="right") - 1, at + 1 - LEAST_UNITS)
-    spans.append((start * _WIDE + at + 1)[start >= 0])
-    spans.append((at * _WIDE + at + 1)[np.diff(words) >= LEAST_ALONE])
+        several = (ends - starts >= 2) & ((words[ends] - words[starts] >= least_words) | (lines[ends] - lines[starts + 1] > 0))
+        spans.append(starts[several] * _WIDE + ends[several])
     span = np.unique(np.concatenate(spans))
     a, b = span // _WIDE, span % _WIDE
+
+    power = np.cumprod(np.full(n, _BASE, np.uint64))
+    inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _INVERSE, np.uint64))])
+    total = np.concatenate([[np.uint64(0)], np.cumsum(h * power)])
     value = (total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)
-    return (value ^ (value >> np.uint64(32))).view(np.int64), a, b
+    return (value ^ (value >> np.uint64(32))).view(np.int64), of[a], a - begin[a], b - begin[a]
 
 
-def _pieces(text: str) -> list[str]:
-    """The units' texts, as :func:`units` cuts them."""
-    return [x for x in map(str.strip, _END.split(text)) if x]
+def cover(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """As few of the spans (first, past the last, hash) as cover all their units."""
+    spans = sorted(spans, key=lambda s: (s[0], -s[1]))
+    out: list[tuple[int, int, int]] = []
+    i, reached = 0, -1
+    while i < len(spans):
+        best = spans[i]
+        while i < len(spans) and spans[i][0] <= max(reached, best[0]):
+            best = max(best, spans[i], key=lambda s: s[1])
+            i += 1
+        if best[1] > reached:
+            out.append(best)
+            reached = best[1]
+    return out
 
 
 def without(text: str, spans: list[int]) -> tuple[str, int]:
@@ -112,69 +141,86 @@ def without(text: str, spans: list[int]) -> tuple[str, int]:
     return (out.rstrip("\n ") if gone[len(at) - 1] else out), len(at) - len(kept)
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """h, k, doc_id, span, first: every occurrence of a chunk whose hash occurs again, and whether it is the first."""
+def repeated(docs: DataFrame, least_words: int = LEAST_WORDS, least_alone: int = LEAST_ALONE) -> DataFrame:
+    """h, doc_id, k, span, first: every occurrence of a chunk whose hash occurs again, and whether it is the first."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            parts = [chunks(_pieces(x)) for x in b.column(2).to_pylist()]
-            n = np.array([len(p[0]) for p in parts], np.int64)
-            h = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-            span = np.concatenate([p[1] * _WIDE + p[2] for p in parts]) if parts else np.zeros(0, np.int64)
-            row = pa.array(np.repeat(np.arange(len(parts)), n))
-            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(row), b.column(1).take(row), pa.array(span)], names=["h", "k", "doc_id", "span"])
+            h, of, first, last = chunks([pieces(x) for x in b.column(2).to_pylist()], least_words, least_alone)
+            row = pa.array(of)
+            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(row), b.column(1).take(row), pa.array(first * _WIDE + last)], names=["h", "k", "doc_id", "span"])
 
     picked = docs.where("text is not null").select(row_key().alias("k"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     every = materialize(picked.mapInArrow(run, "h long, k long, doc_id long, span long"), "chunks")
     place = F.struct("doc_id", "k", "span")
-    again = materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).where("n > 1").select("h", "least"), "again")
-    return materialize(every.join(again, "h").select("h", "k", "span", (place == F.col("least")).alias("first")), "repeated")
+    again = every.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).where("n > 1").select("h", "least")
+    out = materialize(every.join(again, "h").select("h", "doc_id", "k", "span", (place == F.col("least")).alias("first")), "repeated")
+    release(every)
+    return out
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits of the row keys, as 64-bit words; at most 2 ** (BITMAP_BITS - 6) rows reach the driver."""
-    bit = F.col("k").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    one = F.expr(f"shiftleft(1L, cast((k & {(1 << BITMAP_BITS) - 1}) & 63 as int))")
-    got = keys.select(F.shiftright(bit, 6).cast("int").alias("at"), one.alias("one")).groupBy("at").agg(F.bit_or("one").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the row keys, as 64-bit words; at most 2 ** (bits - 6) rows reach the driver."""
+    bit = F.col("k").bitwiseAND(F.lit((1 << bits) - 1))
+    one = F.expr("shiftleft(1L, cast(k & 63 as int))")
+    got = collected(keys.select(F.shiftright(bit, 6).cast("int").alias("at"), one.alias("one")).groupBy("at").agg(F.bit_or("one").alias("bits")))
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[got.column("at").to_numpy()] = got.column("bits").to_numpy()
     return out
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_alone: int = LEAST_ALONE) -> DataFrame:
     """``docs`` with its columns, the repeated passages cut out of ``text``, and removed_units, removed_chars."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    found = repeated(docs)
-    bits = spark.sparkContext.broadcast(_bitmap(found.select("k")))
+    found = repeated(docs, least_words, least_alone)
+    marks = F.collect_set(F.struct("h", "span", "first")).alias("spans")
+    per_doc = materialize(found.groupBy(F.col("doc_id").alias("id"), F.col("k").alias("of")).agg(marks), "marks")
+    release(found)
+    n_bits = min(max(16, (16 * per_doc.count()).bit_length()), BITMAP_BITS)
+    bits = spark.sparkContext.broadcast(_bitmap(per_doc.select(F.col("of").alias("k")), n_bits))
 
-    packed = docs.select(row_key().alias("k"), F.col("text").cast("string").alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("_fw_row"))
+    same_row = (F.col("k") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    packed = docs.select(row_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("_fw_row"))
 
     def hit(inside: bool):
         def run(batches):
             table = bits.value
             for b in batches:
-                k = b.column(0).to_numpy(zero_copy_only=False) & ((1 << BITMAP_BITS) - 1)
+                k = b.column(0).to_numpy(zero_copy_only=False) & ((1 << n_bits) - 1)
                 mask = (table[k >> 6] >> (k & 63)) & 1 == int(inside)
                 yield b.filter(pa.array(mask))
 
         return run
 
     def fetch(batches):
+        """The bytes of first occurrences, and of as many others as cover a text's repeated units."""
         for b in batches:
             out: list[tuple] = []
-            for k, text, spans in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                pieces = _pieces(text)
-                out += [(x["h"], k, x["span"], x["first"], "\n".join(pieces[x["span"] // _WIDE : x["span"] % _WIDE]).encode()) for x in spans]
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["h", "k", "span", "first", "bytes"])
-
-    texts = packed.where("text is not null").select("k", "text").mapInArrow(hit(True), "k long, text string")
-    per_doc = found.groupBy("k").agg(F.collect_set(F.struct("h", "span", "first")).alias("spans"))
-    fetched = materialize(texts.join(per_doc, "k").select("k", "text", "spans").mapInArrow(fetch, "h long, k long, span long, first boolean, bytes binary"), "bytes")
+            marks = b.column(3)
+            flat = marks.flatten()
+            h, span, first = (flat.field(i).to_pylist() for i in range(3))
+            ends = marks.offsets.to_numpy() - marks.offsets[0].as_py()
+            for i, text in enumerate(b.column(2).to_pylist()):
+                own, _ = pieces(text)
+                at = range(ends[i], ends[i + 1])
+                firsts = [(span[j] // _WIDE, span[j] % _WIDE, h[j]) for j in at if first[j]]
+                others = cover([(span[j] // _WIDE, span[j] % _WIDE, h[j]) for j in at if not first[j]])
+                out += [(i, x, a * _WIDE + e, is_first, "\n".join(own[a:e]).encode()) for is_first, chosen in ((True, firsts), (False, others)) for a, e, x in chosen]
+            row, *cols = list(zip(*out, strict=True)) or [()] * 5
+            row = pa.array(row, pa.int64())
+            kinds = zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), *(pa.array(c, t) for c, t in kinds)], names=["doc_id", "k", "h", "span", "first", "bytes"])
+
+    texts = packed.where("text is not null").select("k", "doc_id", "text").mapInArrow(hit(True), "k long, doc_id long, text string")
+    whole = texts.join(per_doc, same_row).select("doc_id", "k", "text", "spans")
+    fetched = materialize(whole.mapInArrow(fetch, "doc_id long, k long, h long, span long, first boolean, bytes binary"), "bytes")
+    release(per_doc)
     first = fetched.where("first").select("h", "bytes")
-    same = materialize(fetched.where("not first").join(first, ["h", "bytes"], "left_semi").select("k", "span"), "same")
+    same = fetched.where("not first").join(first, ["h", "bytes"], "left_semi")
+    spans = materialize(same.groupBy(F.col("doc_id").alias("id"), F.col("k").alias("of")).agg(F.collect_set("span").alias("spans")), "same")
+    release(fetched)
 
     def cut(batches):
         for b in batches:
@@ -183,9 +229,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     row = packed.schema["_fw_row"].dataType.simpleString()
     schema = f"_fw_row {row}, text string, removed_units long, removed_chars long"
-    kind = f"k long, text string, _fw_row {row}"
-    spans = same.groupBy("k").agg(F.collect_set("span").alias("spans"))
-    touched = packed.mapInArrow(hit(True), kind).join(spans, "k", "left").select("_fw_row", "text", "spans").mapInArrow(cut, schema)
+    kind = f"k long, doc_id long, text string, _fw_row {row}"
+    touched = packed.mapInArrow(hit(True), kind).join(spans, same_row, "left").select("_fw_row", "text", "spans").mapInArrow(cut, schema)
     others = packed.mapInArrow(hit(False), kind).select("_fw_row", "text", F.lit(0).cast("long").alias("removed_units"), F.lit(0).cast("long").alias("removed_chars"))
     out = others.unionByName(touched)
     n_chars = F.when(F.col("removed_units") > 0, F.length("text").cast("long")).otherwise(F.col("_fw_row.n_chars")) if "n_chars" in docs.columns else None

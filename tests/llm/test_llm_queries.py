@@ -89,8 +89,8 @@ def test_line_chunks_like_plain(spark, small):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     seen, want = set(), {}
     for d in sorted(docs):
-        pieces = op3_linechunks._pieces(docs[d])
-        _, a, b = op3_linechunks.chunks(pieces)
+        pieces, opens = op3_linechunks.pieces(docs[d])
+        _, _, a, b = op3_linechunks.chunks([(pieces, opens)])
         spans = []
         for x, y in sorted(zip(a.tolist(), b.tolist(), strict=True)):
             key = tuple(pieces[x:y])
