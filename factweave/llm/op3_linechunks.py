@@ -26,6 +26,7 @@ empty results; the document's own columns are kept, ``n_chars``, if there is one
 from __future__ import annotations
 
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ WINDOW = 2
 LEAST_WORDS, LEAST_ALONE = 10, 25
 BITMAP_BITS = 27
 _END = re.compile(r"(?<=[.!?]) |\n")
+_AFTER = re.compile(r"(?<=[.!?\n]) ")
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WIDE = 1 << 31
@@ -64,10 +66,15 @@ def pieces(text: str) -> tuple[list[str], list[bool]]:
     """The units' texts, as :func:`units` cuts them, and whether each begins a line."""
     out: list[str] = []
     opens: list[bool] = []
-    for line in text.split("\n"):
-        own = [x for x in map(str.strip, _END.split(line)) if x]
-        out += own
-        opens += [True, *[False] * (len(own) - 1)] if own else []
+    new = True
+    for x in _AFTER.split(text.replace("\n", "\n ")):
+        unit = x.strip()
+        if unit:
+            out.append(unit)
+            opens.append(new)
+            new = False
+        if x[-1:] == "\n":
+            new = True
     return out, opens
 
 
@@ -77,10 +84,10 @@ def chunks(texts: list[tuple[list[str], list[bool]]], least_words: int = LEAST_W
     n = int(size.sum())
     if not n:
         return (np.zeros(0, np.int64),) * 4
-    every = [x for p, _ in texts for x in p]
+    every = list(chain.from_iterable(p for p, _ in texts))
     h = np.fromiter(map(xxhash.xxh64_intdigest, every), np.uint64, n)
-    words = np.concatenate([[0], np.cumsum(np.fromiter((x.count(" ") + 1 for x in every), np.int64, n))])
-    opens = np.fromiter((x for _, o in texts for x in o), bool, n)
+    words = np.concatenate([[0], np.cumsum(np.fromiter(map(str.count, every, repeat(" ")), np.int64, n) + 1)])
+    opens = np.fromiter(chain.from_iterable(o for _, o in texts), bool, n)
     of = np.repeat(np.arange(len(texts)), size)
     at, begin, end = np.arange(n), np.repeat(np.cumsum(size) - size, size), np.repeat(np.cumsum(size), size)
 
@@ -101,7 +108,8 @@ def chunks(texts: list[tuple[list[str], list[bool]]], least_words: int = LEAST_W
         starts = np.concatenate([[0], ends[:-1]])
         several = (ends - starts >= 2) & ((words[ends] - words[starts] >= least_words) | (lines[ends] - lines[starts + 1] > 0))
         spans.append(starts[several] * _WIDE + ends[several])
-    span = np.unique(np.concatenate(spans))
+    span = np.sort(np.concatenate(spans))
+    span = span[np.concatenate([[True], span[1:] != span[:-1]])] if len(span) else span
     a, b = span // _WIDE, span % _WIDE
 
     power = np.cumprod(np.full(n, _BASE, np.uint64))
@@ -113,17 +121,18 @@ def chunks(texts: list[tuple[list[str], list[bool]]], least_words: int = LEAST_W
 
 def cover(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """As few of the spans (first, past the last, hash) as cover all their units."""
-    spans = sorted(spans, key=lambda s: (s[0], -s[1]))
     out: list[tuple[int, int, int]] = []
-    i, reached = 0, -1
-    while i < len(spans):
-        best = spans[i]
-        while i < len(spans) and spans[i][0] <= max(reached, best[0]):
-            best = max(best, spans[i], key=lambda s: s[1])
-            i += 1
-        if best[1] > reached:
+    best, reached = None, -1
+    for span in sorted(spans):
+        if best is not None and span[0] > reached:  # nothing that touches what is covered goes further than the best
             out.append(best)
-            reached = best[1]
+            reached, best = best[1], None
+        if span[1] > (reached if best is None else best[1]):
+            best = span
+            if span[0] > reached:
+                reached = span[0]
+    if best is not None:
+        out.append(best)
     return out
 
 
@@ -154,9 +163,9 @@ def repeated(docs: DataFrame, least_words: int = LEAST_WORDS, least_alone: int =
     picked = docs.where("text is not null").select(row_key().alias("k"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     every = materialize(picked.mapInArrow(run, "h long, k long, doc_id long, span long"), "chunks")
     place = F.struct("doc_id", "k", "span")
-    again = every.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).where("n > 1").select("h", "least")
+    again = materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).where("n > 1").select("h", "least"), "again")
     out = materialize(every.join(again, "h").select("h", "doc_id", "k", "span", (place == F.col("least")).alias("first")), "repeated")
-    release(every)
+    release(every, again)
     return out
 
 
