@@ -6,7 +6,7 @@ bit are used, as two complementary chunkings: whatever stands before or after a
 what one chunking cuts into single units the other holds together. The boundary chunks of a passage still depend on its
 neighbours, so the shortest run of two and more units from each unit on, the shortest up to each unit, and each unit of at
 least ``least_alone`` words are chunks too: those within a passage cover it, so every repeated run is found whole. A chunk
-runs over a line break, or has at least ``least_words`` words inside one line; chunks of several lines may be as short as they like.
+has at least ``least_words`` words or runs over a line break; chunks of several lines may be as short as they like.
 
 Chunks are counted over the whole corpus by 64-bit hash. Of those that occur again, each document takes as few as cover its
 repeated units, long chunks before short ones; their bytes are fetched and compared with the first occurrence (by id,
@@ -94,9 +94,11 @@ def chunks(texts: list[tuple[list[str], list[bool]]], least_words: int = LEAST_W
     # The next unit after each, and the last up to each, that begins a line.
     following = np.concatenate([np.minimum.accumulate(np.where(opens, at, n)[::-1])[::-1][1:], [n]])
     latest = np.maximum.accumulate(np.where(opens, at, 0))
-    stop = np.maximum(np.minimum(np.searchsorted(words, words[:-1] + least_words), following + 1), at + 2)
-    start = np.minimum(np.maximum(np.searchsorted(words, words[1:] - least_words, side="right") - 1, latest - 1), at - 1)
-    spans = [(at * _WIDE + stop)[stop <= end], (start * _WIDE + at + 1)[start >= begin], (at * _WIDE + at + 1)[np.diff(words) >= least_alone]]
+    spans = [(at * _WIDE + at + 1)[np.diff(words) >= least_alone]]
+    stop, start = np.maximum(np.searchsorted(words, words[:-1] + least_words), at + 2), np.minimum(np.searchsorted(words, words[1:] - least_words, side="right") - 1, at - 1)
+    spans += [(at * _WIDE + stop)[stop <= end], (start * _WIDE + at + 1)[start >= begin]]
+    by_line, from_line = following + 1, latest - 1  # over a line break, where that is shorter
+    spans += [(at * _WIDE + by_line)[(by_line < stop) & (by_line <= end)], (from_line * _WIDE + at + 1)[(from_line > start) & (from_line >= begin)]]
 
     roll = h.copy()
     for k in range(1, WINDOW):

@@ -92,8 +92,8 @@ def test_short_passages_go_whole(spark):
     tiny = [[line(1) for _ in range(k)] for k in (2, 3, 4)]
     docs = []
     for i in range(80):
-        parts = [x for _ in range(rng.randint(0, 3)) for x in ([line(9)] * rng.randint(0, 2) + rng.choice(passages + tiny))]
-        docs.append((i, "".join(x + rng.choice([" ", "\n"]) for x in parts)))
+        parts = [x for _ in range(rng.randint(0, 3)) for x in ([[line(9)]] * rng.randint(0, 2) + [rng.choice(passages + tiny)])]
+        docs.append((i, "".join(x + (rng.choice([" ", "\n"]) if p not in tiny and x is not p[-1] else "\n") for p in parts for x in p)))
     seen, want = set(), {}
     for i, text in docs:
         u = [(x, j == 0) for l in text.split("\n") for j, x in enumerate(l.replace(". ", ".\n").split("\n")) if x.strip()]
