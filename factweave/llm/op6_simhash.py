@@ -6,15 +6,20 @@ integer grid. The range join meets in the middle: each fingerprint goes to its o
 and any two points at distance 2 or less share one. Cells are aggregated to count, least and greatest fingerprint
 before anything is shuffled, so a cell with two members is its pair, verified by one XOR.
 
-Cells with three and more members never list their pairs. Their members go on to an exact linking that is linear in
-the group: two fingerprints differ in at most two bits exactly if some value differs from both in at most one bit, and at
-most 65 distinct fingerprints can share such a value, so each value yields a star instead of all pairs.
+Cells with three and more members never list their pairs. Their members go on to a finer grid: segments of two bits, then of
+one. On that last grid the distances are equal and a cell holds at most 65 distinct fingerprints, each within one bit of it;
+they are linked to the least of them, which joins the same groups as all their pairs. So work is linear in the number of
+fingerprints, however they crowd.
 
 Components come from minimum-label propagation with pointer jumping over distinct fingerprints; each round is a table
 in the shared folder. Exact copies are one fingerprint throughout and are not expanded.
 
-Defined results: null and empty texts and texts of white space have fingerprint zero and link like others; rows without
-an id get the component of their group, which is null if no row of the group has an id; repeated rows are in one group;
+The pipeline's stage asks for five-word shingles and a similarity of 0.8, at which SimHashes differ in about ten bits: no grid
+of this kind is that wide. :func:`similar` takes the grid join's links as candidates, adds those of a banded minimum hash, and
+verifies every one on the whole sets.
+
+Defined results: null and empty texts and texts of white space have fingerprint zero and link like others; rows without an
+id get the component of their group, which is null if no row of the group has an id; repeated rows are in one group;
 an empty table gives an empty result; further columns are ignored by :func:`groups` and kept by :func:`one_per_group`.
 """
 
@@ -28,10 +33,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, materialize, row_key, utf8
+from .common import bounded_batches, documents, materialize, release, row_key, utf8
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 SALTS = 16
+#: Bits of a segment on the first grid, and on those for members of crowded cells.
+WIDTHS = (4, 2, 1)
 #: The pipeline's stage: near copies by word shingles.
 STAGE_SHINGLE, STAGE_LEAST, BANDS, ROWS = 5, 0.8, 20, 5
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -40,78 +47,95 @@ _ROW = (np.arange(8) * 256).astype(np.int64)
 _PLACE = (np.arange(8)[:, None] * 8 + np.arange(8)).astype(np.uint64)
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of the word shingles of UTF-8 bytes: bit set if set in over half of the XXH64 values, repeats included."""
+def gram_hashes(data: bytes, shingle: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of the word shingles of UTF-8 bytes, repeats included; of all words together, if they are fewer."""
     words = data.lower().split()  # bytes: A-Z only, and exactly the white space 09-0D and 20
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    n = len(words) - shingle + 1
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64, len(words) - shingle + 1)
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes: bit set if set in over half of them."""
     counts = np.zeros(2048, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(h), 1 << 16):
         part = h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8) + _ROW
         counts += np.bincount(part.ravel(), minlength=2048)
     ones = counts.reshape(8, 256) @ _BITS
-    return int(((2 * ones > n).astype(np.uint64) << _PLACE).sum())
+    return int(((2 * ones > len(h)).astype(np.uint64) << _PLACE).sum())
+
+
+def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """SimHash of the word shingles of UTF-8 bytes."""
+    return majority(gram_hashes(data, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a long)."""
+    """doc_id, k, fp (the fingerprint's 64 bits as a long)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(x or b"", shingle, seed) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(x, shingle, seed) for x in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "k", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("k"), utf8("text").alias("data")).mapInArrow(run, "doc_id long, k long, fp long")
+
 
-    return docs.select(F.col("doc_id").cast("long"), utf8("text").alias("data")).mapInArrow(run, "doc_id long, fp long")
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
 
 
-def _nibble_counts(x: Column) -> Column:
-    """Bit counts of the sixteen 4-bit segments, one in each 4 bits of a long. In two halves, so that nothing overflows."""
+def _counts(x: Column, width: int) -> Column:
+    """Bit counts of the segments of ``width`` bits, one in each ``width`` bits of a long. In two halves, so that nothing overflows."""
+    if width == 1:
+        return x
 
     def half(v: Column) -> Column:
-        v = (v.bitwiseAND(F.lit(0x55555555))) + F.shiftrightunsigned(v, 1).bitwiseAND(F.lit(0x55555555))
-        return v.bitwiseAND(F.lit(0x33333333)) + F.shiftrightunsigned(v, 2).bitwiseAND(F.lit(0x33333333))
+        v = v.bitwiseAND(F.lit(0x55555555)) + F.shiftrightunsigned(v, 1).bitwiseAND(F.lit(0x55555555))
+        return v if width == 2 else v.bitwiseAND(F.lit(0x33333333)) + F.shiftrightunsigned(v, 2).bitwiseAND(F.lit(0x33333333))
 
     low, high = half(x.bitwiseAND(F.lit(0xFFFFFFFF))), half(F.shiftrightunsigned(x, 32))
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def _cells(fps: DataFrame) -> DataFrame:
+def _cells(fps: DataFrame, width: int) -> DataFrame:
     """cell, fp: the grid cell of the fingerprint's embedding and those one step away."""
     p = F.col("p")
     steps = [p]
-    for i in range(16):
-        count, one = F.shiftrightunsigned(p, 4 * i).bitwiseAND(F.lit(15)), F.lit(1 << (4 * i))
-        steps += [F.when(count < 4, p + one), F.when(count > 0, p - one)]
-    return fps.select("fp", _nibble_counts(F.col("fp")).alias("p")).select("fp", F.explode(F.array(*steps)).alias("cell")).where("cell is not null")
+    for at in range(0, 64, width):
+        mask = ((1 << width) - 1) << at
+        count, rest = F.shiftrightunsigned(p, at).bitwiseAND(F.lit((1 << width) - 1)), p.bitwiseAND(F.lit(_signed(~mask & ((1 << 64) - 1))))
+        steps += [F.when(count < width, rest.bitwiseOR(F.shiftleft(count + 1, at))), F.when(count > 0, rest.bitwiseOR(F.shiftleft(count - 1, at)))]
+    return fps.select("fp", _counts(F.col("fp"), width).alias("p")).select("fp", F.explode(F.array(*steps)).alias("cell")).where("cell is not null")
 
 
 def links(fps: DataFrame) -> DataFrame:
     """a, b: links between distinct fingerprints ``fps`` (column fp) that join the same groups as all pairs within two bits."""
-    cells = _cells(fps)
-    shared = materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "cells")
-    pairs = shared.where(f"n = 2 and bit_count(a ^ b) <= {DISTANCE}").select("a", "b")
-    crowd = cells.join(shared.where("n > 2").select("cell"), "cell", "left_semi").select("fp").distinct()
-    x = F.col("fp")
-    near = F.array(x, *[x.bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
-    stars = (
-        crowd.select("fp", F.explode(near).alias("point")).groupBy("point").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
-        .select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
-    )
-    return pairs.union(stars).distinct()
+    crowd, found = fps, []
+    close = f"bit_count(a ^ b) <= {DISTANCE}"
+    for width in WIDTHS[:-1]:
+        cells = _cells(crowd, width)
+        shared = materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), f"cells{width}")
+        found.append(shared.where("n = 2").where(close).select("a", "b"))
+        crowd = materialize(cells.join(shared.where("n > 2").select("cell"), "cell", "left_semi").select("fp").distinct(), f"crowd{width}")
+    last = _cells(crowd, WIDTHS[-1]).groupBy("cell").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")  # at most 65 in each
+    stars = last.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").where(close)
+    out = stars
+    for f in found:
+        out = out.union(f)
+    return out.distinct()
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """fp, least: the least ``first`` of the component, for every fp that ``edges`` (a, b) name. ``nodes``: fp, first."""
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")), "edges")
-    own = F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("first"), F.col("fp").alias("root"))
+    own = F.struct(F.col("first"), F.col("fp").alias("root"))
     linked = nodes.join(both.select(F.col("a").alias("fp")).distinct(), "fp", "left_semi")
-    label = materialize(linked.select("fp", own.alias("label")), "label")
+    table = label = materialize(linked.select("fp", own.alias("label")), "label")
     while True:
         seen = both.join(label, both.b == label.fp).groupBy(F.col("a").alias("fp")).agg(F.min("label").alias("seen"))
         least = label.join(seen, "fp").select("fp", F.least("label", "seen").alias("label"), F.col("label").alias("was"))
@@ -122,37 +146,44 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         salted = least.select("*", F.col("label.root").alias("root"), F.pmod(F.hash("fp"), F.lit(SALTS)).alias("salt"))
         after = salted.join(jump, ["root", "salt"]).select("fp", F.least("label", "to").alias("label"), "was")
         after = materialize(after, "label")
-        label = after.select("fp", "label")
+        release(table, least)
+        table, label = after, after.select("fp", "label")
         if after.where("label.root <> was.root").isEmpty():
             return label.select("fp", F.col("label.first").alias("least"))
 
 
+def _order() -> Column:
+    """Rows by id, then text; those without an id last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp, component_id of every document; component_id is the smallest doc_id reachable over links."""
+    """doc_id, k, fp, component of every document; component is the first row (doc_id, k) reachable over links."""
     each = materialize(fingerprints(docs, shingle, seed), "fingerprints")
-    distinct = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = materialize(each.groupBy("fp").agg(F.min(_order()).alias("first")), "distinct")
     least = components(links(distinct.select("fp")), distinct)
-    by_fp = materialize(distinct.join(least, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "by_fp")
-    return each.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = materialize(distinct.join(least, "fp", "left").select("fp", F.coalesce("least", "first").alias("component")), "by_fp")
+    return each.join(by_fp, "fp").select("doc_id", "k", "fp", "component")
 
 
-def one_per_group(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """The documents, with their own columns, of which one of each group stays: that with the smallest id.
+def _first_rows(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The documents, with their own columns, whose row (doc_id, k) is the first of its ``component``; rows that repeat it leave one.
 
-    Rows that repeat the staying id are one document and leave one row; rows without an id stay.
+    Rows without an id stay.
     """
-    keep = groups(docs, shingle, seed).where("doc_id = component_id").select(F.col("doc_id").alias("_fw_id")).distinct()
+    keep = grouped.where("doc_id = component.doc_id and k = component.k").select(F.col("doc_id").alias("_fw_id"), F.col("k").alias("_fw_of")).distinct()
     names = docs.columns
-    stay = docs.join(keep, docs.doc_id.cast("long") == keep._fw_id).dropDuplicates(["_fw_id"]).select(*[docs[c] for c in names])
-    return stay.unionByName(docs.where("doc_id is null"))
+    keyed = docs.where("doc_id is not null").withColumn("_fw_key", row_key())
+    stay = keyed.join(keep, (F.col("_fw_key") == F.col("_fw_of")) & (keyed.doc_id.cast("long") == F.col("_fw_id"))).dropDuplicates(["_fw_id", "_fw_key"])
+    return stay.select(*[keyed[c] for c in names]).unionByName(docs.where("doc_id is null"))
+
 
+def one_per_group(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """The documents, with their own columns, of which one of each group stays: that with the smallest id, then key of id and text.
 
-def shingles(data: bytes, shingle: int) -> np.ndarray:
-    """The distinct XXH64 values of the word shingles; of all words together, if they are fewer."""
-    words = data.lower().split()
-    n = max(len(words) - shingle + 1, 1)
-    grams = (b" ".join(words[i : i + shingle]) for i in range(n))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n))
+    Rows that repeat the staying row's id and text are one document and leave one row; rows without an id stay.
+    """
+    return _first_rows(docs, groups(docs, shingle, seed))
 
 
 def bands(values: np.ndarray) -> list[int]:
@@ -165,27 +196,38 @@ def bands(values: np.ndarray) -> list[int]:
 
 
 def similar(docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """fp, k, doc_id, component: rows by key, and the component of those whose shingle sets have a Jaccard similarity of ``least`` or more.
+    """doc_id, k, fp, component: rows by key, and the component of those whose shingle sets have a Jaccard similarity of ``least`` or more.
 
-    Candidates share a band of minimum hashes; each meets one centre of its band's bucket, another in each band, so work is
-    linear in a group. Every link is verified on the whole sets; rows of equal sets (fp) are one node.
+    Candidates are the grid join's links between SimHashes, and sets that share a band of minimum hashes; each meets one centre
+    of its SimHash or of its band's bucket, another in each band, so work is linear in a group. Every link is verified on the
+    whole sets; rows of equal sets (fp) are one node.
     """
     bounded_batches(docs.sparkSession)
 
     def sign(batches):
         for b in batches:
-            sets = [shingles(x, shingle) for x in b.column(2).to_pylist()]
+            hashes = [gram_hashes(x, shingle) for x in b.column(2).to_pylist()]
+            sets = [np.unique(h) for h in hashes]
             fp = pa.array([xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, pa.array([bands(x) for x in sets], pa.list_(pa.int64()))], names=["k", "doc_id", "fp", "bands"])
+            sim = pa.array(np.array([majority(h) for h in hashes], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, sim, pa.array([bands(x) for x in sets], pa.list_(pa.int64()))], names=["k", "doc_id", "fp", "sim", "bands"])
 
     data = docs.select(row_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("data"))
-    signed = materialize(data.mapInArrow(sign, "k long, doc_id long, fp long, bands array<long>"), "signed")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
-    nodes = materialize(signed.groupBy("fp").agg(F.min(order).alias("first"), F.first("bands").alias("bands")), "nodes")
+    signed = materialize(data.mapInArrow(sign, "k long, doc_id long, fp long, sim long, bands array<long>"), "signed")
+    nodes = materialize(signed.groupBy("fp").agg(F.min(_order()).alias("first"), F.first("sim").alias("sim"), F.first("bands").alias("bands")), "nodes")
+
+    def pair(x: str, y: str) -> list[Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    by_sim = materialize(nodes.groupBy("sim").agg(F.min("fp").alias("centre")), "by_sim")
+    one, two = by_sim.select(F.col("sim").alias("a"), F.col("centre").alias("x")), by_sim.select(F.col("sim").alias("b"), F.col("centre").alias("y"))
+    of_grid = links(by_sim.select(F.col("sim").alias("fp"))).join(one, "a").join(two, "b").select(*pair("x", "y"))
+    of_sim = nodes.select("fp", "sim").join(by_sim, "sim").where("fp <> centre").select(*pair("fp", "centre"))
     member = nodes.select("fp", F.explode("bands").alias("band"))
     turn = F.struct(F.xxhash64("fp", "band").alias("turn"), "fp")
     centre = member.groupBy("band").agg(F.min(turn)["fp"].alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "centre")
-    pairs = materialize(member.join(centre, "band").where("fp <> centre").select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")).distinct(), "candidates")
+    of_band = member.join(centre, "band").where("fp <> centre").select(*pair("fp", "centre"))
+    pairs = materialize(of_grid.union(of_sim).union(of_band).distinct(), "candidates")
     wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     one = nodes.join(wanted, "fp", "left_semi").select("fp", F.col("first.k").alias("k"))
     texts = materialize(data.join(one, "k").dropDuplicates(["fp"]).select("fp", "data"), "texts")
@@ -194,29 +236,23 @@ def similar(docs: DataFrame, shingle: int, least: float) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = shingles(x, shingle), shingles(y, shingle)
+                x, y = np.unique(gram_hashes(x, shingle)), np.unique(gram_hashes(y, shingle))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     left, right = texts.select(F.col("fp").alias("a"), F.col("data").alias("x")), texts.select(F.col("fp").alias("b"), F.col("data").alias("y"))
     edges = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
+    release(pairs, texts)
     found = components(edges, nodes.select("fp", "first"))
     by_fp = nodes.join(found, "fp", "left").select("fp", F.coalesce("least", "first").alias("component"))
-    return signed.select("k", "doc_id", "fp").join(by_fp, "fp")
+    return signed.select("doc_id", "k", "fp").join(by_fp, "fp")
 
 
 def one_of_similar(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: float = STAGE_LEAST) -> DataFrame:
-    """The documents, with their own columns, of which one of each group of :func:`similar` texts stays: that with the smallest id.
-
-    Rows that repeat the staying row's id and text are one document and leave one row; rows without an id stay.
-    """
-    keep = similar(docs, shingle, least).where("k = component.k").select(F.col("k").alias("_fw_key")).distinct()
-    names = docs.columns
-    keyed = docs.where("doc_id is not null").withColumn("_fw_key", row_key())
-    stay = keyed.join(keep, "_fw_key").dropDuplicates(["_fw_key"]).select(*names)
-    return stay.unionByName(docs.where("doc_id is null"))
+    """The documents, with their own columns, of which one of each group of :func:`similar` texts stays, as in :func:`one_per_group`."""
+    return _first_rows(docs, similar(docs, shingle, least))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return groups(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component.doc_id").alias("component_id"))

@@ -234,6 +234,40 @@ def test_components_equal_all_pairs(spark):
     assert all(got.get(signed(x), i) == want[find(x)] for i, x in enumerate(fps))
 
 
+def test_crowded_cells_equal_all_pairs(spark):
+    """Clouds, chains and exact neighbours in large numbers; every grid is reached, and a rerun gives the same."""
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 1 << 63, 40, np.uint64)
+    flips = lambda n, k: np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (n, k)).astype(np.uint64), axis=1)
+    clouds = [centres[rng.integers(0, 40, 2500)] ^ flips(2500, k) for k in (1, 2, 3)]
+    chain = np.bitwise_xor.accumulate(np.concatenate([centres[:1], flips(300, 2)]))
+    fps = np.unique(np.concatenate([centres, *clouds, chain, rng.integers(0, 1 << 63, 3000, np.uint64)]))
+    root = np.arange(len(fps))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 2) + i + 1:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    nodes = spark.createDataFrame([(int(x), i) for i, x in enumerate(fps.view(np.int64))], "fp long, first long")
+    found = op6_simhash.links(nodes.select("fp"))
+    got = {r.fp: r.least for r in op6_simhash.components(found, nodes).collect()}
+    assert all(got.get(int(x), i) == find(i) for i, x in enumerate(fps.view(np.int64))) and found.count() < 40 * len(fps)
+    again = {r.fp: r.least for r in op6_simhash.components(op6_simhash.links(nodes.select("fp").repartition(7)), nodes).collect()}
+    assert got == again
+
+
+def test_repeated_ids_of_other_texts_stay(spark):
+    docs = [(1, "one text of its own"), (1, "other text under one id"), (2, "one text of its own"), (1, "one text of its own"), (None, "one text of its own")]
+    rows = op6_simhash.one_per_group(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in rows) == [(0, docs[0][1]), (1, docs[0][1]), (1, docs[1][1])]
+
+
 def test_stage_links_similar_texts(spark):
     """Pairs of documents with some words changed, against the exact similarity; repeated ids of other texts stay."""
     rng = random.Random(9)
