@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-# Element names of the HTML standard by their role, and words of class, id and role attributes.
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+# Element names of the HTML standard by their role, and words of class, id and role attributes. The words name
+# menus, headers, footers, sidebars, notices, adverts and reader comments, nothing else.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html head body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
@@ -44,8 +45,8 @@ OUT_TAGS = frozenset("head nav footer aside form button select option dialog men
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist status".split())
 OUT_WORDS = frozenset(
     "nav navbar navigation menu sidebar sidenav aside footer header masthead topbar banner cookie cookies consent gdpr notice notices alert popup modal overlay ad ads adv advert adverts advertisement "
-    "advertising adslot adsense sponsor sponsored sponsors promo promotion promoted comment comments commentlist disqus respond reply replies discussion share sharing shares social related recommended "
-    "recommendations newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager toolbar widget widgets skip copyright disclaimer outbrain taboola teaser byline meta tags hidden".split()
+    "advertising adslot adsense sponsor sponsored sponsors promo promotion promoted comment comments commentlist disqus respond reply replies discussion "
+    "breadcrumb breadcrumbs pagination pager toolbar copyright disclaimer outbrain taboola".split()
 )
 GOOD_WORDS = frozenset("article content main post entry body story text page hentry blog prose".split())
 
@@ -66,37 +67,37 @@ class Page:
     def _read(self, html: str) -> None:
         tags, parents, attributes = self.tags, self.parents, self.attributes
         stack, at, anchors = [0], 0, 0
-        open_: dict[str, int] = {}
+        where: dict[str, list[int]] = {}  # places in the stack of the open elements of each name
+        blocks: list[int] = []  # and of the open blocks
         run: list[tuple[str, bool]] = []
 
         def flush() -> None:
             if run:
                 text = " ".join("".join(t for t, _ in run).split())
                 if text:
-                    owner = next((i for i in reversed(stack) if tags[i] in BLOCK), 0)
+                    owner = stack[blocks[-1]] if blocks else 0
                     links = sum(len(" ".join(t.split())) for t, a in run if a)
                     self.paragraphs.append((owner, text, min(links, len(text))))
                 run.clear()
 
         def pop_to(k: int) -> None:
             nonlocal anchors
-            if any(tags[i] in BLOCK for i in stack[k:]):
+            if blocks and blocks[-1] >= k:
                 flush()
+                while blocks and blocks[-1] >= k:
+                    blocks.pop()
             for i in stack[k:]:
-                open_[tags[i]] -= 1
-            anchors = open_.get("a", 0)
+                where[tags[i]].pop()
+            anchors = len(where.get("a", ()))
             del stack[k:]
 
+        def innermost(names) -> int:
+            return max((where[t][-1] for t in names if where.get(t)), default=0)
+
         def close(names, barriers) -> None:
-            if not any(open_.get(t) for t in names):
-                return
-            for k in range(len(stack) - 1, 0, -1):
-                t = tags[stack[k]]
-                if t in names:
-                    pop_to(k)
-                    return
-                if t in barriers:
-                    return
+            k = innermost(names)
+            if k and k > (blocks[-1] if barriers is BLOCK and blocks else innermost(barriers)):
+                pop_to(k)
 
         n = len(html)
         while at < n:
@@ -120,7 +121,7 @@ class Page:
                 continue
             name = name.lower()
             if m[1] or m[4]:
-                if name == "p" and not open_.get("p"):
+                if name == "p" and not where.get("p"):
                     flush()
                 elif name == "br":
                     run.append((" ", False))
@@ -146,19 +147,20 @@ class Page:
             if name in VOID:
                 continue
             if name in RAW:
-                if not text.endswith("/"):
-                    end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
-                    if end is None:
-                        break
-                    at = html.find(">", end.end())
-                    at = n if at < 0 else at + 1
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)  # a slash before > closes nothing here
+                if end is None:
+                    break
+                at = html.find(">", end.end())
+                at = n if at < 0 else at + 1
                 continue
             tags.append(name)
             parents.append(stack[-1])
             attributes.append(text)
+            where.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                blocks.append(len(stack))
             stack.append(len(tags) - 1)
-            open_[name] = open_.get(name, 0) + 1
-            anchors = open_.get("a", 0)
+            anchors = len(where.get("a", ()))
         flush()
 
 
@@ -221,11 +223,10 @@ def main_text(html: str | None) -> str:
     if not live:
         return ""
 
-    chars, linked, anchors, points = [0] * size, [0] * size, [0] * size, [0.0] * size
+    chars, linked, points = [0] * size, [0] * size, [0.0] * size
     for owner, text, links in live:
         chars[owner] += len(text)
         linked[owner] += links
-        anchors[owner] += links > 0
         if len(text) >= LEAST_CHARS and tags[owner] not in HEADINGS:
             gain = (1 + text.count(",") + text.count("、") + text.count("،") + min(len(text) / 100, 3)) * (1 - links / len(text))
             node, share = parents[owner] if tags[owner] in LEAF else owner, 1.0
@@ -235,7 +236,6 @@ def main_text(html: str | None) -> str:
     for i in range(size - 1, 0, -1):
         chars[parents[i]] += chars[i]
         linked[parents[i]] += linked[i]
-        anchors[parents[i]] += anchors[i]
     density = [linked[i] / chars[i] if chars[i] else 0.0 for i in range(size)]
     scores = [0.0 if unwanted[i] else points[i] * (1 - density[i]) * (1.25 if tags[i] in ("article", "main") else 1.0) for i in range(size)]
     named = [i for i in range(size) if tags[i] in ("article", "main") and not unwanted[i] and chars[i]]
@@ -263,9 +263,8 @@ def main_text(html: str | None) -> str:
             if parents[i] == parents[top] and i != top and not unwanted[i]:
                 prose_like = tags[i] in LEAF and any((len(t) > 80 and 4 * l < len(t)) or (not l and len(t) <= 80 and t.rstrip()[-1:] in ".!?") for t, l in direct.get(i, ()))
                 chosen[i] = scores[i] >= least or (prose_like and tags[i] not in HEADINGS) or (tags[i] == "h1")
-    lists = carried([tags[i] in ("ul", "ol", "dl", "table") and anchors[i] >= 3 and density[i] > 0.75 for i in range(size)])
     chosen = carried(chosen)
-    return "\n".join(text for owner, text, _ in live if chosen[owner] and not lists[owner])
+    return "\n".join(text for owner, text, _ in live if chosen[owner])
 
 
 def with_main_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

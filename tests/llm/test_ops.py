@@ -5,6 +5,7 @@ import io
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -40,6 +41,29 @@ def test_deep_pages():
     assert op1_html.main_text("a < b &lt; c") == "a < b < c"
 
 
+@pytest.mark.parametrize(
+    ("inside", "text"),
+    [
+        ('<p class="byline">By A. Writer</p>', "By A. Writer"), ('<div class="meta">A long line of prose, with commas, stands here.</div>', "A long line of prose, with commas, stands here."),
+        ('<p class="entry hidden-gem">A hidden gem of a place.</p>', "A hidden gem of a place."), ("<p>Let <math><mi>x</mi></math> be given.</p>", "Let x be given."), ("<script src=/a/>var x=1, y=2;</script>", None), ("<p>a<script src='b'/>c, d</script>e</p>", "ae"),
+        ("<ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul>", "One\nTwo\nThree"),
+    ],
+)
+def test_nothing_else_goes(inside, text):
+    """Only what the contract names is left out of an article."""
+    p = "<p>A paragraph, long enough, with commas, to be the main text of it.</p>"
+    got = op1_html.main_text(f"<body><nav><a href=x>Home</a></nav><article>{p}{inside}{p}</article></body>").split("\n")
+    assert "\n".join(got[1:-1]) == (text or "") and got[0] == got[-1]
+
+
+def test_time_is_linear_in_the_page():
+    began = time.time()
+    n = 100_000
+    op1_html.main_text("<b>" * n + "x<hr>" * n)
+    op1_html.main_text("<b><table>" + "<i>" * n + "</b>x" * n)
+    assert time.time() - began < 30
+
+
 # op2
 def test_ordinal_fit_learns_grades():
     rng, rows, grades = random.Random(1), [], []
@@ -290,7 +314,7 @@ def test_stage_links_similar_texts(spark):
 def test_viterbi_equals_trying_all():
     rng = np.random.default_rng(0)
     for _ in range(200):
-        n, k = rng.integers(1, 6), rng.integers(1, 4)
+        n, k = rng.integers(1, 7), rng.integers(1, 4)
         s, w = rng.normal(size=(n, k)) * 3, rng.uniform(0, 4)
         value = lambda p: sum(s[i, j] for i, j in enumerate(p)) - w * sum(a != b for a, b in zip(p, p[1:], strict=False))  # noqa: B023, E731
         assert math.isclose(value(list(op7_langid.viterbi(s, w))), max(map(value, itertools.product(range(k), repeat=int(n)))), abs_tol=1e-9)
@@ -298,7 +322,19 @@ def test_viterbi_equals_trying_all():
 
 def test_scripts_and_letters():
     assert [op7_langid.script(w) for w in ("abc", "ж", "漢", "ñ", "א", "ꙮ")] == ["Latin", "Cyrillic", "Han", "Latin", "Hebrew", "Other"]
-    assert op7_langid.letters("Don't-4") == "dont"
+    assert op7_langid.letters("Don't-4") == "dont" and op7_langid.letters("½①²") == ""
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(10)
+    docs = [(10 * i + j, " ".join("".join(rng.choice(chr(0x100 + i) + chr(0x101 + i) + "ab") for _ in range(6)) for _ in range(30)), f"l{i}") for i in range(230) for j in range(2)]
+    df = spark.createDataFrame([*docs, (9999, "½ ①", "l0"), (9998, "", None), (9997, None, "l1")], "doc_id long, text string, lang string")
+    m = op7_langid.learn(df)
+    rows = op7_langid.identify(df, m, op7_langid.F.lit(False)).collect()
+    got = {r.doc_id: (r.lang_pred, r.score) for r in rows}
+    assert len(m.langs) == 230 and sum(got[d][0] == l for d, _, l in docs) >= 0.9 * len(docs)
+    assert got[9999] == got[9998] == got[9997] == ("und", 0.0)
+    assert [op7_langid.bucket_bits(n) for n in (1, 256, 257, 5000, 10**6)] == [16, 16, 15, 11, 10]
 
 
 # op8
