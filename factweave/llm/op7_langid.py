@@ -7,7 +7,8 @@ spans hold most letters; the score is its share of all letters.
 
 Learning: :func:`learn` counts hashed n-grams per language over a bounded sample of labelled documents
 (``per_language`` documents, chosen by a hash of the id so that no language crowds out another), as a DataFrame
-aggregation. The model is a table of ``BUCKETS`` rows by the number of languages, which bounds what is broadcast.
+aggregation. Every language is learned. The model is a table of buckets by languages: 2 ** BUCKET_BITS buckets, fewer where
+that many languages would take more than MOST_CELLS cells, so what is broadcast is at most 64 MB up to 16,000 languages.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter, and when nothing could be learned; words
 without letters take no part; ties go to the language that sorts first; further columns are ignored; an empty table
@@ -16,8 +17,6 @@ gives an empty result. Rows without an id belong to the fold of crc32('').
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,11 +26,10 @@ from .common import arrow_rows, bounded_batches, documents, remainder
 
 FOLDS, HELD_OUT = 4, 2
 PER_LANGUAGE = 3000
-BUCKET_BITS = 16
-BUCKETS = 1 << BUCKET_BITS
+BUCKET_BITS, LEAST_BITS = 16, 10
 SWITCH = 12.0
 NGRAMS = (1, 2, 3)
-MOST_LANGUAGES = 200
+MOST_CELLS = 1 << 24
 MOST_CACHED = 200_000
 UNKNOWN = "und"
 
@@ -46,7 +44,11 @@ SCRIPTS = [
 _STARTS = np.array([a for _, a, _ in sorted(SCRIPTS, key=lambda x: x[1])])
 _SORTED = sorted(SCRIPTS, key=lambda x: x[1])
 _PRIME, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def bucket_bits(languages: int) -> int:
+    """Bits of a bucket's number, so that buckets by languages are at most MOST_CELLS, or 2 ** LEAST_BITS buckets."""
+    return max(min(BUCKET_BITS, (MOST_CELLS // max(languages, 1)).bit_length() - 1), LEAST_BITS)
 
 
 def script(word: str) -> str:
@@ -59,11 +61,11 @@ def script(word: str) -> str:
 
 
 def letters(token: str) -> str:
-    """The letters of a token, lower-cased."""
-    return token.lower() if token.isalpha() else "".join(_LETTERS.findall(token)).lower()
+    """The letters of a token (Unicode category L), lower-cased."""
+    return token.lower() if token.isalpha() else "".join(filter(str.isalpha, token)).lower()
 
 
-def grams(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+def grams(words: list[str], bits: int = BUCKET_BITS) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each n-gram length: buckets of the words' character n-grams by rolling hash, and the word of each, in order.
 
     Words are letters only, so the edge marks, which count as characters, can't be mistaken; every word has an n-gram of
@@ -76,7 +78,7 @@ def grams(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         h = h[: len(code) - n + 1] * _PRIME + code[n - 1 :]
         if n in NGRAMS:
             own = word[: len(h)] == word[n - 1 :]
-            out.append((((h[own] + np.uint64(n)) * _MIX >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), word[: len(h)][own]))
+            out.append((((h[own] + np.uint64(n)) * _MIX >> np.uint64(64 - bits)).astype(np.int64), word[: len(h)][own]))
     return out
 
 
@@ -85,13 +87,14 @@ class Model:
 
     def __init__(self, langs: list[str], counts: np.ndarray, scripts: dict[str, np.ndarray], switch: float = SWITCH):
         self.langs, self.scripts, self.switch = langs, scripts, switch
-        self.table = (np.log(counts + 0.5) - np.log(counts.sum(0, keepdims=True) + 0.5 * BUCKETS)).astype(np.float32)
+        self.bits = len(counts).bit_length() - 1
+        self.table = (np.log(counts + 0.5) - np.log(counts.sum(0, keepdims=True) + 0.5 * len(counts))).astype(np.float32)
         self.cache: dict[str, int] | None = None
 
     def score(self, words: list[str]) -> np.ndarray:
         """Per word and language, the mean log-probability of the n-grams by the number of letters; far lower outside its script."""
         total, number = np.zeros((len(words), len(self.langs))), np.zeros(len(words))
-        for bucket, word in grams(words):
+        for bucket, word in grams(words, self.bits):
             starts = np.flatnonzero(np.diff(word, prepend=-1))
             total += np.add.reduceat(self.table[bucket], starts, axis=0, dtype=np.float64)
             number += np.diff(starts, append=len(word))
@@ -157,14 +160,18 @@ class Model:
 def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
     """Best language of each word under a penalty for each switch.
 
-    A path of one language is best if no stretch gains more than the penalty in another one: each stretch costs at
-    least one switch. That is one pass of running sums, and covers almost every text; the others take the full pass.
+    The language of the best total is the path if no stretch gains more than the penalty in another one, since a path that
+    uses it pays a switch for each such stretch, and if the best other language of each word, taken together, gains no more
+    either, since a path that never uses it pays one switch at least. That is one pass of running sums, and covers almost
+    every text; the others take the full pass.
     """
     n, k = scores.shape
     best = int(scores.sum(0).argmax())
     gain = np.zeros((n + 1, k))
-    np.cumsum(scores - scores[:, [best]], axis=0, out=gain[1:])
-    if (gain - np.minimum.accumulate(gain, 0)).max() <= switch:
+    over = scores - scores[:, [best]]
+    np.cumsum(over, axis=0, out=gain[1:])
+    over[:, best] = -np.inf
+    if (gain - np.minimum.accumulate(gain, 0)).max() <= switch and (k == 1 or over.max(1).sum() <= switch):
         return np.full(n, best)
     back, own = [], range(k)
     v = [0.0] * k
@@ -186,35 +193,38 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, switch: float =
     spark = labelled.sparkSession
     bounded_batches(spark)
     known = labelled.where("lang is not null and text is not null")
-    sizes = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     langs = sorted(sizes)
     if not langs:
-        return Model([], np.zeros((BUCKETS, 0)), {}, switch)
-    share = F.create_map(*[F.lit(x) for l in langs for x in (l, min(1.0, per_language / sizes[l]))])
+        return Model([], np.zeros((1 << BUCKET_BITS, 0)), {}, switch)
+    share = spark.createDataFrame([(l, min(1.0, per_language / sizes[l])) for l in langs], "lang string, share double")
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", "lang"), 11) / float(1 << 53)
-    sample = known.where(unit < F.try_element_at(share, F.col("lang"))).select("lang", "text")
+    sample = known.join(F.broadcast(share), "lang").where(unit < F.col("share")).select("lang", "text")
     number = {l: i for i, l in enumerate(langs)}
+    bits = bucket_bits(len(langs))
 
     def count(batches):
-        counts = np.zeros((len(langs), BUCKETS), np.int64)
+        counts: dict[int, np.ndarray] = {}
         seen: dict[tuple[int, str], int] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 at = number[lang]
                 words = [w for w in map(letters, text.split()) if w]
                 if words:
-                    for bucket, _ in grams(words):
-                        counts[at] += np.bincount(bucket, minlength=BUCKETS)
+                    own = counts.setdefault(at, np.zeros(1 << bits, np.int64))
+                    for bucket, _ in grams(words, bits):
+                        own += np.bincount(bucket, minlength=1 << bits)
                 for w in words:
                     kind = script(w)
                     seen[at, kind] = seen.get((at, kind), 0) + len(w)
-        at, bucket = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bucket), pa.nulls(len(at), pa.string()), pa.array(counts[at, bucket])], names=["lang", "bucket", "script", "n"])
+        for at, own in counts.items():
+            bucket = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), at)), pa.array(bucket), pa.nulls(len(bucket), pa.string()), pa.array(own[bucket])], names=["lang", "bucket", "script", "n"])
         yield arrow_rows({"lang": pa.int64(), "bucket": pa.int64(), "script": pa.string(), "n": pa.int64()}, {"lang": [k[0] for k in seen], "bucket": [0] * len(seen), "script": [k[1] for k in seen], "n": list(seen.values())})
 
-    # At most languages x (BUCKETS + scripts) rows.
+    # At most languages x (buckets + scripts) rows.
     table = sample.mapInArrow(count, "lang long, bucket long, script string, n long").groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((BUCKETS, len(langs)))
+    counts = np.zeros((1 << bits, len(langs)))
     own = table[table.script.isna()]
     counts[own.bucket.to_numpy(), own.lang.to_numpy()] = own.n
     kinds = table[table.script.notna()]
