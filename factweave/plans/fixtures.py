@@ -94,7 +94,7 @@ blocks AS (SELECT doc_id AS document_id, block_index, text, t,
 def table_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table for each priority: a row for each segment, a column for each year, the largest price in it."""
     c = claims(spark, sf_dir)
-    years = [1995, 1996, 1997]
+    years = sorted(r.y for r in table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y")).distinct().collect())  # a column each
     cell = [F.max(F.when(F.col("time_data.label") == f"FY{y}", F.floor("normalized_value").cast("string"))).alias(f"y{y}") for y in years]
     rows = c.groupBy("document_id", "subject").agg(*cell)
     row = F.array(F.concat(F.lit("Total revenue "), F.col("subject")), *[F.coalesce(F.col(f"y{y}"), F.lit("-")) for y in years])
