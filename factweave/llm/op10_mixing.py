@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document gets a fixed 48-bit hash. For each source the sizes are summed by the leading 12 bits of the hash, the
+Every document gets a fixed 36-bit hash. For each source the sizes are summed by the leading 12 bits of the hash, the
 bucket in which the running sum passes the budget is found, and only that bucket is histogrammed again by the next 12
 bits, three levels deep. What lies below the nested threshold is taken; nothing is sorted and no document list is
 gathered. A budget above the source's size takes every document once and the documents below the threshold once more.

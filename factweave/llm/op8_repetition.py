@@ -2,8 +2,8 @@
 
 For several n-gram lengths, rolling hashes over a text's word hashes find the n-grams that occur twice or more; the
 characters inside their later occurrences are counted once each, however many windows cover them, and set against the
-characters of all words. Duplicated lines are measured in the same way. The limits follow the published
-repetition rules for web text, and apply from ``MIN_WORDS`` words on; shorter texts fail the base rule anyway.
+characters of all words. Duplicated lines are measured in the same way. The limits have the form of
+the published repetition rules for web text but are wider (see LIMITS), and apply from ``MIN_WORDS`` words on; shorter texts fail the base rule anyway.
 
 Defined results: null, empty and blank texts have no words, fail the base rule and are not kept; a text's own repeats
 count, repeats across rows do not; very long texts are hashed whole; an empty table gives an empty result; further
