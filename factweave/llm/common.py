@@ -71,6 +71,11 @@ def tidy(spark: SparkSession):
     return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
 
 
+def hash_joins(spark: SparkSession):
+    """Shuffled joins run in this block hash a side, without sorting either, if each of its partitions is known to be small."""
+    return settings(spark, spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold="64m")
+
+
 def collected(df: DataFrame) -> pa.Table:
     """The rows of a table of a bounded size."""
     with tidy(df.sparkSession):

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, collected, documents, materialize, release, row_key
+from .common import bounded_batches, collected, documents, hash_joins, materialize, release, row_key
 
 WINDOW = 2
 LEAST_WORDS, LEAST_ALONE = 10, 25
@@ -153,7 +153,7 @@ def without(text: str, spans: list[int]) -> tuple[str, int]:
 
 
 def repeated(docs: DataFrame, least_words: int = LEAST_WORDS, least_alone: int = LEAST_ALONE) -> DataFrame:
-    """h, doc_id, k, span, first: every occurrence of a chunk whose hash occurs again, and whether it is the first."""
+    """h, doc_id, k, span, near: every occurrence of a chunk whose hash occurs again, and whether the first is in a row of this id."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -164,13 +164,20 @@ def repeated(docs: DataFrame, least_words: int = LEAST_WORDS, least_alone: int =
 
     picked = docs.where("text is not null").select(row_key().alias("k"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     every = materialize(picked.mapInArrow(run, "h long, k long, doc_id long, span long"), "chunks")
-    place = F.struct("doc_id", "k", "span")
-    again = materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).where("n > 1").select("h", "least"), "again")
-    out = materialize(every.join(again, "h").select("h", "doc_id", "k", "span", (place == F.col("least")).alias("first")), "repeated")
+    ident = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    # Of all chunks, numbers alone are aggregated; places are compared only where the first document is known.
+    again = materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(ident).alias("least")).where("n > 1").select("h", "least"), "again")
+    with hash_joins(docs.sparkSession):
+        out = materialize(every.join(again, "h").select("h", "doc_id", "k", "span", (ident == F.col("least")).alias("near")), "repeated")
     release(every, again)
     return out
 
 
+def firsts(found: DataFrame) -> DataFrame:
+    """h, doc_id, k, span: of the rows of :func:`repeated`, the first of each hash by id, then key, then position."""
+    return found.where("near").groupBy("h").agg(F.min(F.struct("doc_id", "k", "span")).alias("least")).select("h", "least.*")
+
+
 def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
     """Bits of the row keys, as 64-bit words; at most 2 ** (bits - 6) rows reach the driver."""
     bit = F.col("k").bitwiseAND(F.lit((1 << bits) - 1))
@@ -187,7 +194,8 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_alone
     bounded_batches(spark)
     found = repeated(docs, least_words, least_alone)
     marks = F.collect_set(F.struct("h", "span", "first")).alias("spans")
-    per_doc = materialize(found.groupBy(F.col("doc_id").alias("id"), F.col("k").alias("of")).agg(marks), "marks")
+    places = found.select("h", "doc_id", "k", "span", F.lit(False).alias("first")).union(firsts(found).select("*", F.lit(True)))
+    per_doc = materialize(places.groupBy(F.col("doc_id").alias("id"), F.col("k").alias("of")).agg(marks), "marks")
     release(found)
     n_bits = min(max(16, (16 * per_doc.count()).bit_length()), BITMAP_BITS)
     bits = spark.sparkContext.broadcast(_bitmap(per_doc.select(F.col("of").alias("k")), n_bits))
@@ -216,9 +224,10 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_alone
             for i, text in enumerate(b.column(2).to_pylist()):
                 own, _ = pieces(text)
                 at = range(ends[i], ends[i + 1])
-                firsts = [(span[j] // _WIDE, span[j] % _WIDE, h[j]) for j in at if first[j]]
-                others = cover([(span[j] // _WIDE, span[j] % _WIDE, h[j]) for j in at if not first[j]])
-                out += [(i, x, a * _WIDE + e, is_first, "\n".join(own[a:e]).encode()) for is_first, chosen in ((True, firsts), (False, others)) for a, e, x in chosen]
+                own_first = {(span[j], h[j]) for j in at if first[j]}
+                own_first_spans = [(s // _WIDE, s % _WIDE, x) for s, x in own_first]
+                others = cover([(span[j] // _WIDE, span[j] % _WIDE, h[j]) for j in at if (span[j], h[j]) not in own_first])
+                out += [(i, x, a * _WIDE + e, is_first, "\n".join(own[a:e]).encode()) for is_first, chosen in ((True, own_first_spans), (False, others)) for a, e, x in chosen]
             row, *cols = list(zip(*out, strict=True)) or [()] * 5
             row = pa.array(row, pa.int64())
             kinds = zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)
@@ -226,11 +235,13 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_alone
 
     texts = packed.where("text is not null").select("k", "doc_id", "text").mapInArrow(hit(True), "k long, doc_id long, text string")
     whole = texts.join(per_doc, same_row).select("doc_id", "k", "text", "spans")
-    fetched = materialize(whole.mapInArrow(fetch, "doc_id long, k long, h long, span long, first boolean, bytes binary"), "bytes")
+    with hash_joins(spark):
+        fetched = materialize(whole.mapInArrow(fetch, "doc_id long, k long, h long, span long, first boolean, bytes binary"), "bytes")
     release(per_doc)
     first = fetched.where("first").select("h", "bytes")
     same = fetched.where("not first").join(first, ["h", "bytes"], "left_semi")
-    spans = materialize(same.groupBy(F.col("doc_id").alias("id"), F.col("k").alias("of")).agg(F.collect_set("span").alias("spans")), "same")
+    with hash_joins(spark):
+        spans = materialize(same.groupBy(F.col("doc_id").alias("id"), F.col("k").alias("of")).agg(F.collect_set("span").alias("spans")), "same")
     release(fetched)
 
     def cut(batches):
@@ -241,7 +252,8 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_alone
     row = packed.schema["_fw_row"].dataType.simpleString()
     schema = f"_fw_row {row}, text string, removed_units long, removed_chars long"
     kind = f"k long, doc_id long, text string, _fw_row {row}"
-    touched = packed.mapInArrow(hit(True), kind).join(spans, same_row, "left").select("_fw_row", "text", "spans").mapInArrow(cut, schema)
+    # A few numbers a text are hashed beside the texts, which then need no sort.
+    touched = packed.mapInArrow(hit(True), kind).join(spans.hint("shuffle_hash"), same_row, "left").select("_fw_row", "text", "spans").mapInArrow(cut, schema)
     others = packed.mapInArrow(hit(False), kind).select("_fw_row", "text", F.lit(0).cast("long").alias("removed_units"), F.lit(0).cast("long").alias("removed_chars"))
     out = others.unionByName(touched)
     n_chars = F.when(F.col("removed_units") > 0, F.length("text").cast("long")).otherwise(F.col("_fw_row.n_chars")) if "n_chars" in docs.columns else None
