@@ -13,10 +13,9 @@ repeated units, long chunks before short ones; their bytes are fetched and compa
 then text, then position), and all but the first are cut out. A removed unit has an equal one earlier in the order, so by
 induction the first occurrence of every passage stays. A hash shared by different chunks can only leave text in.
 
-Scale: hashes, not texts, are aggregated; hot hashes meet in partial aggregates and in joins that Spark can split. Only
-documents with a repeated chunk are shuffled with their text. They are found by a bitmap over row keys, of 16 bits a
-document and at most 2 ** BITMAP_BITS in all: a false hit costs a shuffled text, never a result. Rows are told apart by id and
-a hash of id and text together.
+Scale: hashes, not texts, are aggregated; hot hashes meet in partial aggregates and in joins that Spark can split. Each text
+is shuffled twice, to fetch bytes and to be cut, at every size; nothing is gathered on the driver. Rows are told apart by id
+and a hash of id and text together.
 
 Defined results: null texts stay null; a text that is removed whole stays as an empty text; repeated rows (same id and
 text) are one document and keep or lose the same units; rows without an id come first in the order; empty tables give
@@ -34,11 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, collected, documents, hash_joins, materialize, release, row_key
+from .common import bounded_batches, documents, hash_joins, materialize, release, row_key
 
 WINDOW = 2
 LEAST_WORDS, LEAST_ALONE = 10, 25
-BITMAP_BITS = 27
 _END = re.compile(r"(?<=[.!?]) |\n")
 _AFTER = re.compile(r"(?<=[.!?\n]) ")
 _BASE = 0x9E3779B97F4A7C15
@@ -46,19 +44,30 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _WIDE = 1 << 31
 
 
+def _split(text: str, pattern: re.Pattern, ends: tuple[str, ...]) -> list[str]:
+    """``pattern.split(text)``, where the pattern's one-character matches are the last characters of ``ends``."""
+    if "\0" in text:
+        return pattern.split(text)
+    for end in ends:
+        text = text.replace(end, end[:-1] + "\0")
+    return text.split("\0")
+
+
 def units(text: str) -> list[tuple[int, int, int]]:
     """(first, past the last, past the white space after it) character of each line or sentence; blank ones join the one before."""
     out: list[tuple[int, int, int]] = []
-    at = 0
-    ends = [(m.start(), m.end()) for m in _END.finditer(text)]
-    for stop, after in [*ends, (len(text), len(text))]:
-        if text[at:stop].strip():
+    at = stop = 0
+    for part in _split(text, _END, (". ", "! ", "? ", "\n")):
+        stop += len(part)
+        after = min(stop + 1, len(text))
+        if part.strip():
             out.append((at, stop, after))
+            at = after
         elif out:
             out[-1] = (*out[-1][:2], after)
-        elif after > at:
-            continue  # leading blanks stay with the first unit
-        at = after
+            at = after
+        # leading blanks stay with the first unit
+        stop = after
     return out
 
 
@@ -67,7 +76,7 @@ def pieces(text: str) -> tuple[list[str], list[bool]]:
     out: list[str] = []
     opens: list[bool] = []
     new = True
-    for x in _AFTER.split(text.replace("\n", "\n ")):
+    for x in _split(text.replace("\n", "\n "), _AFTER, (". ", "! ", "? ", "\n ")):
         unit = x.strip()
         if unit:
             out.append(unit)
@@ -178,14 +187,33 @@ def firsts(found: DataFrame) -> DataFrame:
     return found.where("near").groupBy("h").agg(F.min(F.struct("doc_id", "k", "span")).alias("least")).select("h", "least.*")
 
 
-def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """Bits of the row keys, as 64-bit words; at most 2 ** (bits - 6) rows reach the driver."""
-    bit = F.col("k").bitwiseAND(F.lit((1 << bits) - 1))
-    one = F.expr("shiftleft(1L, cast(k & 63 as int))")
-    got = collected(keys.select(F.shiftright(bit, 6).cast("int").alias("at"), one.alias("one")).groupBy("at").agg(F.bit_or("one").alias("bits")))
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[got.column("at").to_numpy()] = got.column("bits").to_numpy()
-    return out
+def covering(docs: pa.Array, spans: pa.Array, first: pa.Array, h: pa.Array) -> tuple[list[int], list[int], list[int]]:
+    """Document number, hash and span of the chunks that :func:`cover` picks in each document among its spans that are not ``first``.
+
+    A first occurrence stands among the spans twice, with and without the mark. Spans inside others are left out beforehand.
+    """
+    doc, span, own, value = (x.to_numpy(zero_copy_only=False) for x in (docs, spans, first, h))
+    of, at, chunk = [], [], []
+    order = np.lexsort((~own, span, doc))
+    doc, span, own, value = doc[order], span[order], own[order], value[order]
+    twin = np.concatenate([[False], (doc[1:] == doc[:-1]) & (span[1:] == span[:-1]) & own[:-1]]) if len(doc) else own
+    left = ~own & ~twin
+    doc, span, value = doc[left], span[left], value[left]
+    a, b = span // _WIDE, span % _WIDE
+    order = np.lexsort((-b, a, doc))
+    reach = doc[order] * _WIDE + b[order]
+    furthest = np.maximum.accumulate(reach)
+    order = order[np.concatenate([[True], reach[1:] > furthest[:-1]])] if len(reach) else order
+    doc, a, b, value = doc[order], a[order].tolist(), b[order].tolist(), value[order].tolist()
+    ends = np.flatnonzero(np.concatenate([doc[1:] != doc[:-1], [True]])) + 1 if len(doc) else doc
+    start = 0
+    for end in ends.tolist():
+        picked = cover(list(zip(a[start:end], b[start:end], value[start:end], strict=True)))
+        of += [int(doc[start])] * len(picked)
+        at += [x * _WIDE + y for x, y, _ in picked]
+        chunk += [v for _, _, v in picked]
+        start = end
+    return of, chunk, at
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_alone: int = LEAST_ALONE) -> DataFrame:
@@ -193,28 +221,30 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_alone
     spark = docs.sparkSession
     bounded_batches(spark)
     found = repeated(docs, least_words, least_alone)
+    first = materialize(firsts(found), "firsts")
+    by_row = (F.col("doc_id").alias("id"), F.col("k").alias("of"))
     marks = F.collect_set(F.struct("h", "span", "first")).alias("spans")
-    places = found.select("h", "doc_id", "k", "span", F.lit(False).alias("first")).union(firsts(found).select("*", F.lit(True)))
-    per_doc = materialize(places.groupBy(F.col("doc_id").alias("id"), F.col("k").alias("of")).agg(marks), "marks")
+    places = found.select("h", "doc_id", "k", "span", F.lit(False).alias("first")).union(first.select("*", F.lit(True)))
+
+    def pick(batches):
+        for b in batches:
+            each = b.column(2).flatten()
+            n = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            of, h, span = covering(pa.array(np.repeat(np.arange(len(n)), n)), each.field("span"), each.field("first"), each.field("h"))
+            row = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), b.column(0).take(row), b.column(1).take(row), pa.array(span, pa.int64())], names=["h", "doc_id", "k", "span"])
+
+    chosen = materialize(places.groupBy(*by_row).agg(marks).mapInArrow(pick, "h long, doc_id long, k long, span long"), "chosen")
     release(found)
-    n_bits = min(max(16, (16 * per_doc.count()).bit_length()), BITMAP_BITS)
-    bits = spark.sparkContext.broadcast(_bitmap(per_doc.select(F.col("of").alias("k")), n_bits))
+    # Of the first occurrences, those count that a chosen chunk may equal.
+    met = first.join(chosen.select("h").distinct(), "h", "left_semi")
+    per_doc = chosen.select("*", F.lit(False).alias("first")).union(met.select("*", F.lit(True))).groupBy(*by_row).agg(marks)
 
     same_row = (F.col("k") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))
     packed = docs.select(row_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("_fw_row"))
 
-    def hit(inside: bool):
-        def run(batches):
-            table = bits.value
-            for b in batches:
-                k = b.column(0).to_numpy(zero_copy_only=False) & ((1 << n_bits) - 1)
-                mask = (table[k >> 6] >> (k & 63)) & 1 == int(inside)
-                yield b.filter(pa.array(mask))
-
-        return run
-
     def fetch(batches):
-        """The bytes of first occurrences, and of as many others as cover a text's repeated units."""
+        """The bytes of the marked chunks."""
         for b in batches:
             out: list[tuple] = []
             marks = b.column(3)
@@ -223,39 +253,33 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, least_alone
             ends = marks.offsets.to_numpy() - marks.offsets[0].as_py()
             for i, text in enumerate(b.column(2).to_pylist()):
                 own, _ = pieces(text)
-                at = range(ends[i], ends[i + 1])
-                own_first = {(span[j], h[j]) for j in at if first[j]}
-                own_first_spans = [(s // _WIDE, s % _WIDE, x) for s, x in own_first]
-                others = cover([(span[j] // _WIDE, span[j] % _WIDE, h[j]) for j in at if (span[j], h[j]) not in own_first])
-                out += [(i, x, a * _WIDE + e, is_first, "\n".join(own[a:e]).encode()) for is_first, chosen in ((True, own_first_spans), (False, others)) for a, e, x in chosen]
+                out += [(i, h[j], span[j], first[j], "\n".join(own[span[j] // _WIDE : span[j] % _WIDE]).encode()) for j in range(ends[i], ends[i + 1])]
             row, *cols = list(zip(*out, strict=True)) or [()] * 5
             row = pa.array(row, pa.int64())
             kinds = zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), *(pa.array(c, t) for c, t in kinds)], names=["doc_id", "k", "h", "span", "first", "bytes"])
 
-    texts = packed.where("text is not null").select("k", "doc_id", "text").mapInArrow(hit(True), "k long, doc_id long, text string")
-    whole = texts.join(per_doc, same_row).select("doc_id", "k", "text", "spans")
+    # A few numbers a text are hashed beside the texts, which then need no sort.
+    whole = packed.where("text is not null").join(per_doc.hint("shuffle_hash"), same_row).select("doc_id", "k", "text", "spans")
     with hash_joins(spark):
         fetched = materialize(whole.mapInArrow(fetch, "doc_id long, k long, h long, span long, first boolean, bytes binary"), "bytes")
-    release(per_doc)
-    first = fetched.where("first").select("h", "bytes")
-    same = fetched.where("not first").join(first, ["h", "bytes"], "left_semi")
+    release(chosen, first)
+    original = fetched.where("first").select("h", "bytes")
+    same = fetched.where("not first").join(original, ["h", "bytes"], "left_semi")
     with hash_joins(spark):
-        spans = materialize(same.groupBy(F.col("doc_id").alias("id"), F.col("k").alias("of")).agg(F.collect_set("span").alias("spans")), "same")
+        spans = materialize(same.groupBy(*by_row).agg(F.collect_set("span").alias("spans")), "same")
     release(fetched)
 
     def cut(batches):
         for b in batches:
-            rows = [(x, 0) if x is None or not spans else without(x, spans) for x, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(x or "") - len(r[0] or "") for x, r in zip(b.column(1).to_pylist(), rows, strict=True)], pa.int64())], names=["_fw_row", "text", "removed_units", "removed_chars"])
+            texts = b.column(1).to_pylist()
+            rows = [(x, 0) if x is None or not spans else without(x, spans) for x, spans in zip(texts, b.column(2).to_pylist(), strict=True)]
+            gone = [len(x or "") - len(r[0] or "") for x, r in zip(texts, rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array(gone, pa.int64())], names=["_fw_row", "text", "removed_units", "removed_chars"])
 
     row = packed.schema["_fw_row"].dataType.simpleString()
-    schema = f"_fw_row {row}, text string, removed_units long, removed_chars long"
-    kind = f"k long, doc_id long, text string, _fw_row {row}"
-    # A few numbers a text are hashed beside the texts, which then need no sort.
-    touched = packed.mapInArrow(hit(True), kind).join(spans.hint("shuffle_hash"), same_row, "left").select("_fw_row", "text", "spans").mapInArrow(cut, schema)
-    others = packed.mapInArrow(hit(False), kind).select("_fw_row", "text", F.lit(0).cast("long").alias("removed_units"), F.lit(0).cast("long").alias("removed_chars"))
-    out = others.unionByName(touched)
+    joined = packed.join(spans.hint("shuffle_hash"), same_row, "left").select("_fw_row", "text", "spans")
+    out = joined.mapInArrow(cut, f"_fw_row {row}, text string, removed_units long, removed_chars long")
     n_chars = F.when(F.col("removed_units") > 0, F.length("text").cast("long")).otherwise(F.col("_fw_row.n_chars")) if "n_chars" in docs.columns else None
     new = ("removed_units", "removed_chars")
     columns = [F.col("text") if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col("_fw_row").getField(c).alias(c) for c in docs.columns if c not in new]
