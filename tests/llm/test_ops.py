@@ -435,10 +435,41 @@ def plain_backoff(grams):
 
 
 # op10
-def test_targets_are_shared_again():
+def target_of(spark, sizes):
+    base = spark.createDataFrame([("n" if s is None else f"s{s}", n) for s, n in sizes.items()], "skey string, size long")
+    rows = op10_mixing.targets(op10_mixing._sources(base, op10_mixing.WEIGHTS)).collect()
+    return {None if r.skey == "n" else r.skey[1:]: r.target for r in rows}
+
+
+def test_targets_are_shared_again(spark):
     sizes = {"b": 100, "a": 10, None: 1000, "c": 0}
-    t = op10_mixing.targets(sizes)
+    t = target_of(spark, sizes)
     assert t["a"] == 20 and t["b"] == 200 and t["c"] == 0 and math.isclose(sum(t.values()), 1.5 * 1110)
-    t = op10_mixing.targets({"a": 1000, "b": 1000, "c": 1000})
+    t = target_of(spark, {"a": 1000, "b": 1000, "c": 1000})
     assert math.isclose(t["a"], 2000) and math.isclose(t["b"], 2500 * 2 / 3) and math.isclose(t["c"], 2500 / 3)
-    assert op10_mixing.targets({}) == {}
+    assert target_of(spark, {}) == {}
+
+
+def test_weights_follow_the_order_of_sources(spark):
+    names = sorted({f"s{random.Random(i).randrange(10**6)}" for i in range(500)})
+    base = spark.createDataFrame([(f"s{n}", 1) for n in names] + [("n", 1)], "skey string, size long")
+    weight = {r.skey: r.weight for r in op10_mixing._sources(base, (5, 2, 1)).collect()}
+    assert weight == {**{f"s{n}": (5, 2, 1)[i % 3] for i, n in enumerate(names)}, "n": (5, 2, 1)[len(names) % 3]}
+
+
+@pytest.mark.parametrize("most_bytes", [4 << 20, 0])
+def test_mix_equals_sql(spark, monkeypatch, most_bytes):
+    """Few sources by broadcast, many by salted joins; a hot source, null sources, ids and texts, repeated rows, sources without words."""
+    import duckdb
+    import pandas as pd
+
+    r = random.Random(3)
+    rows = [(i, "w " * r.randrange(1, 40), "hot" if i % 3 else f"s{i % 7}") for i in range(400)]
+    rows += [(None, "no id", "s1"), (None, None, None), (7, None, "s2"), (8, "again, again", None), (8, "again, again", None), (9, "", "empty"), (10, "x\x1fy\u00a0z \x0b v", "é")]
+    monkeypatch.setattr(op10_mixing, "BROADCAST_BYTES", most_bytes)
+    got = op10_mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})  # read by name
+    with duckdb.connect() as con:
+        con.register("documents", documents)
+        want = con.sql(op10_mixing.SQL["op10_mixing"]).fetchall()
+    assert Counter(map(tuple, got)) == Counter(want) and len(want) == len(rows)
