@@ -52,6 +52,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(fits, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b)))).otherwise(0.0)
 
 
+def sparse_cosine(slots: Column, b: Column) -> Column:
+    """:func:`cosine` of a vector's non-zero slots (array of struct at, v, ascending) and another of the same length; nothing but zeros is left out of the sum."""
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate(slots, F.lit(0.0), lambda total, x: total + x["v"] * F.get(b, x["at"]))))
+
+
 def embedding_text(subject: Column, predicate: Column, scope: Column) -> Column:
     return F.concat_ws(" ", subject, predicate, F.coalesce(scope, F.lit("")))
 

@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
-from ..functions.embed import cosine, embedding_text, feature_hash
-from ..functions.text import strip
+from ..functions.embed import embedding_text, feature_hash, sparse_cosine
+from ..functions.text import bind, strip
 
 LEAD = 4  # leading characters by which containment is blocked
+SALTS = 16  # tasks that share the signatures of one predicate
 
 
 def pair_score(a_subject: Column, a_predicate: Column, b_subject: Column, b_predicate: Column, similarity: Column) -> Column:
@@ -29,10 +30,22 @@ def pair_score(a_subject: Column, a_predicate: Column, b_subject: Column, b_pred
 
 
 def signatures(facts: DataFrame) -> DataFrame:
-    """sig, s, p, emb: the distinct (subject, predicate, scope) of facts, with the embedding of their text."""
+    """sig, s, p, emb, nz: the distinct (subject, predicate, scope) of facts, with the embedding of their text and its non-zero slots.
+
+    Facts without subject or predicate match nothing. The exchange after the embedding is the same for all joins of
+    :func:`signature_pairs`, so Spark computes embeddings once and reuses it.
+    """
     s, p = F.lower(strip(F.col("subject"))), F.lower(strip(F.col("predicate")))
     text = embedding_text(F.col("subject"), F.col("predicate"), F.col("scope"))
-    return facts.select(sig_of(facts).alias("sig"), s.alias("s"), p.alias("p"), text.alias("t")).distinct().withColumn("emb", feature_hash(F.col("t"))).drop("t")
+    every = facts.select(sig_of(facts).alias("sig"), s.alias("s"), p.alias("p"), text.alias("t")).where("s is not null and p is not null").distinct()
+    embedded = bind(every.repartition(_partitions(facts), "sig"), emb=feature_hash(F.col("t"))).drop("t")
+    slots = F.filter(F.transform("emb", lambda v, i: F.struct(i.alias("at"), v.alias("v"))), lambda x: x["v"] != 0)
+    return embedded.withColumn("nz", slots).repartition("sig")
+
+
+def _partitions(df: DataFrame) -> int:
+    """A fixed number of partitions, which small sizes do not reduce: pairs cost much more time than bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def sig_of(facts: DataFrame) -> Column:
@@ -55,24 +68,27 @@ def contained(names: DataFrame, column: str = "name") -> DataFrame:
 
 def signature_pairs(targets: DataFrame, corpus: DataFrame) -> DataFrame:
     """a, b, score for the signatures of ``targets`` and ``corpus`` that reach the least score."""
-    a = targets.select(*[F.col(c).alias(f"a_{c}") for c in ("sig", "s", "p", "emb")])
+    a = targets.select(*[F.col(c).alias(f"a_{c}") for c in ("sig", "s", "p", "nz")])
     b = corpus.select(*[F.col(c).alias(f"b_{c}") for c in ("sig", "s", "p", "emb")])
 
-    def part(column: str, extra: Column | None = None) -> DataFrame:
+    def part(column: str) -> DataFrame:
         both = contained(targets.select(column).union(corpus.select(column)), column)
         links = both.select(F.col("inner").alias("x"), F.col("outer").alias("y")).union(both.select(F.col("outer").alias("x"), F.col("inner").alias("y")))
-        out = a.join(links, a[f"a_{column}"] == links.x).join(b, b[f"b_{column}"] == links.y)
-        return (out if extra is None else out.where(extra)).drop("x", "y")
+        return a.join(links, a[f"a_{column}"] == links.x).join(b, b[f"b_{column}"] == links.y).drop("x", "y")
 
-    close = cosine(F.col("a_emb"), F.col("b_emb"))
+    # A predicate may hold a third of all signatures: its targets are dealt to SALTS tasks, each of which meets all its others.
+    n = _partitions(targets)
+    dealt = a.withColumn("salt", F.pmod(F.hash("a_sig"), F.lit(SALTS))).repartition(n, "a_p", "salt")
+    every = b.withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(n, "b_p", "b_salt")
+    same_predicate = dealt.join(every, (F.col("a_p") == F.col("b_p")) & (F.col("salt") == F.col("b_salt"))).where("a_s <> b_s").drop("salt", "b_salt")
     same_subject = a.join(b, a.a_s == b.b_s)
-    same_predicate = a.join(b, a.a_p == b.b_p).where("a_s <> b_s")
     part_subject = part("s").where("a_p <> b_p")
-    part_predicate = part("p", close >= 0.74).where("a_s <> b_s and not contains(a_s, b_s) and not contains(b_s, a_s)")
+    part_predicate = part("p").where("a_s <> b_s and not contains(a_s, b_s) and not contains(b_s, a_s)")
     # The four conditions exclude each other, so no pair comes twice.
     every = same_subject.unionByName(same_predicate).unionByName(part_subject).unionByName(part_predicate)
-    score = pair_score(F.col("a_s"), F.col("a_p"), F.col("b_s"), F.col("b_p"), close)
-    return every.select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"), score.alias("score")).where(F.col("score") >= V.LEAST_PAIR_SCORE)
+    close = bind(every, close=sparse_cosine(F.col("a_nz"), F.col("b_emb")))
+    scored = bind(close, score=pair_score(F.col("a_s"), F.col("a_p"), F.col("b_s"), F.col("b_p"), F.col("close")))
+    return scored.select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"), "score").where(F.col("score") >= V.LEAST_PAIR_SCORE)
 
 
 def candidate_pairs(targets: DataFrame, corpus: DataFrame, k: int = V.MOST_PAIRS, incremental: bool = True) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import number, temporal
@@ -39,6 +39,43 @@ claims AS (
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment, o_orderpriority, year(o_orderdate)))"""
 
 
+def _dealt(key, *options):
+    """One of the options by the remainder of ``key``."""
+    out = F.lit(options[-1])
+    for i, x in reversed(list(enumerate(options[:-1]))):
+        out = F.when(key % len(options) == i, x if isinstance(x, Column) else F.lit(x)).otherwise(out)
+    return out
+
+
+def varied_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fact for each customer, thirty a document: subjects that equal, hold or miss each other, several predicates, periods, scopes and units."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    k, nation = F.col("c_custkey"), F.col("n_name")
+
+    def part(of: int):
+        return F.floor(k / of)
+
+    value = F.when(k % 9 != 0, F.floor(F.col("c_acctbal") / 1000).cast("double"))
+    none = F.lit(None).cast("string")
+    return c.join(n, c.c_nationkey == n.n_nationkey).select(
+        F.concat(F.lit("f"), k.cast("string")).alias("fact_id"), F.concat(F.lit("d"), part(30).cast("string")).alias("document_id"), part(30).cast("int").alias("ingest_seq"),
+        _dealt(k, nation, F.concat(F.lit("Bank of "), nation), F.lower(nation), F.concat(nation, F.lit(" Ports")), "Reserve Bank of India", F.col("c_name"), F.concat(F.lit(" "), nation, F.lit(" ")), "International Monetary Fund").alias("subject"),
+        _dealt(part(8), "revenue", "net_revenue", "repo_rate", "cpi_inflation", "employees", "Revenue").alias("predicate"),
+        F.coalesce(F.concat(F.lit("$"), value.cast("long").cast("string")), F.lit("N/A")).alias("raw_value"), value.alias("normalized_value"), _dealt(part(5), "USD", "EUR", None).alias("unit"),
+        F.struct(_dealt(part(7), "FY2023", "FY2024", "fy2024 ", None).alias("label"), none.alias("start"), none.alias("end"), none.alias("precision")).alias("time_data"), _dealt(part(3), "global", "US subsidiary", None, "unspecified").alias("scope"),
+    )
+
+
+VARIED_SQL = """
+varied AS (
+  SELECT *, '$' || CAST(CAST(normalized_value AS BIGINT) AS VARCHAR) AS dollars, coalesce(dollars, 'N/A') AS raw_value, lower(trim(subject)) AS s, lower(trim(predicate)) AS p FROM (
+    SELECT 'f' || c_custkey AS fact_id, 'd' || (c_custkey // 30) AS document_id, c_custkey // 30 AS ingest_seq,
+      CASE c_custkey % 8 WHEN 0 THEN n_name WHEN 1 THEN 'Bank of ' || n_name WHEN 2 THEN lower(n_name) WHEN 3 THEN n_name || ' Ports' WHEN 4 THEN 'Reserve Bank of India' WHEN 5 THEN c_name WHEN 6 THEN ' ' || n_name || ' ' ELSE 'International Monetary Fund' END AS subject,
+      ['revenue', 'net_revenue', 'repo_rate', 'cpi_inflation', 'employees', 'Revenue'][c_custkey // 8 % 6 + 1] AS predicate, CASE WHEN c_custkey % 9 <> 0 THEN floor(c_acctbal / 1000) END AS normalized_value,
+      ['USD', 'EUR', NULL][c_custkey // 5 % 3 + 1] AS unit, ['FY2023', 'FY2024', 'fy2024 ', NULL][c_custkey // 7 % 4 + 1] AS time_label, ['global', 'US subsidiary', NULL, 'unspecified'][c_custkey // 3 % 4 + 1] AS scope
+    FROM customer JOIN nation ON c_nationkey = n_nationkey))"""
+
+
 def claim_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the claims: id, filename, status, page_count, created_at."""
     o = table(spark, sf_dir, "orders")

@@ -118,6 +118,46 @@ def tier1_scope_unit_text(spark, d):
     return R.tier1(R.with_sides(same, v)).select("a_id", "b_id", F.coalesce("r.relationship_type", F.lit("UNDECIDED")).alias("relationship_type"))
 
 
+# All pairs of facts, scored, ranked and classified one by one.
+_VARIED_SQL = f"""{X0.VARIED_SQL},
+source_rows AS (SELECT DISTINCT subject, predicate, scope FROM varied),
+emb AS ({_hash_sql("subject || ' ' || predicate || ' ' || coalesce(scope, '')")}),
+facts AS (SELECT varied.*, emb FROM varied JOIN emb ON emb.subject = varied.subject AND emb.predicate = varied.predicate AND emb.scope IS NOT DISTINCT FROM varied.scope),
+scored AS (SELECT a.fact_id AS target, b.fact_id AS candidate, b.ingest_seq AS c_seq, list_dot_product(a.emb, b.emb) AS cos,
+    CASE WHEN a.s = b.s THEN 0.45::DOUBLE WHEN contains(b.s, a.s) OR contains(a.s, b.s) THEN 0.30::DOUBLE ELSE 0.0 END
+    + CASE WHEN a.p = b.p THEN CASE WHEN a.p IN ({str(V.MACRO_METRICS)[1:-1]}) THEN 0.35::DOUBLE + 0.25::DOUBLE ELSE 0.35::DOUBLE END WHEN contains(b.p, a.p) OR contains(a.p, b.p) THEN 0.20::DOUBLE ELSE 0.0 END
+    + CASE WHEN cos > 0 THEN least(1.0, cos) * 0.2::DOUBLE ELSE 0.0 END AS score
+  FROM facts a JOIN facts b ON b.ingest_seq < a.ingest_seq),
+pairs AS (SELECT target, candidate, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, c_seq, candidate) AS rank FROM scored WHERE score >= 0.35) WHERE rank <= 8),
+views AS (SELECT *, upper(trim(coalesce(time_label, ''))) AS t, lower(coalesce(scope, 'global')) AS c, coalesce(unit, '') AS u, {" OR ".join(f"contains(s, '{x}')" for x in V.MACRO_INSTITUTIONS)} AS official FROM varied),
+sided AS (SELECT target, candidate, a.p = b.p AND (contains(a.s, b.s) OR contains(b.s, a.s) OR (a.p IN ({str(V.MACRO_METRICS)[1:-1]}) AND a.official AND b.official)) AS comparable,
+    a.t <> '' AND b.t <> '' AND a.t <> b.t AS other_time, a.c <> b.c AND 'unspecified' NOT IN (a.c, b.c) AS other_scope, lower(a.raw_value) = lower(b.raw_value) AS same_text,
+    a.normalized_value IS NOT NULL AND b.normalized_value IS NOT NULL AND (a.u = b.u OR '' IN (a.u, b.u)) AS numeric_pair, abs(a.normalized_value - b.normalized_value) / greatest(abs(a.normalized_value), abs(b.normalized_value), 1e-9) AS gap
+  FROM pairs JOIN views a ON a.fact_id = target JOIN views b ON b.fact_id = candidate),
+outcome AS (SELECT target, candidate, CASE WHEN NOT comparable THEN NULL WHEN other_time OR other_scope THEN 'CONTEXTUAL_DIFFERENCE' WHEN numeric_pair THEN CASE WHEN gap <= 0.01 THEN 'CORROBORATES' ELSE 'CONTRADICTS' END WHEN same_text THEN 'CORROBORATES' END AS relationship_type,
+    CASE WHEN other_time THEN 0.96 WHEN other_scope THEN 0.95 WHEN numeric_pair THEN CASE WHEN gap <= 0.01 THEN 0.98 ELSE 0.94 END ELSE 0.97 END AS confidence FROM sided)"""
+
+
+@query(f"WITH {_VARIED_SQL} SELECT target, candidate, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM pairs")
+def candidate_pairs_varied(spark, d):
+    """Pairs by every branch of the score, over facts that grow with the tables."""
+    c = X0.varied_claims(spark, d)
+    return P.candidate_pairs(c, c).select("target", "candidate", F.round("score", 4).alias("score"), "rank")
+
+
+@query(f"WITH {_VARIED_SQL} SELECT target AS fact_a_id, candidate AS fact_b_id, relationship_type, CAST(confidence AS DOUBLE) AS confidence FROM outcome WHERE relationship_type IS NOT NULL")
+def relationships_varied(spark, d):
+    """The cascade over these pairs: institutions, periods, scopes, units, numbers and texts."""
+    return R.resolve(X0.varied_claims(spark, d)).select("fact_a_id", "fact_b_id", "relationship_type", "confidence")
+
+
+@query(f"WITH {_VARIED_SQL} SELECT target AS a_id, candidate AS b_id FROM outcome WHERE relationship_type IS NULL")
+def undecided_varied(spark, d):
+    """What is left for a judge."""
+    c = X0.varied_claims(spark, d)
+    return R.tier1(R.with_sides(P.candidate_pairs(c, c), c)).where("r is null").select("a_id", "b_id")
+
+
 @query(f"WITH {X0.CLAIMS_SQL} SELECT fact_id, document_id, normalized_value FROM claims WHERE document_id NOT LIKE '1%' UNION ALL SELECT fact_id, document_id, normalized_value * 2 FROM claims WHERE document_id LIKE '1%'")
 def replace_on_rerun(spark, d):
     c = X0.claims(spark, d).select("fact_id", "document_id", "normalized_value")
@@ -182,6 +222,14 @@ def fact_neighbours(spark, d):
     return Q.neighbours(_edges(spark, d), X0.claims(spark, d), X0.claim_documents(spark, d), "BUILDING|2-HIGH|1995").select("other_id", "relationship_type", "other_subject", "other_value")
 
 
+@query(f"WITH {X0.CLAIMS_SQL} SELECT fact_id, subject || ' ' || raw_value || '|' || raw_value AS quotes FROM claims WHERE document_id = '2-HIGH'")
+def document_facts(spark, d):
+    """A document's facts with all their evidence."""
+    c = X0.claims(spark, d)
+    own = Q.with_evidence(Q.search_facts(c, document_id="2-HIGH"), _evidence(c))
+    return own.select("fact_id", F.array_join(F.transform("evidence", lambda x: x["evidence_text"]), "|").alias("quotes"))
+
+
 _EDGE_VIEW = "FROM edges e JOIN claims a ON a.fact_id = fact_a_id JOIN claims b ON b.fact_id = fact_b_id JOIN docs da ON da.id = a.document_id JOIN docs db ON db.id = b.document_id"
 
 
@@ -296,7 +344,7 @@ def relationships_csv(spark, d):
     return e.select(Q.csv_line(*[F.col(c) for c in ("relationship_type", "confidence", "a_subject", "a_filename")]).alias("line"))
 
 
-@query()
+@query("SELECT '{' || chr(10) || " + " || ',' || chr(10) || ".join(f"'  \"{k}\" : ' || {k}" for k in ("documents", "facts", "relationships", "corroborations", "contradictions", "contextual")) + f" || chr(10) || '}}' AS json FROM ({SQL['overview_stats']})")
 def overview_json(spark, d):
     return Q.overview_json(overview_stats(spark, d))
 
@@ -545,7 +593,7 @@ def provider_claims(spark, d):
     return X.normalise_answers(routed).select("document_id", "block_id", "subject", "predicate", "normalized_value", "unit", "scope")
 
 
-@query()
+@query(f"WITH {PAIRS_SQL} SELECT target AS fact_a_id, candidate AS fact_b_id, 'CONTEXTUAL_DIFFERENCE' AS relationship_type, 0.7::DOUBLE AS confidence FROM pairs JOIN claims a ON a.fact_id = target JOIN claims b ON b.fact_id = candidate WHERE a.subject <> b.subject AND 'BUILDING' IN (a.subject, b.subject)")
 def judged_pairs(spark, d):
     """Pairs that the cascade leaves open, judged by a recorded answer."""
     from ..sources.providers import ReplayProvider

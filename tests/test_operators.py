@@ -84,6 +84,17 @@ def test_pairs_equal_all_comparisons(spark, incremental):
     assert len({frozenset((r.target, r.candidate)) for r in once}) == len(once)
 
 
+def test_pairs_plan_at_scale(spark):
+    """No nested loop; a hot signature's facts are cut to the first few before they are shuffled; facts without a name match nothing."""
+    rows = [(f"f{i}", f"d{i}", i, None if i == 3 else f"s {i}", "revenue", "1", 1.0, None, None, None) for i in range(20)]
+    f = facts(spark, rows)
+    out = pairs.candidate_pairs(f, f)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "WindowGroupLimit" in plan
+    got = out.collect()
+    assert got and not any("f3" in (r.target, r.candidate) for r in got)
+
+
 def test_existing_edges_are_left_out(spark):
     p = spark.createDataFrame([("a", "b", 0.5, 1), ("b", "a", 0.5, 2), ("a", "c", 0.4, 2)], "target string, candidate string, score double, rank int")
     have = spark.createDataFrame([("c", "a")], "fact_a_id string, fact_b_id string")

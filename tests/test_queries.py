@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from factweave.plans import fixtures, queries, views
 from factweave.streaming.ingest import StageTimer, Store, distinct_stream, ingest_batch, ingest_stream, job_state, new_documents, status_counts, unprocessed
 
-SAMPLE = ["candidate_pairs_top8", "tier1_pairs", "hydrated_facts", "overview_stats", "dataset_counts", "block_types", "density_top15", "normalize_number", "table_unpivot", "overlap_antijoin", "feature_hashes", "facts_csv"]
+SAMPLE = ["candidate_pairs_top8", "candidate_pairs_varied", "relationships_varied", "undecided_varied", "judged_pairs", "overview_json", "document_facts", "tier1_pairs", "hydrated_facts", "overview_stats", "dataset_counts", "block_types", "density_top15", "normalize_number", "table_unpivot", "overlap_antijoin", "feature_hashes", "facts_csv"]
 
 
 def _norm(v):
