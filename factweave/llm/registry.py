@@ -16,6 +16,9 @@ MODULES = {
     "op8_repetition": "op8_repetition",
     "op9_lm": "op9_lm",
     "op10_mixing": "op10_mixing",
+    "op11_negatives": "op11_negatives",
+    "op12_decontaminate": "op12_decontaminate",
+    "op13_whitening": "op13_whitening",
     "pipeline": "pipeline_query",
 }
 

@@ -32,13 +32,21 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame(rows, DOCS).coalesce(2).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 1), (None, 1, 0), (9, None, 0), (8, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, "u", "<p>Text, with, commas, and some length to it.</p>", "z"), (2, None, None, None), (None, "v", "", "q"), (2, None, None, None)], "page_id long, url string, html string, text string").write.parquet(f"{d}/pages.parquet")
+    v = [0.5, -0.25, 0.125]
+    vectors = [(100, v, 1, "a"), (1, v, 1, "b"), (1, v, 1, "b"), (2, [0.25, 0.0, 0.0], 2, "c"), (None, v, 1, "d"), (3, None, 1, "e"), (4, [None, 1.0, 1.0], 1, "f"), (5, [float("nan"), 1.0, 1.0], 2, "g"), (6, v, None, "h"), (8, [1.0], 1, "i")]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int, rank string").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(1, "Eins. " + PASSAGE, 0), (None, "12 34", 0), (2, None, 0), (3, "", 0)], "item_id long, text string, n_words int").write.parquet(f"{d}/benchmark.parquet")
     return d
 
 
+#: Rows of each query over the odd tables, 15 where not given.
+ROWS = {"op1_html": 4, "op11_negatives": 2, "op13_whitening": 18}
+
+
 @pytest.fixture(scope="module")
 def empty(spark, odd, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "embeddings", "benchmark"):
         spark.read.parquet(f"{odd}/{t}.parquet").where("false").write.parquet(f"{d}/{t}.parquet")
     return d
 
@@ -50,7 +58,7 @@ NAMES = [n for n in registry.queries() if n != "pipeline"]
 def test_odd_and_empty_tables(spark, odd, empty, name):
     f = registry.queries()[name]
     rows = f(spark, odd).collect()
-    assert len(rows) == (4 if name == "op1_html" else 15)
+    assert len(rows) == ROWS.get(name, 15)
     assert f(spark, empty).count() == 0
 
 
