@@ -118,10 +118,10 @@ class Automaton:
 
         A state is the longest suffix that is a context, so those of one more word follow from those of one less.
         """
-        own = state = np.where(ids >= 0, self.start[ids], 0) if len(self.start) else np.zeros(len(ids), np.int64)
+        state = np.where(ids >= 0, self.start[ids], 0) if len(self.start) else np.zeros(len(ids), np.int64)
         for _ in range(self.depth - 1):
             arc = self.arcs(np.concatenate([[0], state[:-1]]), ids)
-            state = np.where(arc >= 0, self.after[arc], own) if len(self.after) else own
+            state = np.where(arc >= 0, self.after[arc], state) if len(self.after) else state
         return np.concatenate([[0], state[:-1]])
 
     def traverse(self, ids: np.ndarray) -> np.ndarray:
