@@ -4,7 +4,8 @@ The score depends on subject, predicate and embedding text alone, so facts are f
 only signatures are joined. A score of 0.35 needs an equal subject, an equal predicate, a subject inside the other, or a
 predicate inside the other with a cosine of 0.75: each of these is an equi-join (containment goes by the leading
 characters of the shorter string, which are among the character n-grams of the longer one). Of a signature's facts only
-the first few in the tie order can reach any target's top k, so no more than these are joined back.
+the first few in the tie order can reach any target's top k, so no more than these are joined back. Signatures of one
+predicate meet each other while they are few; those of a crowded predicate go through :mod:`rank_join`.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions.embed import embedding_text, feature_hash, sparse_cosine
 from ..functions.text import bind, strip
+from ..session import dropped, spread, written
+from .rank_join import rank_join
 
 LEAD = 4  # leading characters by which containment is blocked
-SALTS = 16  # tasks that share the signatures of one predicate
+CROWDED = 512  # signatures of one predicate beyond which they are not compared with each other
 
 
 def pair_score(a_subject: Column, a_predicate: Column, b_subject: Column, b_predicate: Column, similarity: Column) -> Column:
@@ -29,23 +32,23 @@ def pair_score(a_subject: Column, a_predicate: Column, b_subject: Column, b_pred
     return subject + predicate + F.when(similarity > 0, similarity * s["cosine"]).otherwise(0.0)
 
 
-def signatures(facts: DataFrame) -> DataFrame:
-    """sig, s, p, emb, nz: the distinct (subject, predicate, scope) of facts, with the embedding of their text and its non-zero slots.
-
-    Facts without subject or predicate match nothing. The exchange after the embedding is the same for all joins of
-    :func:`signature_pairs`, so Spark computes embeddings once and reuses it.
-    """
+def brief(facts: DataFrame) -> DataFrame:
+    """sig, s, p, t (embedding text), fact_id, document_id, ingest_seq of the facts that can match: those with subject and predicate. Written, since all that follows reads it."""
     s, p = F.lower(strip(F.col("subject"))), F.lower(strip(F.col("predicate")))
     text = embedding_text(F.col("subject"), F.col("predicate"), F.col("scope"))
-    every = facts.select(sig_of(facts).alias("sig"), s.alias("s"), p.alias("p"), text.alias("t")).where("s is not null and p is not null").distinct()
-    embedded = bind(every.repartition(_partitions(facts), "sig"), emb=feature_hash(F.col("t"))).drop("t")
+    return written(facts.select(sig_of(facts).alias("sig"), s.alias("s"), p.alias("p"), text.alias("t"), "fact_id", "document_id", "ingest_seq").where("s is not null and p is not null"), "facts")
+
+
+def signatures(facts: DataFrame) -> DataFrame:
+    """sig, s, p, emb, nz: the distinct (subject, predicate, scope) of ``brief`` facts, with the embedding of their text and its non-zero slots. Written, so embeddings are computed once."""
+    embedded = bind(spread(facts.select("sig", "s", "p", "t").distinct()), emb=feature_hash(F.col("t"))).drop("t")
     slots = F.filter(F.transform("emb", lambda v, i: F.struct(i.alias("at"), v.alias("v"))), lambda x: x["v"] != 0)
-    return embedded.withColumn("nz", slots).repartition("sig")
+    return written(embedded.withColumn("nz", slots), "signatures")
 
 
-def _partitions(df: DataFrame) -> int:
-    """A fixed number of partitions, which small sizes do not reduce: pairs cost much more time than bytes."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def crowded_predicates(signed: DataFrame, most: int = CROWDED) -> DataFrame:
+    """p: the predicates with more than ``most`` signatures."""
+    return signed.groupBy("p").count().where(F.col("count") > most).select("p")
 
 
 def sig_of(facts: DataFrame) -> Column:
@@ -66,23 +69,23 @@ def contained(names: DataFrame, column: str = "name") -> DataFrame:
     return lead.join(outer, "gram").where((F.col("inner") != F.col("outer")) & F.col("outer").contains(F.col("inner"))).select("inner", "outer")
 
 
-def signature_pairs(targets: DataFrame, corpus: DataFrame) -> DataFrame:
-    """a, b, score for the signatures of ``targets`` and ``corpus`` that reach the least score."""
+def signature_pairs(targets: DataFrame, corpus: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
+    """a, b, score for the signatures of ``targets`` and ``corpus`` that reach the least score, but for unrelated subjects of a ``crowded`` predicate."""
     a = targets.select(*[F.col(c).alias(f"a_{c}") for c in ("sig", "s", "p", "nz")])
     b = corpus.select(*[F.col(c).alias(f"b_{c}") for c in ("sig", "s", "p", "emb")])
+    alone = F.lit(False)
+    if crowded is not None:
+        a = a.join(crowded.select(F.col("p").alias("a_p"), F.lit(True).alias("a_crowded")), "a_p", "left").withColumn("a_crowded", F.coalesce("a_crowded", F.lit(False)))
+        alone = F.col("a_crowded")
 
     def part(column: str) -> DataFrame:
         both = contained(targets.select(column).union(corpus.select(column)), column)
         links = both.select(F.col("inner").alias("x"), F.col("outer").alias("y")).union(both.select(F.col("outer").alias("x"), F.col("inner").alias("y")))
         return a.join(links, a[f"a_{column}"] == links.x).join(b, b[f"b_{column}"] == links.y).drop("x", "y")
 
-    # A predicate may hold a third of all signatures: its targets are dealt to SALTS tasks, each of which meets all its others.
-    n = _partitions(targets)
-    dealt = a.withColumn("salt", F.pmod(F.hash("a_sig"), F.lit(SALTS))).repartition(n, "a_p", "salt")
-    every = b.withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(n, "b_p", "b_salt")
-    same_predicate = dealt.join(every, (F.col("a_p") == F.col("b_p")) & (F.col("salt") == F.col("b_salt"))).where("a_s <> b_s").drop("salt", "b_salt")
+    same_predicate = a.where(~alone).join(b, F.col("a_p") == F.col("b_p")).where("a_s <> b_s")
     same_subject = a.join(b, a.a_s == b.b_s)
-    part_subject = part("s").where("a_p <> b_p")
+    part_subject = part("s").where((F.col("a_p") != F.col("b_p")) | alone)
     part_predicate = part("p").where("a_s <> b_s and not contains(a_s, b_s) and not contains(b_s, a_s)")
     # The four conditions exclude each other, so no pair comes twice.
     every = same_subject.unionByName(same_predicate).unionByName(part_subject).unionByName(part_predicate)
@@ -91,15 +94,19 @@ def signature_pairs(targets: DataFrame, corpus: DataFrame) -> DataFrame:
     return scored.select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b"), "score").where(F.col("score") >= V.LEAST_PAIR_SCORE)
 
 
-def candidate_pairs(targets: DataFrame, corpus: DataFrame, k: int = V.MOST_PAIRS, incremental: bool = True) -> DataFrame:
+def candidate_pairs(targets: DataFrame, corpus: DataFrame, k: int = V.MOST_PAIRS, incremental: bool = True, crowded: int = CROWDED, compared=None) -> DataFrame:
     """target, candidate, score, rank: the ``k`` best facts of other documents for each target.
 
     ``incremental``: only facts of documents ingested before the target's are candidates (column ingest_seq). Ties go to the
-    earlier ingested, then to the smaller id.
+    earlier ingested, then to the smaller id. ``crowded``: signatures of a predicate beyond which they are rank-joined;
+    ``compared`` gets the tables of pairs that this compares.
     """
-    t = targets.withColumn("sig", sig_of(targets))
-    c = corpus.withColumn("sig", sig_of(corpus))
-    pairs = signature_pairs(signatures(targets), signatures(corpus))
+    c = brief(corpus)
+    t = c if targets is corpus else brief(targets)
+    every = signatures(c)
+    own = every if targets is corpus else signatures(t)
+    most = crowded_predicates(every, crowded)
+    most = None if most.isEmpty() else written(most, "crowded")
     order = F.struct("ingest_seq", "fact_id")
     # Facts of a signature that can be among the k first for some target: k of each document, then 2 k of all, since at
     # most k of those lie in the target's own document.
@@ -109,7 +116,18 @@ def candidate_pairs(targets: DataFrame, corpus: DataFrame, k: int = V.MOST_PAIRS
     first = first.select(F.col("sig").alias("b"), F.col("fact_id").alias("candidate"), F.col("document_id").alias("c_doc"), F.col("ingest_seq").alias("c_seq"))
     apart = (F.col("c_doc") != F.col("document_id")) & ((F.col("c_seq") < F.col("ingest_seq")) if incremental else F.lit(True))
     ranked = Window.partitionBy("target").orderBy(F.col("score").desc(), "c_seq", "candidate")
-    joined = t.select(F.col("sig").alias("a"), F.col("fact_id").alias("target"), "document_id", "ingest_seq").join(pairs, "a").join(first, "b").where(apart)
+    of_sig = t.select(F.col("sig").alias("a"), F.col("fact_id").alias("target"), "document_id", "ingest_seq")
+    joined = of_sig.join(signature_pairs(own, every, most), "a").join(first, "b").where(apart).select("target", "candidate", "c_seq", "score")
+    if most is not None:
+        of_most = written(every.join(most, "p", "left_semi").select("sig", "p", "s", "nz"), "signatures")
+        items = first.join(of_most, first.b == of_most.sig).select("p", "s", "nz", F.col("candidate").alias("id"), F.col("c_seq").alias("seq"), F.col("c_doc").alias("doc"))
+        groups = of_sig.select("a", F.col("document_id").alias("t_doc"), F.col("ingest_seq").alias("t_seq")).distinct()
+        asking = groups.join(own.join(most, "p", "left_semi"), F.col("a") == F.col("sig")).select("a", "t_doc", "t_seq", "p", "s", "nz")
+        best = rank_join(asking, items.where("seq is not null") if incremental else items, of_most, k, incremental, pair_score, compared)
+        dropped(of_most)
+        back = best.select(F.col("a").alias("g"), "t_doc", "t_seq", F.col("id").alias("candidate"), F.col("seq").alias("c_seq"), "score")
+        found = of_sig.join(back, (F.col("a") == F.col("g")) & F.col("document_id").eqNullSafe(F.col("t_doc")) & F.col("ingest_seq").eqNullSafe(F.col("t_seq")))
+        joined = joined.unionByName(found.select("target", "candidate", "c_seq", "score")).dropDuplicates(["target", "candidate"])
     return joined.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("target", "candidate", "score", "rank")
 
 

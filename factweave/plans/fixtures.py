@@ -76,6 +76,25 @@ varied AS (
     FROM customer JOIN nation ON c_nationkey = n_nationkey))"""
 
 
+def crowded_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fact for each customer, twenty a document, all of one predicate: subjects that share words, hold each other or repeat."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    k, nation = F.col("c_custkey"), F.col("n_name")
+    numbered = F.concat_ws(" ", "c_mktsegment", nation, F.floor(k / 45).cast("string"))
+    return c.join(n, c.c_nationkey == n.n_nationkey).select(
+        F.concat(F.lit("f"), k.cast("string")).alias("fact_id"), F.concat(F.lit("d"), F.floor(k / 20).cast("string")).alias("document_id"), F.floor(k / 20).cast("int").alias("ingest_seq"),
+        _dealt(k, F.col("c_name"), F.concat_ws(" ", nation, "c_name"), numbered).alias("subject"), F.lit("revenue").alias("predicate"), _dealt(F.floor(k / 7), "global", "US subsidiary", None).alias("scope"),
+    )
+
+
+CROWDED_SQL = """
+crowded AS (
+  SELECT *, lower(trim(subject)) AS s FROM (
+    SELECT 'f' || c_custkey AS fact_id, c_custkey // 20 AS ingest_seq, 'revenue' AS predicate, ['global', 'US subsidiary', NULL][c_custkey // 7 % 3 + 1] AS scope,
+      CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN n_name || ' ' || c_name ELSE c_mktsegment || ' ' || n_name || ' ' || (c_custkey // 45) END AS subject
+    FROM customer JOIN nation ON c_nationkey = n_nationkey))"""
+
+
 def claim_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the claims: id, filename, status, page_count, created_at."""
     o = table(spark, sf_dir, "orders")

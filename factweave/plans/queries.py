@@ -158,6 +158,20 @@ def undecided_varied(spark, d):
     return R.tier1(R.with_sides(P.candidate_pairs(c, c), c)).where("r is null").select("a_id", "b_id")
 
 
+@query(f"""WITH {X0.CROWDED_SQL},
+source_rows AS (SELECT DISTINCT subject, predicate, scope FROM crowded),
+emb AS ({_hash_sql("subject || ' ' || predicate || ' ' || coalesce(scope, '')")}),
+facts AS (SELECT crowded.*, emb, list_filter(range(1, 129), lambda i: emb[i] <> 0) AS nz FROM crowded JOIN emb ON emb.subject = crowded.subject AND emb.scope IS NOT DISTINCT FROM crowded.scope),
+scored AS (SELECT a.fact_id AS target, b.fact_id AS candidate, b.ingest_seq AS c_seq, list_reduce(list_prepend(0.0::DOUBLE, list_transform(a.nz, lambda i: a.emb[i] * b.emb[i])), lambda t, y: t + y) AS cos,
+    CASE WHEN a.s = b.s THEN 0.45::DOUBLE WHEN contains(b.s, a.s) OR contains(a.s, b.s) THEN 0.30::DOUBLE ELSE 0.0 END + 0.35::DOUBLE + CASE WHEN cos > 0 THEN least(1.0, cos) * 0.2::DOUBLE ELSE 0.0 END AS score
+  FROM facts a JOIN facts b ON b.ingest_seq < a.ingest_seq)
+SELECT target, candidate, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, c_seq, candidate) AS rank FROM scored) WHERE rank <= 8""")
+def candidate_pairs_crowded(spark, d):
+    """Pairs of one predicate that all facts share: the rank join, whose crowd starts here at 64 signatures."""
+    c = X0.crowded_claims(spark, d)
+    return P.candidate_pairs(c, c, crowded=64).select("target", "candidate", F.round("score", 4).alias("score"), "rank")
+
+
 @query(f"WITH {X0.CLAIMS_SQL} SELECT fact_id, document_id, normalized_value FROM claims WHERE document_id NOT LIKE '1%' UNION ALL SELECT fact_id, document_id, normalized_value * 2 FROM claims WHERE document_id LIKE '1%'")
 def replace_on_rerun(spark, d):
     c = X0.claims(spark, d).select("fact_id", "document_id", "normalized_value")

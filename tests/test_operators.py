@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factweave.operators import blocks, extract, ground, pairs, resolve
+from factweave.operators import blocks, extract, ground, pairs, rank_join, resolve
 from factweave.sources.providers import Fallback, NullProvider, ReplayProvider, answers
 from factweave.sources.readers import files, html_blocks, table_text
 
@@ -95,6 +95,25 @@ def test_pairs_plan_at_scale(spark):
     assert got and not any("f3" in (r.target, r.candidate) for r in got)
 
 
+@pytest.mark.parametrize(("incremental", "head", "probe"), [(True, 16, 32), (True, 1, 1), (False, 2, 3)])
+def test_rank_join_equals_all_comparisons(spark, monkeypatch, incremental, head, probe):
+    """A crowded predicate, with ties, repeated and contained subjects; short heads and probes make all three phases work."""
+    monkeypatch.setattr(rank_join, "HEAD", head)
+    monkeypatch.setattr(rank_join, "PROBE", probe)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("bcdfgklm") + rng.choice("aeiou") for _ in range(2)) for _ in range(120)]
+    rows = []
+    for i in range(400):
+        subject = " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 2, 3]))) + rng.choice(["", "", " bank"])
+        rows.append((f"f{i:03d}", f"d{i // 10}", None if i == 7 else i // 10, subject, rng.choice(["revenue", "revenue", "repo_rate", "net revenue"]), "1", 1.0, None, None, rng.choice([None, "global", "us part"])))
+    f = facts(spark, rows).repartition(3).cache()
+    compared = []
+    got = pairs.candidate_pairs(f, f, incremental=incremental, crowded=40, compared=lambda x: compared.append(x.cache().count())).collect()
+    want = pairs.candidate_pairs(f, f, incremental=incremental, crowded=10**6).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 2500
+    assert len(compared) == 3 + 1 and (head > 2 or compared[2] + compared[3] > 0) and (head < 16 or sum(compared) < 200 * 400 / 2)
+
+
 def test_existing_edges_are_left_out(spark):
     p = spark.createDataFrame([("a", "b", 0.5, 1), ("b", "a", 0.5, 2), ("a", "c", 0.4, 2)], "target string, candidate string, score double, rank int")
     have = spark.createDataFrame([("c", "a")], "fact_a_id string, fact_b_id string")
