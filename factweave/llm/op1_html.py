@@ -48,6 +48,11 @@ OUT_WORDS = frozenset(
     "advertising adslot adsense sponsor sponsored sponsors promo promotion promoted comment comments commentlist disqus respond reply replies discussion "
     "breadcrumb breadcrumbs pagination pager toolbar copyright disclaimer outbrain taboola".split()
 )
+#: First words of class names that tell what a page has or lacks, not what the element is.
+HAS_WORDS = frozenset("no not non with without has have hide show is".split())
+#: Words of a heading's wrapper, whose headings stay within an article.
+HEADER_WORDS = frozenset("header masthead topbar".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
 GOOD_WORDS = frozenset("article content main post entry body story text page hentry blog prose".split())
 
 LEAST_CHARS = 25
@@ -164,32 +169,40 @@ class Page:
         flush()
 
 
-def _words(text: str) -> set[str]:
-    return {w.lower() for w in _CAMEL.findall(text)}
+def _names(value: str) -> list[set[str]]:
+    """The words of each class name, without names of what the page has or lacks (with-sidebar, no-ads)."""
+    words = [[w.lower() for w in _CAMEL.findall(name)] for name in value.split()]
+    return [set(w) for w in words if w and not (len(w) > 1 and w[0] in HAS_WORDS)]
 
 
-def _unwanted(page: Page) -> list[int]:
-    """For each node 2 if it is no part of an article, 1 if it is by its class alone, else 0."""
-    out = []
+def _unwanted(page: Page) -> tuple[list[int], list[bool]]:
+    """For each node 2 if it is no part of an article, 1 if its class alone says so (-1: a class of comments), else 0; and whether it is a header of an article, of which headings stay."""
+    out, header = [], [False] * len(page.tags)
     inside = [False] * len(page.tags)  # within an article or main element
     for i, (tag, parent, attributes) in enumerate(zip(page.tags, page.parents, page.attributes, strict=True)):
         inside[i] = tag in ("article", "main") or (parent >= 0 and inside[parent])
+        header[i] = tag == "header"
         sort = 2 if tag in OUT_TAGS or (tag == "header" and not inside[i]) else 0
         if attributes and not sort:
-            words: set[str] = set()
+            names: list[set[str]] = []
             for name, a, b, c in _ATTRIBUTE.findall(attributes):
                 value = a or b or c
                 name = name.lower()
                 if name in ("class", "id"):
-                    words |= _words(value)
+                    names += _names(value)
                 elif name == "role":
                     sort = max(sort, 2 * (value.strip().lower() in OUT_ROLES))
                 elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                     sort = 2
-            if not sort and words & OUT_WORDS and tag not in ("html", "body", "main") and not (tag == "article" and words & GOOD_WORDS and not words & {"comment", "comments", "reply"}):
-                sort = 1
+            words = set().union(*names)
+            bad = words & OUT_WORDS
+            if not sort and bad and tag not in ("html", "body", "main") and not (tag == "article" and words & GOOD_WORDS and not words & COMMENT_WORDS):
+                if inside[i] and tag != "article" and bad <= HEADER_WORDS:
+                    header[i] = True
+                elif not (tag in LEAF and not any(n <= OUT_WORDS for n in names)) and not (tag == "section" and inside[i] and bad == {"discussion"}):
+                    sort = -1 if bad & COMMENT_WORDS else 1  # a paragraph's class has to say nothing else; an article's section may be its discussion
         out.append(sort)
-    return out
+    return out, header
 
 
 def main_text(html: str | None) -> str:
@@ -199,14 +212,15 @@ def main_text(html: str | None) -> str:
     page = Page(html)
     tags, parents, paragraphs = page.tags, page.parents, page.paragraphs
     size = len(tags)
-    out = _unwanted(page)
+    out, header = _unwanted(page)
 
     def carried(start: list) -> list:
         for i in range(1, size):
             start[i] = start[i] or start[parents[i]]
         return start
 
-    # A container that is unwanted by its class alone but holds an article, or on a page without one most of the prose, is the page's wrapper.
+    # A container that is unwanted by its class alone but holds an article, or most of the prose of what is around it (the nearest article or main, else the page), is a wrapper.
+    # Comments may well be longer than what they are on, so these have to be nearly all of it.
     prose = [0] * size
     surely = carried([x == 2 for x in out])
     for owner, text, links in paragraphs:
@@ -217,8 +231,12 @@ def main_text(html: str | None) -> str:
     holds = [False] * size
     for i in range(size - 1, 0, -1):
         holds[parents[i]] = holds[parents[i]] or holds[i] or (tags[i] in ("article", "main") and out[i] == 0)
-    unwanted = carried([x == 2 or (x == 1 and not (holds[i] or (not holds[0] and 10 * prose[i] > 7 * max(prose[0], 1)))) for i, x in enumerate(out)])
-    header = carried([t == "header" for t in tags])
+    around = [0] * size
+    for i in range(1, size):
+        around[i] = parents[i] if tags[parents[i]] in ("article", "main") else around[parents[i]]
+    wraps = [holds[i] or ((around[i] > 0 or not holds[0]) and 20 * prose[i] > (19 if out[i] < 0 else 14) * max(prose[around[i]], 1)) for i in range(size)]
+    unwanted = carried([x == 2 or (x != 0 and not wraps[i]) for i, x in enumerate(out)])
+    header = carried(header)
     live = [(o, t, l) for o, t, l in paragraphs if not unwanted[o] and (not header[o] or tags[o] in HEADINGS)]
     if not live:
         return ""
@@ -239,11 +257,16 @@ def main_text(html: str | None) -> str:
     density = [linked[i] / chars[i] if chars[i] else 0.0 for i in range(size)]
     scores = [0.0 if unwanted[i] else points[i] * (1 - density[i]) * (1.25 if tags[i] in ("article", "main") else 1.0) for i in range(size)]
     named = [i for i in range(size) if tags[i] in ("article", "main") and not unwanted[i] and chars[i]]
-    if named:  # where a page names its article, containers outside it aren't candidates
+    if named:  # where a page names its article, containers outside it aren't candidates, unless the named are teasers beside most of the prose
         within = [False] * size
         for i in named:
             within[i] = True
-        scores = [x if y else 0.0 for x, y in zip(scores, carried(within), strict=True)]
+        within = carried(within)
+        own = sum(len(t) - l for o, t, l in live if within[o] and len(t) >= LEAST_CHARS)
+        if 4 * own >= sum(len(t) - l for o, t, l in live if len(t) >= LEAST_CHARS):
+            scores = [x if y else 0.0 for x, y in zip(scores, within, strict=True)]
+        else:
+            named = []
     best = max(range(size), key=lambda i: (scores[i], -i))
     chosen = [False] * size
     if scores[best] <= 0:

@@ -56,6 +56,24 @@ def test_nothing_else_goes(inside, text):
     assert "\n".join(got[1:-1]) == (text or "") and got[0] == got[-1]
 
 
+PROSE = "".join(f"<p>A long plain paragraph number {i}, with some words in it and a full stop at its end.</p>" for i in range(5))
+
+
+@pytest.mark.parametrize(
+    ("page", "first", "n"),
+    [
+        (f'<main><div class="layout with-sidebar">{PROSE}</div></main>', "A long", 5), (f'<article><h1>Title</h1><div class="entry no-ads">{PROSE}</div></article>', "Title", 6), (f'<article><h1>T</h1>{PROSE}<section class="discussion">{PROSE}</section></article>', "T", 11),
+        (f'<article><div class="post-header"><h1>Title</h1><span>12 May</span></div>{PROSE}</article>', "Title", 6), (f'<article>{PROSE}<p class="promotion-history">The history of the promotion of this thing is long, and it is told here in full.</p></article>', "A long", 6),
+        (f'<div class="left">{PROSE}</div><article class="teaser"><p>A teaser text of some length stands here, with a comma.</p></article>', "A long", 5), (f'<main><div class="sidebar-layout">{PROSE}</div></main>', "A long", 5),
+        (f'<article>{PROSE}<div class="comments">{PROSE * 4}</div></article>', "A long", 5), (f'<article>{PROSE}<div class="sidebar">{PROSE}</div><p class="ad">Buy this, buy that, and buy it all, right now.</p></article>', "A long", 5),
+    ],
+)
+def test_class_words_are_hints(page, first, n):
+    """A word of a class drops neither most of an article nor a paragraph whose class says more; comments, sidebars and adverts still go."""
+    got = op1_html.main_text(f"<body><nav><a href=x>Home</a></nav>{page}</body>").split("\n")
+    assert got[0].startswith(first) and len(got) == n
+
+
 def test_time_is_linear_in_the_page():
     began = time.time()
     n = 100_000
