@@ -104,8 +104,8 @@ def adjusted_confidence(status: Column, base: Column) -> Column:
 def normalise_answers(answers: DataFrame) -> DataFrame:
     """A provider's claims with normalised values. Claims without subject, predicate or value are dropped.
 
-    ``answers``: document_id, page_number, block_id, bbox, chunk_text, subject, predicate, raw_value, value_type, unit, currency, time (struct),
-    scope, location, confidence, quote.
+    ``answers``: document_id, page_number, block_id, bbox, chunk_text, subject, predicate, raw_value, value_type, unit, currency, time (what the provider
+    wrote: an object's JSON, or words, which are normalised), scope, location, confidence, quote.
     """
     whole = answers.where("coalesce(subject, '') <> '' and coalesce(predicate, '') <> '' and coalesce(raw_value, '') <> ''")
     number = N.number(F.col("raw_value"))
@@ -113,10 +113,31 @@ def normalise_answers(answers: DataFrame) -> DataFrame:
     return whole.withColumn("_n", number).select(
         "document_id", "page_number", "block_id", "bbox", N.entity(F.col("subject")).alias("subject"), N.predicate(F.col("predicate")).alias("predicate"), "raw_value", F.col("_n.value").alias("normalized_value"),
         F.coalesce("value_type", F.lit("text")).alias("value_type"), unit.alias("unit"), F.coalesce(F.col("_n.currency"), F.col("currency"), F.when(unit.isin("USD", "EUR", "GBP", "INR"), unit)).alias("currency"),
-        F.col("time").alias("time_data"), F.coalesce("scope", F.lit("global")).alias("scope"), "location", F.col("confidence"), F.coalesce(F.col("quote"), F.substring("chunk_text", 1, 120)).alias("evidence_text"),
+        _period(F.col("time")).alias("time_data"), F.coalesce("scope", F.lit("global")).alias("scope"), "location", F.col("confidence"), F.coalesce(F.col("quote"), F.substring("chunk_text", 1, 120)).alias("evidence_text"), strip(F.coalesce("quote", F.lit(""))).alias("quote"),
     )
 
 
+def _period(time: Column) -> Column:
+    """An object's own fields, else the period that the words name."""
+    own = F.from_json(time, "struct<label:string,start:string,end:string,precision:string>")
+    return F.when(strip(time).startswith("{"), own).otherwise(N.temporal(time))
+
+
+def grounded_answers(claims: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Normalised claims with their quotes checked: validation_status, validation_score, is_flagged, the box of what holds the quote, and a confidence that follows.
+
+    ``blocks`` and ``pages`` as for ``ground.ground``. Equal quotes of a block are checked once; claims without a quote are unsupported.
+    """
+    from .ground import flagged, ground
+
+    own = ["document_id", "page_number", "block_id", "quote"]
+    keyed = claims.withColumn("quote_id", F.sha2(F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in own])), 256))
+    checked = ground(keyed.select("quote_id", *own).dropDuplicates(["quote_id"]), blocks, pages).select("quote_id", F.col("status").alias("validation_status"), F.col("score").alias("validation_score"), F.col("bbox").alias("_box"))
+    status = F.col("validation_status")
+    found = keyed.join(checked, "quote_id").drop("quote_id")
+    return found.withColumns({"confidence": adjusted_confidence(status, F.col("confidence")), "is_flagged": flagged(status), "bbox": F.coalesce("_box", "bbox")}).drop("_box")
+
+
 def merge_claims(fast: DataFrame, answered: DataFrame) -> DataFrame:
     """Both sources without repeats of subject, predicate, value (raw if there is no number), period and page; the fast path wins."""
     both = fast.withColumn("_p", F.lit(0)).unionByName(answered.withColumn("_p", F.lit(1)), allowMissingColumns=True)

@@ -10,6 +10,8 @@ predicate meet each other while they are few; those of a crowded predicate go th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,22 +57,33 @@ def sig_of(facts: DataFrame) -> Column:
     return F.sha2(F.to_json(F.array("subject", "predicate", F.coalesce(F.col("scope"), F.lit("")))), 256)
 
 
-def contained(names: DataFrame, column: str = "name") -> DataFrame:
-    """inner, outer: every two different strings of which one lies in the other."""
-    names = names.select(F.col(column).alias("name")).distinct()
-    lead = names.select(F.col("name").alias("inner"), F.substring("name", 1, LEAD).alias("gram"))
+def with_grams(names: DataFrame) -> DataFrame:
+    """name, gram: the empty string and the runs of up to LEAD characters of each name; the leading LEAD characters of whatever lies in it are among them."""
     n = F.char_length("name")
 
     def grams(k: int) -> Column:
         return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(F.col("name"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
-    every = F.array_distinct(F.concat(F.array(F.lit("")), *[grams(k) for k in range(1, LEAD + 1)]))
-    outer = names.select(F.col("name").alias("outer"), F.explode(every).alias("gram"))
-    return lead.join(outer, "gram").where((F.col("inner") != F.col("outer")) & F.col("outer").contains(F.col("inner"))).select("inner", "outer")
+    return names.select("name", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[grams(k) for k in range(1, LEAD + 1)]))).alias("gram"))
+
+
+def inside(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """inner, outer: every two different strings of which one (``inner``: name) lies in the other (``outer``: name, gram)."""
+    lead = inner.select(F.col("name").alias("inner"), F.substring("name", 1, LEAD).alias("gram"))
+    return lead.join(outer.withColumnRenamed("name", "outer"), "gram").where((F.col("inner") != F.col("outer")) & F.col("outer").contains(F.col("inner"))).select("inner", "outer")
+
+
+def contained(names: DataFrame, column: str = "name") -> DataFrame:
+    """inner, outer: every two different strings of which one lies in the other."""
+    names = names.select(F.col(column).alias("name")).distinct()
+    return inside(names, with_grams(names))
+
 
+def signature_pairs(targets: DataFrame, corpus: DataFrame, crowded: DataFrame | None = None, links: Callable[[str], DataFrame] | None = None, hint: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """a, b, score for the signatures of ``targets`` and ``corpus`` that reach the least score, but for unrelated subjects of a ``crowded`` predicate.
 
-def signature_pairs(targets: DataFrame, corpus: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
-    """a, b, score for the signatures of ``targets`` and ``corpus`` that reach the least score, but for unrelated subjects of a ``crowded`` predicate."""
+    ``links``: x, y for a column (s or p), a target's name and a name of the corpus that holds it or lies in it. ``hint`` is put on the targets' side of each join.
+    """
     a = targets.select(*[F.col(c).alias(f"a_{c}") for c in ("sig", "s", "p", "nz")])
     b = corpus.select(*[F.col(c).alias(f"b_{c}") for c in ("sig", "s", "p", "emb")])
     alone = F.lit(False)
@@ -78,13 +91,16 @@ def signature_pairs(targets: DataFrame, corpus: DataFrame, crowded: DataFrame |
         a = a.join(crowded.select(F.col("p").alias("a_p"), F.lit(True).alias("a_crowded")), "a_p", "left").withColumn("a_crowded", F.coalesce("a_crowded", F.lit(False)))
         alone = F.col("a_crowded")
 
-    def part(column: str) -> DataFrame:
+    def both_ways(column: str) -> DataFrame:
         both = contained(targets.select(column).union(corpus.select(column)), column)
-        links = both.select(F.col("inner").alias("x"), F.col("outer").alias("y")).union(both.select(F.col("outer").alias("x"), F.col("inner").alias("y")))
-        return a.join(links, a[f"a_{column}"] == links.x).join(b, b[f"b_{column}"] == links.y).drop("x", "y")
+        return both.select(F.col("inner").alias("x"), F.col("outer").alias("y")).union(both.select(F.col("outer").alias("x"), F.col("inner").alias("y")))
+
+    def part(column: str) -> DataFrame:
+        own = (links or both_ways)(column)
+        return hint(a.join(own, a[f"a_{column}"] == own.x)).join(b, F.col("y") == b[f"b_{column}"]).drop("x", "y")
 
-    same_predicate = a.where(~alone).join(b, F.col("a_p") == F.col("b_p")).where("a_s <> b_s")
-    same_subject = a.join(b, a.a_s == b.b_s)
+    same_predicate = hint(a.where(~alone)).join(b, F.col("a_p") == F.col("b_p")).where("a_s <> b_s")
+    same_subject = hint(a).join(b, F.col("a_s") == F.col("b_s"))
     part_subject = part("s").where((F.col("a_p") != F.col("b_p")) | alone)
     part_predicate = part("p").where("a_s <> b_s and not contains(a_s, b_s) and not contains(b_s, a_s)")
     # The four conditions exclude each other, so no pair comes twice.
@@ -107,17 +123,24 @@ def candidate_pairs(targets: DataFrame, corpus: DataFrame, k: int = V.MOST_PAIRS
     own = every if targets is corpus else signatures(t)
     most = crowded_predicates(every, crowded)
     most = None if most.isEmpty() else written(most, "crowded")
+    return ranked_pairs(t, own, every, first_facts(c, k), signature_pairs(own, every, most), most, k, incremental, compared)
+
+
+def first_facts(facts: DataFrame, k: int = V.MOST_PAIRS) -> DataFrame:
+    """The facts of a signature that can be among the ``k`` first for some target: k of each document, then 2 k of all, since at most k of those lie in the target's own document."""
     order = F.struct("ingest_seq", "fact_id")
-    # Facts of a signature that can be among the k first for some target: k of each document, then 2 k of all, since at
-    # most k of those lie in the target's own document.
     per_doc = Window.partitionBy("sig", "document_id").orderBy(order)
-    first = c.withColumn("_r", F.row_number().over(per_doc)).where(F.col("_r") <= k)
-    first = first.withColumn("_r", F.row_number().over(Window.partitionBy("sig").orderBy(order))).where(F.col("_r") <= 2 * k)
+    first = facts.withColumn("_r", F.row_number().over(per_doc)).where(F.col("_r") <= k)
+    return first.withColumn("_r", F.row_number().over(Window.partitionBy("sig").orderBy(order))).where(F.col("_r") <= 2 * k).drop("_r")
+
+
+def ranked_pairs(t: DataFrame, own: DataFrame, every: DataFrame, first: DataFrame, pairs: DataFrame, most: DataFrame | None, k: int, incremental: bool, compared=None) -> DataFrame:
+    """target, candidate, score, rank of the facts ``t``, from the ``pairs`` of their signatures ``own`` with ``every`` signature, whose facts are ``first``; predicates in ``most`` are rank-joined."""
     first = first.select(F.col("sig").alias("b"), F.col("fact_id").alias("candidate"), F.col("document_id").alias("c_doc"), F.col("ingest_seq").alias("c_seq"))
     apart = (F.col("c_doc") != F.col("document_id")) & ((F.col("c_seq") < F.col("ingest_seq")) if incremental else F.lit(True))
     ranked = Window.partitionBy("target").orderBy(F.col("score").desc(), "c_seq", "candidate")
     of_sig = t.select(F.col("sig").alias("a"), F.col("fact_id").alias("target"), "document_id", "ingest_seq")
-    joined = of_sig.join(signature_pairs(own, every, most), "a").join(first, "b").where(apart).select("target", "candidate", "c_seq", "score")
+    joined = of_sig.join(pairs, "a").join(first, "b").where(apart).select("target", "candidate", "c_seq", "score")
     if most is not None:
         of_most = written(every.join(most, "p", "left_semi").select("sig", "p", "s", "nz"), "signatures")
         items = first.join(of_most, first.b == of_most.sig).select("p", "s", "nz", F.col("candidate").alias("id"), F.col("c_seq").alias("seq"), F.col("c_doc").alias("doc"))

@@ -94,7 +94,12 @@ def resolve(facts: DataFrame, targets: DataFrame | None = None, existing: DataFr
 
     pool = facts.where("not coalesce(is_flagged, false)") if strict and "is_flagged" in facts.columns else facts
     own = pool if targets is None else targets
-    every = tier1(with_sides(dedup_pairs(candidate_pairs(own, pool, incremental=incremental), existing), pool))
+    return resolve_pairs(dedup_pairs(candidate_pairs(own, pool, incremental=incremental), existing), pool, judge)
+
+
+def resolve_pairs(pairs: DataFrame, facts: DataFrame, judge=None) -> DataFrame:
+    """Relationships of ``pairs`` (target, candidate) of ``facts``."""
+    every = tier1(with_sides(pairs, facts))
     out = stored(every)
     return out if judge is None else out.unionByName(stored(tier3(every.where("r is null").drop("r"), judge)))
 

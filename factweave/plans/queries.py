@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -443,7 +444,13 @@ def density_top15(spark, d):
     return B.top_candidates(X0.claim_text(spark, d)).select("document_id", "block_index", "score", "rank")
 
 
-@query()
+_SIGNALS_SQL = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{name}' END" for name, p, _, _ in V.DENSITY_SIGNALS) + ")"
+_CHUNKS_SQL = f"""headed AS (SELECT *, last_value(CASE WHEN block_type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY document_id, page_number ORDER BY block_index ROWS UNBOUNDED PRECEDING) AS heading_context FROM sentences),
+{_DENSITY_SQL.replace("FROM sentences", "FROM headed")},
+chunks AS (SELECT *, 'chunk_' || block_index AS chunk_id, (rank - 1) // 5 AS batch FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, page_number, block_index) AS rank FROM points WHERE score >= 6.0) WHERE rank <= 15)"""
+
+
+@query(f"WITH {X0.TEXT_SQL.strip()}, {_CHUNKS_SQL} SELECT chunk_id, heading_context, text, {_SIGNALS_SQL} AS signals FROM chunks")
 def candidate_chunks(spark, d):
     return B.candidate_chunks(X0.claim_text(spark, d)).select("chunk_id", "heading_context", "text", F.array_join("signals", ",").alias("signals"))
 
@@ -595,16 +602,46 @@ def html_blocks(spark, d):
     return read(spread(X0.table(spark, d, "pages")), "page_id", "html").select("document_id", "block_index", "block_type", "text")
 
 
-@query()
+def _recorded(quote: str) -> str:
+    return f'```json\n{{"facts": [{{"subject": "Acme Corp.", "predicate": "total revenue", "raw_value": "$1.2 billion", "scope": null, "time": "FY 2024", "evidence": {{"quote": "{quote}"}}, "confidence": 0.95}}]}}\n```'
+
+
+def _chunk_batches(spark, d):
+    return X.batches(B.candidate_chunks(X0.claim_text(spark, d)))
+
+
+def _cache(spark):
+    from ..session import shared_folder
+    from ..sources.answer_cache import AnswerCache
+
+    return AnswerCache(spark, f"{shared_folder(spark)}/factweave/cache-{uuid.uuid4().hex}")
+
+
+@query(f"""WITH {X0.TEXT_SQL.strip()}, {_CHUNKS_SQL}, keyed AS (SELECT *, sha256(text || '|' || coalesce(heading_context, '') || '|') AS key, bool_or(contains(text || '|' || coalesce(heading_context, ''), '7 million')) OVER (PARTITION BY document_id, batch) AS answered FROM chunks)
+SELECT key, CASE WHEN answered THEN 'batch' ELSE 'chunk' END AS asked_as, answered, run FROM keyed JOIN (VALUES ('first'), ('second')) r(run) ON CASE WHEN run = 'first' THEN document_id < '3' ELSE document_id >= '3' OR NOT answered END""")
+def answer_cache_asks(spark, d):
+    """What two runs ask of a provider that answers prompts with one text only: half of the documents first, then all, of which the answered are not asked again and failed prompts come chunk by chunk."""
+    from ..sources.providers import ReplayProvider
+
+    chunks, cache = _chunk_batches(spark, d), _cache(spark)
+    for run, part in (("first", chunks.where("document_id < '3'")), ("second", chunks)):
+        cache.ask(part, ReplayProvider({"7 million": _recorded("reported revenue")}), run)
+    return cache.asked().select("key", "asked_as", "answered", "run")
+
+
+@query(f"""WITH {X0.TEXT_SQL.strip()}, {_CHUNKS_SQL} SELECT document_id, block_index::VARCHAR AS block_id, 'Acme Corporation' AS subject, 'revenue' AS predicate, 1.2e9::DOUBLE AS normalized_value, 'USD' AS unit, 'FY2024' AS time_label, 'global' AS scope,
+  'grounded' AS validation_status, 0.95::DOUBLE AS confidence, false AS is_flagged FROM chunks QUALIFY row_number() OVER (PARTITION BY document_id, batch ORDER BY rank) = 1""")
 def provider_claims(spark, d):
-    """Claims from recorded answers of a model, normalised."""
-    from ..sources.providers import ReplayProvider, extract_claims
-
-    answer = '```json\n{"facts": [{"subject": "Acme Corp.", "predicate": "total revenue", "raw_value": "$1.2 billion", "scope": null, "time": {"label": "FY2024", "precision": "fiscal_year"}, "evidence": {"quote": "reported revenue"}, "confidence": 0.95}]}\n```'
-    chunks = X.batches(B.candidate_chunks(X0.claim_text(spark, d)))
-    got = extract_claims(chunks, ReplayProvider({"revenue": answer}))
-    routed = X.route_answers(got, chunks.select("document_id", "batch", "rank", "chunk_id", "text")).withColumns({"page_number": F.lit(1), "block_id": F.col("chunk_id"), "bbox": F.array().cast("array<double>")})
-    return X.normalise_answers(routed).select("document_id", "block_id", "subject", "predicate", "normalized_value", "unit", "scope")
+    """Claims from recorded answers of a model, through the cache: routed to the chunk that holds the quote, normalised, and checked against their page."""
+    from ..sources.providers import ReplayProvider
+
+    text, chunks, cache = X0.claim_text(spark, d), _chunk_batches(spark, d), _cache(spark)
+    cache.ask(chunks, ReplayProvider({"revenue": _recorded("Reported Revenue of")}), "only")
+    claims = X.normalise_answers(cache.claims(chunks))
+    held = text.join(claims.select("document_id", "page_number").distinct(), ["document_id", "page_number"], "left_semi")
+    pages = held.groupBy("document_id", "page_number").agg(F.first("text").alias("raw_text"), F.lit(612.0).alias("width"))
+    done = X.grounded_answers(claims, held, pages)
+    return done.select("document_id", "block_id", "subject", "predicate", "normalized_value", "unit", F.col("time_data.label").alias("time_label"), "scope", "validation_status", "confidence", "is_flagged")
 
 
 @query(f"WITH {PAIRS_SQL} SELECT target AS fact_a_id, candidate AS fact_b_id, 'CONTEXTUAL_DIFFERENCE' AS relationship_type, 0.7::DOUBLE AS confidence FROM pairs JOIN claims a ON a.fact_id = target JOIN claims b ON b.fact_id = candidate WHERE a.subject <> b.subject AND 'BUILDING' IN (a.subject, b.subject)")

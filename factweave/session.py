@@ -24,6 +24,11 @@ def session(name: str = "factweave", master: str | None = None, **conf: str) ->
     return b.getOrCreate()
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Bytes of ``df`` by Spark's estimate; of a table that was just read, those of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 #: Up to so many bytes, by Spark's estimate, a table is dealt out to all cores.
 SPREAD_BYTES = 1 << 30
 
@@ -33,8 +38,7 @@ def spread(df: DataFrame, limit: int = SPREAD_BYTES) -> DataFrame:
 
     Larger tables are left as they are: their scan has splits enough, and nothing is shuffled.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= limit else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if estimated_bytes(df) <= limit else df
 
 
 def shared_folder(spark: SparkSession) -> str:

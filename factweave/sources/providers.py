@@ -7,17 +7,19 @@ import re
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.extract import clean_json
 
 TYPES = ("CORROBORATES", "CONTRADICTS", "CONTEXTUAL_DIFFERENCE", "UNCERTAIN")
 CLAIM = (
-    "chunk_id string, subject string, predicate string, raw_value string, value_type string, unit string, currency string, time struct<label:string,start:string,end:string,precision:string>, "
+    "chunk_id string, subject string, predicate string, raw_value string, value_type string, unit string, currency string, time string, "
     "scope string, location string, evidence struct<quote:string>, confidence double"
 )
 ANSWER = f"struct<facts:array<struct<{', '.join(re.sub(r'^(\w+) ', r'\1:', x) for x in re.split(r', (?=\w+ )', CLAIM))}>>>"
+ASK = 'Return {"facts": [...]} with every stated fact.\n\n'
+MOST_ERROR = 200  # characters of an error that are kept
 VERDICT = "struct<relationship_type:string,confidence:double,explanation:string,supporting_dimensions:array<string>>"
 
 
@@ -64,29 +66,45 @@ class Fallback:
 
 
 def answers(prompts: DataFrame, provider, prompt: str = "prompt") -> DataFrame:
-    """``prompts`` with the provider's answer; null where it failed. Equal prompts are asked once."""
+    """``prompts`` with the provider's answer, or null and the error. Equal prompts are asked once."""
     distinct = prompts.select(F.sha2(prompt, 256).alias("_key"), F.col(prompt).alias("_prompt")).dropDuplicates(["_key"])
 
     def ask(frames):
         for f in frames:
-            out = []
+            out, errors = [], []
             for p in f["_prompt"]:
                 try:
                     out.append(provider.generate(p))
-                except Exception:  # recorded as no answer
+                    errors.append(None)
+                except Exception as e:  # a provider's failures are of any kind; they are told apart by type and message
                     out.append(None)
-            yield pd.DataFrame({"_key": f["_key"], "answer": out})
+                    errors.append(f"{type(e).__name__}: {e}"[:MOST_ERROR])
+            yield pd.DataFrame({"_key": f["_key"], "answer": out, "error": errors})
 
-    asked = distinct.mapInPandas(ask, "_key string, answer string")
+    asked = distinct.mapInPandas(ask, "_key string, answer string, error string")
     return prompts.withColumn("_key", F.sha2(prompt, 256)).join(asked, "_key", "left").drop("_key")
 
 
+def _chunk() -> Column:
+    return F.concat(
+        F.lit("[chunk_id: "), F.col("chunk_id"), F.lit("]\n"), F.coalesce(F.concat(F.lit("Heading: "), "heading_context", F.lit("\n")), F.lit("")), F.coalesce(F.concat("table_context", F.lit("\n")), F.lit("")), F.coalesce("text", F.lit(""))
+    )
+
+
+def chunk_prompt() -> Column:
+    """The prompt for a chunk alone."""
+    return F.concat(F.lit(ASK), _chunk()).alias("prompt")
+
+
+def packed_prompts(chunks: DataFrame) -> DataFrame:
+    """document_id, batch, prompt: a prompt for the chunks of each batch (document_id, batch, rank, chunk_id, text, heading_context, table_context)."""
+    batch = chunks.withColumn("_part", _chunk()).groupBy("document_id", "batch").agg(F.array_sort(F.collect_list(F.struct("rank", "_part"))).alias("_p"))
+    return batch.select("document_id", "batch", F.concat(F.lit(ASK), F.array_join(F.transform("_p", lambda x: x["_part"]), "\n\n")).alias("prompt"))
+
+
 def extract_claims(chunks: DataFrame, provider) -> DataFrame:
-    """Claims that the provider finds in batches of chunks (document_id, batch, rank, chunk_id, text, heading_context, table_context)."""
-    part = F.concat(F.lit("[chunk_id: "), F.col("chunk_id"), F.lit("]\n"), F.coalesce(F.concat(F.lit("Heading: "), "heading_context", F.lit("\n")), F.lit("")), F.coalesce(F.concat("table_context", F.lit("\n")), F.lit("")), F.col("text"))
-    batch = chunks.withColumn("_part", part).groupBy("document_id", "batch").agg(F.array_sort(F.collect_list(F.struct("rank", "_part"))).alias("_p"))
-    prompts = batch.select("document_id", "batch", F.concat(F.lit('Return {"facts": [...]} with every stated fact.\n\n'), F.array_join(F.transform("_p", lambda x: x["_part"]), "\n\n")).alias("prompt"))
-    parsed = answers(prompts, provider).select("document_id", "batch", F.from_json(clean_json(F.col("answer")), ANSWER).alias("a"))
+    """Claims that the provider finds in batches of chunks; nothing is kept or asked again (see sources.answer_cache)."""
+    parsed = answers(packed_prompts(chunks), provider).select("document_id", "batch", F.from_json(clean_json(F.col("answer")), ANSWER).alias("a"))
     return parsed.select("document_id", "batch", F.explode("a.facts").alias("f")).select("document_id", "batch", "f.*", F.col("f.evidence.quote").alias("quote")).drop("evidence")
 
 
@@ -107,7 +125,7 @@ def judged(pairs: DataFrame, provider) -> DataFrame:
         F.when(failed | ~kind.isin(*TYPES), "UNCERTAIN").otherwise(kind).alias("relationship_type"), F.when(failed, 0.5).otherwise(F.coalesce("v.confidence", F.lit(0.85))).alias("confidence"),
         F.coalesce("v.explanation", F.lit("No verdict.")).alias("explanation"), F.coalesce("v.supporting_dimensions", F.array().cast("array<string>")).alias("supporting_dimensions"), F.lit("llm_judge").alias("resolution_tier"), F.lit("{}").alias("reasoning_metadata"),
     )
-    return v.withColumn("r", r).drop("v", "answer", "prompt")
+    return v.withColumn("r", r).drop("v", "answer", "error", "prompt")
 
 
 class OCRProvider(Protocol):

@@ -2,12 +2,15 @@
 
 import difflib
 import itertools
+import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from factweave.operators import blocks, extract, ground, pairs, rank_join, resolve
+from factweave.sources import answer_cache
 from factweave.sources.providers import Fallback, NullProvider, ReplayProvider, answers
 from factweave.sources.readers import files, html_blocks, table_text
 
@@ -207,6 +210,47 @@ def test_providers(spark):
     assert got == {1: "1", 2: None, 3: "1"}
 
 
+def test_answer_cache(spark, tmp_path):
+    """Prompts that fail come again chunk by chunk, what fails alone is asked by the next run, answers are asked once, equal chunks share them."""
+
+    class Picky:
+        """Fails for prompts with a word, gives no JSON for others, and one fact for each chunk named."""
+
+        def generate(self, prompt: str) -> str:
+            if "boom" in prompt:
+                raise TimeoutError("too slow")
+            if "mumble" in prompt:
+                return "I can't say."
+            if "nothing" in prompt:
+                return '{"note": "no facts"}'
+            ids = re.findall(r"\[chunk_id: (\w+)\]", prompt)
+            facts = [{"subject": "Acme", "predicate": "revenue", "raw_value": "5", "chunk_id": i if i != "c2" else "unknown", "time": "FY24" if i == "c1" else {"label": "L", "precision": "year"}, "evidence": {"quote": "BETA said"}} for i in ids]
+            return "Sure: " + json.dumps({"facts": facts})
+
+    schema = "document_id string, batch int, rank int, chunk_id string, text string, heading_context string, table_context string"
+    rows = [("d1", 0, 1, "c1", "alpha"), ("d1", 0, 2, "c2", "beta said so"), ("d1", 1, 3, "c3", "boom"), ("d1", 1, 4, "c4", "gamma"), ("d2", 0, 1, "c5", "alpha"), ("d2", 0, 2, "c6", "mumble"), ("d2", 1, 3, "c7", "nothing"), ("d3", 0, 1, "c8", None)]
+    chunks = spark.createDataFrame([(*r, None, None) for r in rows], schema)
+    cache = answer_cache.AnswerCache(spark, str(tmp_path / "cache"))
+    first = {r.chunk_id: (r.asked_as, r.answered, r.error) for r in cache.ask(chunks, Picky(), "r1").collect()}
+    assert first == {
+        "c1": ("batch", True, None), "c2": ("batch", True, None), "c3": ("chunk", False, "TimeoutError: too slow; TimeoutError: too slow"), "c4": ("chunk", True, "TimeoutError: too slow"),
+        "c6": ("chunk", False, "unreadable answer; unreadable answer"), "c7": ("batch", True, None), "c8": ("batch", True, None),
+    }
+    assert {r.chunk_id for r in cache.ask(chunks, Picky(), "r2").collect()} == {"c3", "c6"}
+    assert cache.asked().where("not answered").count() == 4 and cache.read().count() == 5
+    got = sorted((r.chunk_id, r.subject, r.time[:6], r.chunk_text) for r in cache.claims(chunks).collect())
+    # c2's fact names no known chunk: its quote is in c2. d2's copy of c1 has c1's claims.
+    assert [g[0] for g in got] == ["c1", "c2", "c4", "c5", "c8"] and got[0][2] == "FY24" and got[1][2].startswith("{")
+    claims = extract.normalise_answers(cache.claims(chunks).withColumns({"page_number": F.lit(1), "block_id": F.col("chunk_id"), "bbox": F.array(F.lit(0.0))}))
+    assert {(r.block_id, r.time_data.label) for r in claims.collect()} == {("c1", "FY2024"), ("c5", "FY2024"), ("c2", "L"), ("c4", "L"), ("c8", "L")}
+    blocks = spark.createDataFrame([("d1", 1, "c1", 0, "alpha", [1.0]), ("d1", 1, "c2", 1, "Beta said so", [2.0])], "document_id string, page_number int, id string, block_index int, text string, bbox array<double>")
+    pages = spark.createDataFrame([("d1", 1, "alpha", 100.0), ("d2", 1, "", 100.0), ("d3", 1, None, 100.0)], "document_id string, page_number int, raw_text string, width double")
+    done = {r.block_id: (r.validation_status, r.confidence, r.is_flagged, r.bbox[0]) for r in extract.grounded_answers(claims, blocks, pages).collect()}
+    assert done == {"c1": ("grounded", 0.9, False, 2.0), "c2": ("grounded", 0.9, False, 2.0), "c4": ("grounded", 0.9, False, 2.0), "c5": ("unsupported", 0.27, True, 0.0), "c8": ("unsupported", 0.27, True, 0.0)}
+    empty = answer_cache.AnswerCache(spark, str(tmp_path / "none"))
+    assert empty.ask(chunks.where("false"), Picky(), "r").count() == 0 and empty.claims(chunks).count() == 0
+
+
 def test_judge(spark):
     f = facts(spark, [("a", "d1", 2, "Acme", "ceo", "Jo", None, None, None, None), ("b", "d2", 1, "Acme", "ceo", "Al", None, None, None, None), ("c", "d3", 0, "Acme", "ceo", "Bo", None, None, None, None)])
     judge = ReplayProvider({'"raw_value":"Al"': '{"relationship_type": "contradicts", "explanation": "other person"}'})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from factweave.plans import fixtures, queries, views
+from factweave.streaming import ingest
 from factweave.streaming.ingest import StageTimer, Store, distinct_stream, ingest_batch, ingest_stream, job_state, new_documents, status_counts, unprocessed
 
 SAMPLE = ["candidate_pairs_top8", "candidate_pairs_varied", "relationships_varied", "undecided_varied", "judged_pairs", "overview_json", "document_facts", "tier1_pairs", "hydrated_facts", "overview_stats", "dataset_counts", "block_types", "density_top15", "normalize_number", "table_unpivot", "overlap_antijoin", "feature_hashes", "facts_csv"]
@@ -82,6 +83,38 @@ def test_stream_equals_batch(spark, small, tmp_path):
     assert {(r.fact_a_id, r.fact_b_id) for r in store.read("edges").collect()} == want
 
 
+def test_indexed_batches_equal_one_run(spark, small, tmp_path, monkeypatch):
+    """Batches paired by the stored index, with compactions between, names that hold each other and a predicate that becomes crowded."""
+    monkeypatch.setattr(ingest, "COMPACT_EVERY", 2)
+    facts = fixtures.varied_claims(spark, small).where("fact_id <> 'f1'").cache()
+    seqs = sorted(r[0] for r in facts.select("ingest_seq").distinct().collect())
+    parts = [seqs[:2], seqs[2:3], seqs[3:4], seqs[4:]]
+    store = Store(spark, str(tmp_path / "store"))
+    for n, own in enumerate(parts):
+        for _ in range(2 if n == 3 else 1):  # a batch that is run again
+            ingest_batch(store, facts.where(F.col("ingest_seq").isin(own)), n, crowded=4)
+    rows = lambda df: sorted((r.fact_a_id, r.fact_b_id, r.relationship_type, r.confidence) for r in df.collect())
+    assert rows(store.read("edges")) == rows(queries.R.resolve(facts))
+    assert store.read("facts").count() == facts.count()
+    assert [p.rsplit("/", 1)[1] for p in store._batches("signatures")] == ["c=000000001", "b=000000002", "b=000000003"]
+    assert store.read("signatures").groupBy("sig").count().where("count > 1").isEmpty() and store.read("names").groupBy("kind", "name", "gram").count().where("count > 1").isEmpty()
+
+
+def test_compaction_survives_failures(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.read("t") is None
+    for n in range(4):
+        store.write(spark.range(n, n + 1), "t", n)
+    store.compact("t", 2)
+    assert sorted(r.id for r in store.read("t").collect()) == [0, 1, 2, 3] and sorted(r.id for r in store.read("t", 3).collect()) == [0, 1, 2]
+    (tmp_path / "s" / "t" / "c=000000003").mkdir()  # begun, but without its mark
+    assert sorted(r.id for r in store.read("t").collect()) == [0, 1, 2, 3]
+    store.write(spark.range(1), "t", 1)  # left over from before
+    assert sorted(r.id for r in store.read("t").collect()) == [0, 1, 2, 3]
+    store.compact("t", 3, lambda x: x.where("id <> 2"))
+    assert sorted(r.id for r in store.read("t").collect()) == [0, 1, 3] and len(store._batches("t")) == 1
+
+
 def test_stream_helpers(spark, tmp_path):
     spark.createDataFrame([("h", "QUEUED"), ("h", "QUEUED"), ("g", "DONE")], "file_hash string, stage string").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000))).coalesce(1).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema("file_hash string, stage string, ts timestamp").parquet(str(tmp_path / "in"))
