@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from .. import vocabulary as V
 from ..functions import normalize as N
 from ..functions.embed import feature_hash, nearest
@@ -587,6 +588,37 @@ def ingest_dedup(spark, d):
     return new_documents(t.where("doc_id % 2 = 0"), t.where("doc_id % 2 = 1").withColumn("status", F.lit("completed")), "doc_id").select("file_hash", "doc_id")
 
 
+_STAGE_OF = {"signup": "QUEUED", "view": "LAYOUT_EXTRACTION", "click": "FACT_EXTRACTION", "purchase": "COMPLETED", "error": "FAILED"}
+_STALL_HOURS = 18
+
+
+@query(f"""WITH RECURSIVE base AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STAGE_OF.items())} END AS stage FROM events),
+due AS (SELECT *, upto, CASE stage {" ".join(f"WHEN '{k}' THEN {v + 1000 * (k in ('COMPLETED', 'FAILED')) + (k == 'FAILED')}" for k, v in schemas.STAGES.items())} END AS place, CASE stage {" ".join(f"WHEN '{k}' THEN {v}" for k, v in schemas.STAGES.items())} END AS progress
+  FROM base, (SELECT max(ms) - 3600000 AS upto FROM base) WHERE stage IS NOT NULL AND user_id IS NOT NULL AND ms < upto),
+placed AS (SELECT *, coalesce(lag(stage IN ('COMPLETED', 'FAILED')) OVER w OR ms > lag(ms) OVER w + {_STALL_HOURS * 3600000}, true) AS opens FROM due WINDOW w AS (PARTITION BY user_id ORDER BY ms, place)),
+numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ms, place ROWS UNBOUNDED PRECEDING) AS job FROM placed),
+jobs AS (SELECT user_id, job, arg_max(stage, (ms, place)) AS stage, max(progress) AS progress, count(*) AS events, min(ms) AS started, max(ms) AS last, any_value(upto) AS upto FROM numbered GROUP BY 1, 2)
+SELECT CAST(user_id AS VARCHAR) AS key, job::INT AS job, CASE stage WHEN 'COMPLETED' THEN stage ELSE 'FAILED' END AS status, stage, progress::INT AS progress, events::INT AS events, started AS started_ms,
+  CASE WHEN stage IN ('COMPLETED', 'FAILED') THEN last ELSE last + {_STALL_HOURS * 3600000} END AS ended_ms, stage NOT IN ('COMPLETED', 'FAILED') AS stalled FROM jobs WHERE stage IN ('COMPLETED', 'FAILED') OR last + {_STALL_HOURS * 3600000} < upto""")
+def job_outcomes(spark, d):
+    """Jobs of each user's events as a stream: completed, failed, or stalled and failed by a timer."""
+    from ..session import shared_folder
+    from ..streaming import jobs
+
+    at = f"{shared_folder(spark)}/factweave/jobs-{uuid.uuid4().hex}"
+    before = spark.conf.get(jobs.STATE_STORE[0], None)
+    spark.conf.set(*jobs.STATE_STORE)
+    try:
+        stage = F.create_map(*[F.lit(x) for kv in _STAGE_OF.items() for x in kv])[F.col("event_type")]
+        events = spark.readStream.schema(X0.table(spark, d, "events").schema).parquet(f"{d}/[e]vents.parquet")  # a pattern, since a stream's path may be no single file
+        out = jobs.job_outcomes(events.select(F.col("user_id").alias("key"), F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z"))).alias("ts"), stage.alias("stage")), "1 hour", _STALL_HOURS * 3_600_000)
+        out.writeStream.option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/out").format("parquet").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(jobs.STATE_STORE[0]) if before is None else spark.conf.set(jobs.STATE_STORE[0], before)
+    done = spark.read.schema(jobs.OUTCOME).parquet(f"{at}/out")
+    return done.select("key", "job", "status", "stage", "progress", "events", F.unix_millis("started_at").alias("started_ms"), F.unix_millis("ended_at").alias("ended_ms"), "stalled")
+
+
 @query("SELECT page_id, sha256(html) AS file_hash, octet_length(encode(html)) AS file_size FROM pages")
 def file_hashes(spark, d):
     from ..sources.readers import file_hash

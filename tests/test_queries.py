@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from factweave.plans import fixtures, queries, views
-from factweave.streaming import ingest
+from factweave.streaming import ingest, jobs
 from factweave.streaming.ingest import StageTimer, Store, distinct_stream, ingest_batch, ingest_stream, job_state, new_documents, status_counts, unprocessed
 
 SAMPLE = ["candidate_pairs_top8", "candidate_pairs_varied", "relationships_varied", "undecided_varied", "judged_pairs", "overview_json", "document_facts", "tier1_pairs", "hydrated_facts", "overview_stats", "dataset_counts", "block_types", "density_top15", "normalize_number", "table_unpivot", "overlap_antijoin", "feature_hashes", "facts_csv"]
@@ -115,6 +115,35 @@ def test_compaction_survives_failures(spark, tmp_path):
     assert sorted(r.id for r in store.read("t").collect()) == [0, 1, 3] and len(store._batches("t")) == 1
 
 
+def test_job_states(spark, tmp_path):
+    """Events out of order within the delay, in three batches, over restarts: completed, failed, stalled by a timer; late, unknown and keyless events are ignored; open jobs stay open."""
+    minute = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
+    files = [
+        [("a", 0, "QUEUED"), ("a", 8, "FACT_EXTRACTION"), ("b", 3, "QUEUED"), ("c", 1, "nonsense"), (None, 2, "QUEUED"), ("d", 0, "LAYOUT_EXTRACTION")],
+        [("a", 12, "COMPLETED"), ("a", 5, "LAYOUT_EXTRACTION"), ("b", 20, "FAILED"), ("b", 20, "CANDIDATE_DETECTION"), ("e", 300, "QUEUED")],
+        [("a", 1, "FAILED"), ("e", 301, "COMPLETED"), ("e", 301, "QUEUED"), ("a", 340, "QUEUED"), ("f", 400, "QUEUED")],
+    ]
+    for n, rows in enumerate(files):
+        df = spark.createDataFrame([(k, minute(m), s) for k, m, s in rows], "key string, at string, stage string").select("key", F.to_timestamp("at").alias("ts"), "stage")
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / f"n={n}"))
+        source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in" / "*"))
+        spark.conf.set(*jobs.STATE_STORE)
+        try:
+            out = jobs.job_outcomes(source, "10 minutes", 60 * 60_000)
+            out.writeStream.option("checkpointLocation", str(tmp_path / "check")).option("path", str(tmp_path / "out")).format("parquet").trigger(availableNow=True).start().awaitTermination()
+        finally:
+            spark.conf.unset(jobs.STATE_STORE[0])
+    got = spark.read.parquet(str(tmp_path / "out")).select("key", "job", "status", "stage", "progress", "events", F.date_format("ended_at", "H:mm").alias("at"), "stalled").collect()
+    assert {tuple(r) for r in got} == {("a", 1, "COMPLETED", "COMPLETED", 100, 4, "0:12", False), ("b", 1, "FAILED", "FAILED", 40, 3, "0:20", False), ("d", 1, "FAILED", "LAYOUT_EXTRACTION", 20, 1, "1:00", True), ("e", 1, "COMPLETED", "COMPLETED", 100, 3, "5:01", False)}
+
+
+def test_job_steps():
+    job, n, done = jobs.advance(None, 0, [(100, "QUEUED"), (50, "FACT_EXTRACTION"), (2000, "LAYOUT_EXTRACTION")], 2500, 1000)
+    assert (job, n) == (("LAYOUT_EXTRACTION", 20, 2000, 2000, 1), 1) and done == [(1, "FAILED", "QUEUED", 60, 2, 50, 1100, True)]
+    assert jobs.advance(job, n, [], 3001, 1000) == (None, 2, [(2, "FAILED", "LAYOUT_EXTRACTION", 20, 1, 2000, 3000, True)])
+    assert jobs.advance(None, 5, [], 10**9, 1) == (None, 5, [])
+
+
 def test_stream_helpers(spark, tmp_path):
     spark.createDataFrame([("h", "QUEUED"), ("h", "QUEUED"), ("g", "DONE")], "file_hash string, stage string").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000))).coalesce(1).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema("file_hash string, stage string, ts timestamp").parquet(str(tmp_path / "in"))
