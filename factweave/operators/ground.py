@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .. import vocabulary as V
-from ..functions.text import clean, strip
+from ..functions.text import clean, let, strip
 
 
 @F.pandas_udf(DoubleType())
@@ -19,6 +19,38 @@ def ratio(quote: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(quote, text, strict=True)], dtype="float64")
 
 
+#: Characters that are counted apart; all others are one class.
+COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def letters(text: Column) -> Column:
+    """Occurrences of each counted character and of all others."""
+    n = F.char_length(text)
+    own = [n - F.char_length(F.replace(text, F.lit(c), F.lit(""))) for c in COUNTED]
+    return let(F.array(n, *own), lambda x: F.array_append(x, x[0] * 2 - F.aggregate(x, F.lit(0), lambda t, v: t + v)))
+
+
+def may_exceed(a: Column, b: Column, least: Column) -> Column:
+    """Whether two texts can have a ratio above ``least``: what is matched is no more than the lengths and the characters that both have. Characters are counted only where lengths allow it."""
+    shared = F.aggregate(F.zip_with(F.slice(letters(a), 2, len(COUNTED) + 1), F.slice(letters(b), 2, len(COUNTED) + 1), lambda x, y: F.least(x, y)), F.lit(0), lambda t, v: t + v)
+    n, m = F.char_length(a), F.char_length(b)
+    return F.when(2 * F.least(n, m) > least * (n + m), 2 * shared > least * (n + m)).otherwise(False)
+
+
+def block_pairs(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Each cleaned quote (_q) with the blocks (_b) of its page, whether it cites the block and whether it lies in it."""
+    b = blocks.select("document_id", "page_number", F.col("id").alias("_bid"), "block_index", clean(F.col("text")).alias("_b"), F.col("bbox").alias("_box"))
+    q = quotes.select("quote_id", "document_id", "page_number", "block_id", "_q")
+    both = q.join(b, ["document_id", "page_number"])
+    return both.withColumns({"cited": F.coalesce(F.col("_bid") == F.col("block_id"), F.lit(False)), "inside": F.coalesce(F.col("_b").contains(F.col("_q")), F.lit(False))})
+
+
+def to_compare(pairs: DataFrame) -> DataFrame:
+    """Pairs that lie outside each other and whose ratio can exceed its threshold: that of the cited block, or the higher one of any other."""
+    least = F.when(F.col("cited"), V.GROUND["block_weak"]).otherwise(V.GROUND["other"])
+    return pairs.where(~F.col("inside") & may_exceed(F.col("_q"), F.col("_b"), least))
+
+
 def ground(quotes: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """``quotes`` (quote_id, document_id, page_number, block_id, quote) with status, score and bbox.
 
@@ -28,14 +60,9 @@ def ground(quotes: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
     q = quotes.withColumn("_q", clean(F.coalesce(F.col("quote"), F.lit(""))))
     page = pages.select("document_id", "page_number", clean(F.coalesce(F.col("raw_text"), F.lit(""))).alias("_page"), "width")
     valid = q.where("_q <> ''").join(page, ["document_id", "page_number"])
-    b = blocks.select("document_id", "page_number", F.col("id").alias("_bid"), "block_index", clean(F.col("text")).alias("_b"), F.col("bbox").alias("_box"))
-    pairs = valid.select("quote_id", "document_id", "page_number", "block_id", "_q").join(b, ["document_id", "page_number"])
-    inside = F.col("_b").contains(F.col("_q"))
-    cited = F.coalesce(F.col("_bid") == F.col("block_id"), F.lit(False))
-    # A ratio above r needs lengths within a factor (2 - r) / r of each other; others need no call.
-    a, c = F.char_length("_q"), F.char_length("_b")
-    near = (2 * F.least(a, c) > V.GROUND["block_weak"] * (a + c)) & ~inside
-    scored = pairs.where(~near).withColumn("r", F.lit(None).cast("double")).unionByName(pairs.where(near).withColumn("r", ratio("_q", "_b")))
+    pairs = block_pairs(valid, blocks)
+    inside, cited = F.col("inside"), F.col("cited")
+    scored = pairs.where(inside).withColumn("r", F.lit(None).cast("double")).unionByName(to_compare(pairs).withColumn("r", ratio("_q", "_b")))
     hit = (
         F.when(cited & inside, _result(0, "grounded", F.lit(1.0)))
         .when(cited & (F.col("r") > V.GROUND["block"]), _result(0, "grounded", F.round("r", 2)))
@@ -47,8 +74,7 @@ def ground(quotes: DataFrame, blocks: DataFrame, pages: DataFrame) -> DataFrame:
     # The page's text is read only for quotes that no block holds.
     rest = valid.join(by_block.select("quote_id"), "quote_id", "left_anti")
     on_page = F.col("_page").contains(F.col("_q"))
-    n, p = F.char_length("_q"), F.char_length("_page")
-    alike = (2 * F.least(n, p) > V.GROUND["page"] * (n + p)) & ~on_page
+    alike = may_exceed(F.col("_q"), F.col("_page"), F.lit(V.GROUND["page"])) & ~on_page
     tried = rest.where(on_page).withColumn("r", F.lit(0.85)).unionByName(rest.where(alike).withColumn("r", ratio("_q", "_page")).where(F.col("r") > V.GROUND["page"]))
     box = F.array(F.lit(50.0), F.lit(50.0), F.col("width") - 50.0, F.lit(150.0))
     by_page = tried.select("quote_id", F.lit(2).alias("step"), F.lit("grounded_with_warning").alias("status"), F.round("r", 2).alias("score"), box.alias("bbox"))

@@ -188,6 +188,22 @@ def test_grounding_like_difflib(spark):
         assert got[key][0] == status and abs(got[key][1] - score) < 0.011, (key, got[key], status, score)
 
 
+def test_few_ratios_are_computed(spark, small):
+    """Of the quote and block pairs that are alike in length but not in text, bounds leave at most a third to compare; none of those left out could decide."""
+    from factweave.functions.text import clean
+    from factweave.plans.fixtures import line_blocks
+
+    b = line_blocks(spark, small).withColumns({"id": F.concat_ws("_", "document_id", "block_index"), "bbox": F.array(F.lit(0.0))})
+    quotes = b.where("block_index = 0").select(F.col("document_id").alias("quote_id"), "document_id", "page_number", F.lit("none").alias("block_id"), clean(F.regexp_replace("text", r"^\S+\s+", "zzz ")).alias("_q")).where("_q <> ''")
+    pairs = ground.block_pairs(quotes, b).cache()
+    before = pairs.where("not inside and 2 * least(length(_q), length(_b)) > 0.65 * (length(_q) + length(_b))").collect()
+    after = {(r.quote_id, r.block_index) for r in ground.to_compare(pairs).collect()}
+    unlike = [(r.quote_id, r.block_index) for r in before if difflib.SequenceMatcher(None, r._q, r._b).ratio() <= 0.82]
+    assert len(unlike) > 400 and sum(x in after for x in unlike) < len(unlike) / 3
+    assert all((r.quote_id, r.block_index) in after for r in before if (r.quote_id, r.block_index) not in set(unlike))
+    assert pairs.select(ground.letters(F.lit("ab é, 7b")).alias("n")).first().n[:4] == [8, 1, 2, 0]
+
+
 def test_overlaps_numbers_headings(spark):
     boxes = spark.createDataFrame([(1, 1, [0.0, 0.0, 10.0, 10.0]), (1, 2, [50.0, 50.0, 60.0, 60.0]), (2, 3, [0.0, 0.0, 10.0, 10.0])], "p int, id int, bbox array<double>")
     tables = spark.createDataFrame([(1, [0.0, 0.0, 10.0, 7.0])], "p int, bbox array<double>")
