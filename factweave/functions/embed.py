@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
+from ..session import estimated_bytes
 from .text import let
 
 
@@ -61,21 +62,21 @@ def embedding_text(subject: Column, predicate: Column, scope: Column) -> Column:
     return F.concat_ws(" ", subject, predicate, F.coalesce(scope, F.lit("")))
 
 
-#: Queries in a block, and parts of all rows that meet each block.
-BLOCK, PARTS = 64, 32
+#: Queries in a block; parts of all rows at least, and bytes of rows (by Spark's estimate) in a part.
+BLOCK, PARTS, PART_BYTES = 64, 32, 16 << 20
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """query, vec_id, score, rank: the ``k`` nearest of all ``rows`` (vec_id, v) for each of ``queries`` (query, q), itself left out.
 
-    Exact: every row meets every block of BLOCK queries, in PARTS parts by the row's id, so no task holds a whole block's
-    rows. Each task keeps its own ``k`` first of a query before the final rank. Rounded to 5 digits; ties go to the smaller id.
+    Exact: rows are dealt once, to parts by their id; blocks of BLOCK queries are copied to every part, and each task keeps its own ``k``
+    first of a query before the final rank. Rounded to 5 digits; ties go to the smaller id.
     """
     n = queries.count() // BLOCK + 1
+    parts = max(PARTS, estimated_bytes(rows) // PART_BYTES)
     blocks = queries.groupBy(F.pmod(F.hash("query"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("query", "q")).alias("own"))
-    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    spread_rows = rows.withColumn("part", F.pmod(F.hash("vec_id"), F.lit(PARTS))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pairs = spread_rows.join(blocks, ["block", "part"]).select("vec_id", "v", F.explode("own").alias("x")).where("x.query <> vec_id")
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = rows.withColumn("part", F.pmod(F.hash("vec_id"), F.lit(parts))).join(blocks, "part").select("vec_id", "v", F.explode("own").alias("x")).where("x.query <> vec_id")
     scored = pairs.select(F.col("x.query").alias("query"), "vec_id", F.round(cosine(F.col("x.q"), F.col("v")), 5).alias("score"))
     ranked = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     return scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)

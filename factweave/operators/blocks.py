@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 from ..functions.text import block_type, density, page_quality, strip
+from ..session import written
 
 
 def text_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -33,14 +34,58 @@ def overlap(a: Column, b: Column) -> Column:
     return wide * high
 
 
-def drop_table_overlaps(blocks: DataFrame, tables: DataFrame, key: list[str], share: float = 0.65) -> DataFrame:
-    """Blocks of which more than ``share`` of the area lies in one table of the same page are left out.
+#: Edge of the finest tiles, in points, and the coarsest level of tiles, each twice as wide as those before.
+TILE, LEVELS = 64.0, 40
+#: Tables of a page that still come as one array.
+CROWDED = 64
 
-    Tables are few on a page, so they come as one array a page; blocks without a table on their page need no check.
+
+def _tiles(level: Column, x: Column) -> Column:
+    return F.floor(x / (TILE * F.pow(F.lit(2.0), level)))
+
+
+def drop_table_overlaps(blocks: DataFrame, tables: DataFrame, key: list[str], share: float = 0.65, crowded: int = CROWDED) -> DataFrame:
+    """Blocks of which more than ``share`` (a half at least) of the area lies in one table of the same page are left out.
+
+    A page's tables come as one array where they are few; pages of more than ``crowded`` tables go through :func:`covered_boxes`. Boxes that
+    are null or not finite cover nothing and are not covered.
     """
-    boxes = tables.groupBy(*key).agg(F.collect_list("bbox").alias("_tables"))
+    few = tables.where(_finite(F.col("bbox"))).withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("bbox"))).where(F.col("_n") <= crowded + 1)
+    boxes = written(few.groupBy(*key).agg(F.collect_list("bbox").alias("_tables")), "boxes")
     covered = F.exists("_tables", lambda t: overlap(F.col("bbox"), t) / F.greatest(F.lit(1.0), area(F.col("bbox"))) > share)
-    return blocks.join(boxes, key, "left").where(~F.coalesce(covered, F.lit(False))).drop("_tables")
+    known = blocks.join(boxes, key, "left")
+    crowd = F.coalesce(F.size("_tables") > crowded, F.lit(False))
+    left = known.where(~crowd & ~F.coalesce(_finite(F.col("bbox")) & covered, F.lit(False))).select(*blocks.columns)
+    most = boxes.where(crowd).select(*key)
+    if most.isEmpty():
+        return left
+    there = blocks.join(most, key, "left_semi")
+    return left.unionByName(there.join(covered_boxes(there, tables.join(most, key, "left_semi"), key, share), [*key, "bbox"], "left_anti").select(*blocks.columns))
+
+
+def _finite(box: Column) -> Column:
+    sides = [F.coalesce(F.abs(F.get(box, F.lit(i))) < F.lit(float("inf")), F.lit(False)) for i in range(4)]
+    return sides[0] & sides[1] & sides[2] & sides[3]
+
+
+def covered_boxes(blocks: DataFrame, tables: DataFrame, key: list[str], share: float) -> DataFrame:
+    """key, bbox of the blocks of which more than ``share`` lies in one table, by a grid join.
+
+    Such a table holds the block's centre. A table goes to the tiles that it touches on the level where these are as large as it, four at most;
+    a block to the tile of its centre on each level that its page's tables have. No page is gathered, and one of very many boxes is spread by its tiles.
+    """
+    if share < 0.5:
+        raise ValueError("a table that covers less than half of a block need not hold its centre")
+    box = F.col("bbox")
+    size = F.greatest(box[2] - box[0], box[3] - box[1], F.lit(TILE))
+    leveled = tables.where(_finite(box)).select(*key, "bbox", F.least(F.ceil(F.log2(size / TILE)), F.lit(LEVELS)).cast("int").alias("level"))
+    columns, lines = (F.sequence(_tiles(F.col("level"), box[i]), F.greatest(_tiles(F.col("level"), box[i]), _tiles(F.col("level"), box[i + 2]))) for i in (0, 1))
+    tiled = leveled.withColumn("tx", F.explode(columns)).withColumn("ty", F.explode(lines)).withColumnRenamed("bbox", "_table")
+    levels = leveled.groupBy(*key).agg(F.collect_set("level").alias("_levels"))
+    asked = blocks.where(_finite(box)).select(*key, "bbox").join(levels, key).withColumn("level", F.explode("_levels"))
+    placed = asked.select(*key, "bbox", "level", *[_tiles(F.col("level"), (box[i] + box[i + 2]) / 2).alias(t) for i, t in ((0, "tx"), (1, "ty"))])
+    inside = overlap(box, F.col("_table")) / F.greatest(F.lit(1.0), area(box)) > share
+    return placed.join(tiled, [*key, "level", "tx", "ty"]).where(inside).select(*key, "bbox")
 
 
 def number_blocks(tables: DataFrame, texts: DataFrame, key: list[str], order: str = "raw_order") -> DataFrame:

@@ -188,6 +188,28 @@ def test_grounding_like_difflib(spark):
         assert got[key][0] == status and abs(got[key][1] - score) < 0.011, (key, got[key], status, score)
 
 
+@pytest.mark.parametrize("crowded", [10, 30, 1000])
+def test_overlaps_like_plain(spark, crowded):
+    """By tiles, by arrays, and both: tables of all sizes and places, negative coordinates, tiny and odd boxes, against all pairs; nulls and boxes that are not finite."""
+    rng = random.Random(4)
+
+    def box(most):
+        x, y = rng.uniform(-300, 900), rng.uniform(-300, 900)
+        return [x, y, x + rng.uniform(0.1, most), y + rng.uniform(0.1, most)]
+
+    tables = [(p, box(rng.choice([1, 40, 64, 200, 5000]))) for p in (1, 1, 2) for _ in range(25)] + [(1, [0.0, 0.0, 64.0, 64.0]), (2, [float("inf")] * 4), (2, None)]
+    rows = [(p, i, box(rng.choice([1, 20, 80, 300]))) for p in (1, 2, 3) for i in range(400)] + [(1, 900, [0.0, 0.0, 64.0, 64.0]), (1, 901, None), (1, 902, [float("nan")] * 4), (1, 903, [float("-inf"), 0.0, 1.0, 1.0])]
+    left = blocks.drop_table_overlaps(spark.createDataFrame(rows, "page int, i int, bbox array<double>"), spark.createDataFrame(tables, "page int, bbox array<double>"), ["page"], crowded=crowded)
+
+    def covered(b, t):
+        wide, high = max(0.0, min(b[2], t[2]) - max(b[0], t[0])), max(0.0, min(b[3], t[3]) - max(b[1], t[1]))
+        return wide * high / max(1.0, (b[2] - b[0]) * (b[3] - b[1])) > 0.65
+
+    odd = lambda b: b is None or not all(abs(x) < float("inf") for x in b)
+    want = {(p, i) for p, i, b in rows if odd(b) or not any(q == p and not odd(t) and covered(b, t) for q, t in tables)}
+    assert {(r.page, r.i) for r in left.collect()} == want and 300 < len(want) < 1100
+
+
 def test_few_ratios_are_computed(spark, small):
     """Of the quote and block pairs that are alike in length but not in text, bounds leave at most a third to compare; none of those left out could decide."""
     from factweave.functions.text import clean
