@@ -6,14 +6,15 @@ posting list holds the facts with one rare signed slot, or none asked for (slot
 at all frequent slots: facts of a list that share nothing else with a target have the same score with it, the list's bound,
 so their order is that of ties. A target meets
 
-1. the heads of its best lists by bound, and all facts with which it shares two rare signed slots; the eighth best of these is its threshold;
+1. the heads of its best lists by bound, and the facts with which it shares two rare signed slots, of those embeddings that can beat the eighth best of these heads;
+   the eighth best of both is its threshold;
 2. the heads of the other lists whose bound beats the threshold;
 3. the rest of those lists whose first unseen fact could still beat the eighth.
 
 A fact that shares two rare slots is met in 1; any other scores no more than the bound of the list of the slot it shares, or of the
 list without, so what is never met can't be among the best. The result is exact, whatever the sizes of heads and
-probes; they decide only how many pairs are compared. In the worst case (rare slots that come in pairs with very many) the
-second part of 1 still compares all these.
+probes; they decide only how many pairs are compared. The second part of 1 compares embeddings, each two once, however many
+facts and targets have them. In the worst case (rare slots that come in pairs with very many different embeddings) it still compares all these.
 """
 
 from __future__ import annotations
@@ -80,6 +81,34 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
+def _kind(p: str, nz: str) -> Column:
+    """A predicate and an embedding as a number."""
+    return F.xxhash64(p, nz)
+
+
+def _partitions(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+
+
+def twofold_kinds(targets: DataFrame, items: DataFrame, score: Callable[..., Column]) -> DataFrame:
+    """kind, item_kind, bound, first: the embeddings of one predicate that share two rare signed slots, with the score of unrelated facts and the item's first fact.
+
+    Dealt to a fixed number of partitions, since the tables are small and what they make is not.
+    """
+    parts = _partitions(targets)
+    a = targets.select(_kind("p", "nz").alias("kind"), "p", F.col("nz").alias("a_nz"), "rare").dropDuplicates(["kind"])
+    b = items.groupBy(_kind("p", "nz").alias("item_kind"), "p").agg(F.first("nz").alias("b_nz"), F.first("rare").alias("rare"), F.min(F.struct("seq", "id")).alias("first"))
+    keys = F.array_sort(F.transform("rare", _key))
+    two = F.flatten(F.transform(keys, lambda x, i: F.transform(F.slice(keys, i + 2, F.size(keys)), lambda y: F.struct(x.alias("one"), y.alias("two")))))
+
+    def pair(kinds: DataFrame, name: str) -> DataFrame:
+        return kinds.where("size(rare) > 1").select(name, "p", F.explode(two).alias("two")).repartition(parts, "p", "two")
+
+    shared = pair(a, "kind").join(pair(b, "item_kind"), ["p", "two"]).select("p", "kind", "item_kind").distinct().repartition(parts, "kind", "item_kind")
+    both = shared.join(a.select("kind", "a_nz"), "kind").join(b.select("item_kind", "b_nz", "first"), "item_kind")
+    return both.select("kind", "item_kind", score(F.lit("a"), F.col("p"), F.lit("b"), F.col("p"), _dot(F.col("a_nz"), F.map_from_entries("b_nz"))).alias("bound"), "first")
+
+
 def rank_join(targets: DataFrame, items: DataFrame, signatures: DataFrame, k: int, incremental: bool, score: Callable[..., Column], compared: Callable[[DataFrame], object] | None = None) -> DataFrame:
     """a, t_doc, t_seq, id, seq, score, rank: the ``k`` best ``items`` of other documents for each target, of those with its predicate.
 
@@ -89,8 +118,8 @@ def rank_join(targets: DataFrame, items: DataFrame, signatures: DataFrame, k: in
     frequent = frequent_slots(signatures)
     items = _parts(items, frequent)
     entries = posting_entries(items)
-    lists = written(posting_lists(entries), "lists")
-    own = written(_parts(targets, frequent), "targets")
+    lists = written(posting_lists(entries).repartition(_partitions(targets), "list"), "lists")
+    own = written(_parts(targets, frequent).repartition(_partitions(targets), *_GROUP), "targets")  # few rows that meet many lists: dealt out, not one split
     apart = (F.col("doc") != F.col("t_doc")) & ((F.col("seq") < F.col("t_seq")) if incremental else F.lit(True))
 
     def scored(pairs: DataFrame) -> DataFrame:
@@ -114,23 +143,25 @@ def rank_join(targets: DataFrame, items: DataFrame, signatures: DataFrame, k: in
         facts = lists.select("list", F.explode("heads").alias("h")).select("list", "h.*")
         return scored(of.join(facts, "list"))
 
-    keys = F.array_sort(F.transform("rare", _key))
-    two = F.flatten(F.transform(keys, lambda x, i: F.transform(F.slice(keys, i + 2, F.size(keys)), lambda y: F.struct(x.alias("one"), y.alias("two")))))
-    pair = lambda df: df.where("size(rare) > 1").withColumn("two", F.explode(two))
-    left = pair(own).select(*_GROUP, F.col("p").alias("a_p"), F.col("s").alias("a_s"), F.col("nz").alias("a_nz"), "two")
-    twice = left.join(pair(items).withColumnRenamed("two", "b_two"), (F.col("a_p") == F.col("p")) & (F.col("two") == F.col("b_two")))
-    once = written(_best(heads(bounded.where(F.col("before") < PROBE)).unionByName(scored(twice)), k), "best")
-
     def threshold(best: DataFrame) -> DataFrame:
         return best.where(F.col("rank") == k).select(*_GROUP, F.col("score").alias("least"), F.struct("seq", "id").alias("least_tie"))
 
     def beats(tie: str) -> Column:
         return F.col("least").isNull() | (F.col("bound") > F.col("least")) | ((F.col("bound") == F.col("least")) & (F.col(tie) < F.col("least_tie")))
 
+    probed = written(_best(heads(bounded.where(F.col("before") < PROBE)), k), "probed")
+    # Two embeddings are compared once, whatever the facts behind them; facts are read of those that can beat a target's threshold.
+    least = threshold(probed)
+    kinds = twofold_kinds(own, items, score)
+    near = written(own.select(*_GROUP, F.col("p").alias("a_p"), F.col("s").alias("a_s"), F.col("nz").alias("a_nz"), _kind("p", "nz").alias("kind")).join(least, _GROUP, "left").join(kinds, "kind").where(beats("first")), "near")
+    ready_kinds = near.where(F.col("first.seq") < F.col("t_seq")) if incremental else near
+    twice = ready_kinds.join(items.select(_kind("p", "nz").alias("item_kind"), "s", "nz", "seq", "id", "doc"), "item_kind")
+    once = written(_best(probed.drop("rank").unionByName(scored(twice)), k), "best")
+
     more = heads(bounded.where(F.col("before") >= PROBE).join(threshold(once), _GROUP, "left").where(beats("first")))
     twofold = written(_best(once.drop("rank").unionByName(more), k), "best")
     rest = bounded.where("open").join(threshold(twofold), _GROUP, "left").where(beats("last"))
     unseen = rest.join(entries.select("list", "s", "nz", "seq", "id", "doc"), "list").where(F.struct("seq", "id") > F.col("last"))
     out = written(_best(twofold.drop("rank").unionByName(scored(unseen)), k), "ranked")
-    dropped(lists, own, bounded, once, twofold)
+    dropped(lists, own, bounded, probed, near, once, twofold)
     return out

@@ -123,6 +123,32 @@ def test_existing_edges_are_left_out(spark):
     assert [(r.target, r.candidate) for r in pairs.dedup_pairs(p, have).collect()] == [("a", "b")]
 
 
+def test_embeddings_are_compared_once_whatever_the_facts_behind_them(spark):
+    """Twelve facts each of two embeddings: one pair of embeddings, and of each no more facts than can be among the best."""
+    slots = "array<struct<at:int,v:double>>"
+    nz = lambda sign: [(1, 0.5), (2, 0.5), (9, sign)]
+    rows = [("p", f"s{i}", nz(0.5 - i % 2), nz(0.5 - i % 2), [], f"f{i:02}", i, f"d{i}") for i in range(24)]
+    items = spark.createDataFrame(rows, f"p string, s string, nz {slots}, rare {slots}, common {slots}, id string, seq int, doc string")
+    got = rank_join.twofold_kinds(items, items, pairs.pair_score).collect()
+    assert len(got) == 4 and sorted(r.first.seq for r in got) == [0, 0, 1, 1]
+    first = pairs.first_facts(items, 2, ("p", "nz"), ("doc", "seq", "id"))
+    assert sorted(r.seq for r in first.collect()) == list(range(8))
+
+
+def test_first_scored_leaves_out_what_higher_scores_always_beat(spark):
+    rows = [("a", 0.5, f"h{i}", f"d{i}", i) for i in range(2, 6)] + [("a", 0.4, f"l{i}", f"d{i}", i) for i in (0, 1, 5, 6, 9)] + [("b", 0.4, "l9", "d9", 9)]
+    found = spark.createDataFrame(rows, "a string, score double, candidate string, c_doc string, c_seq int")
+    keep = {(r.a, r.candidate) for r in pairs.first_scored(found, 2, True).collect()}
+    assert keep == {("a", "h2"), ("a", "h3"), ("a", "h4"), ("a", "h5"), ("a", "l0"), ("a", "l1"), ("a", "l5"), ("b", "l9")}
+
+
+def test_contained_does_not_meet_for_a_shared_beginning(spark):
+    names = spark.createDataFrame([(x,) for x in ["customer#1", "customer#2", "big customer#1", "customer#12", "cus", "", "#"]], "name string")
+    got = {(r.inner, r.outer) for r in pairs.contained(names).collect()}
+    every = [r.name for r in names.collect()]
+    assert got == {(a, b) for a in every for b in every if a != b and a in b}
+
+
 def test_contained(spark):
     names = ["", "a", "ab", "xabx", "abcdef", "zabcdefz", "q"]
     got = {(r.inner, r.outer) for r in pairs.contained(spark.createDataFrame([(x,) for x in names], "name string")).collect()}
