@@ -149,6 +149,21 @@ def test_contained_does_not_meet_for_a_shared_beginning(spark):
     assert got == {(a, b) for a in every for b in every if a != b and a in b}
 
 
+def test_tables_inside_others_are_left_out_and_cover_nothing_more(spark):
+    import random
+
+    r = random.Random(5)
+    box = lambda: [float(x := r.randrange(9)), float(y := r.randrange(9)), float(x + 1 + r.randrange(9)), float(y + 1 + r.randrange(4))]
+    tables, texts = [(1, box()) for _ in range(400)], [(1, box()) for _ in range(200)]
+    t, b = (spark.createDataFrame(x, "page_id int, bbox array<double>") for x in (tables, texts))
+    kept = blocks.outermost(t, ["page_id"]).collect()
+    assert len(kept) < 200 and {tuple(x.bbox) for x in kept} <= {tuple(x) for _, x in tables}
+    share = lambda a, c: max(0.0, min(a[2], c[2]) - max(a[0], c[0])) * max(0.0, min(a[3], c[3]) - max(a[1], c[1])) / max(1.0, (a[2] - a[0]) * (a[3] - a[1]))
+    for crowded in (4, 10_000):
+        got = sorted(tuple(x.bbox) for x in blocks.drop_table_overlaps(b, t, ["page_id"], crowded=crowded).collect())
+        assert got == sorted(tuple(a) for _, a in texts if not any(share(a, c) > 0.65 for _, c in tables))
+
+
 def test_contained(spark):
     names = ["", "a", "ab", "xabx", "abcdef", "zabcdefz", "q"]
     got = {(r.inner, r.outer) for r in pairs.contained(spark.createDataFrame([(x,) for x in names], "name string")).collect()}
