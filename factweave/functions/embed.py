@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,21 +64,72 @@ def embedding_text(subject: Column, predicate: Column, scope: Column) -> Column:
     return F.concat_ws(" ", subject, predicate, F.coalesce(scope, F.lit("")))
 
 
-#: Queries in a block; parts of all rows at least, and bytes of rows (by Spark's estimate) in a part.
-BLOCK, PARTS, PART_BYTES = 64, 32, 16 << 20
+#: Queries in a block; parts of all rows at least, and bytes of rows (by Spark's estimate) in a part; rows that are multiplied at once.
+BLOCK, PARTS, PART_BYTES, STEP = 2048, 32, 16 << 20, 4096
+#: Products that numpy adds in another order differ from :func:`dot` by far less; the wider limit takes in what rounding to 5 digits may tie.
+MARGIN = 2e-5
+
+
+def _vectors(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors as rows padded with zeros, and their lengths, 0 for a missing vector. A missing entry counts as NaN, which :func:`cosine` scores alike."""
+    kept = [[] if x is None else np.array(x, float) for x in vectors]
+    size = np.array([len(x) for x in kept], np.int64)
+    out = np.zeros((len(kept), max(size.max(initial=0), 1)))
+    for row, x in zip(out, kept, strict=True):
+        row[: len(x)] = x
+    return out, size
+
+
+def _near(k: int):
+    """For cogroups of rows (vec_id, v) and queries (query, q): the rows that can be among the ``k`` nearest of each query."""
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        ids, own = rows.column("vec_id"), queries.column("query")
+        q, of_q = _vectors(queries.column("q").to_pylist())
+        best = np.full((len(q), 0), -np.inf)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        limit = np.full(len(q), -np.inf)
+        mine, row_ids = np.array(own.to_pylist(), object), np.array(ids.to_pylist(), object)
+        for start in range(0, rows.num_rows, STEP):
+            v, of_v = _vectors(rows.column("v").slice(start, STEP).to_pylist())
+            width = max(q.shape[1], v.shape[1])
+            a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, v))
+            with np.errstate(all="ignore"):
+                score = a @ b.T
+            score = np.where(np.isnan(score), 1.0, np.clip(score, -1.0, 1.0))  # as greatest and least have it
+            score[of_q[:, None] != of_v[None, :]] = 0.0
+            score[mine[:, None] == row_ids[None, start : start + STEP]] = -np.inf
+            top = np.concatenate([best, score], axis=1)
+            best = -np.partition(-top, k - 1, axis=1)[:, :k] if top.shape[1] > k else top
+            if best.shape[1] >= k:
+                limit = np.maximum(limit, best.min(axis=1) - MARGIN)
+            x, y = np.nonzero((score >= limit[:, None]) & (score > -np.inf))
+            found.append((x, y + start, score[x, y]))
+        x, y, near = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+        keep = near >= limit[x]
+        x, y = pa.array(x[keep].astype(np.int64)), pa.array(y[keep].astype(np.int64))
+        return pa.table({"query": own.take(x), "q": queries.column("q").take(x), "vec_id": ids.take(y), "v": rows.column("v").take(y)})
+
+    return run
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """query, vec_id, score, rank: the ``k`` nearest of all ``rows`` (vec_id, v) for each of ``queries`` (query, q), itself left out.
 
-    Exact: rows are dealt once, to parts by their id; blocks of BLOCK queries are copied to every part, and each task keeps its own ``k``
-    first of a query before the final rank. Rounded to 5 digits; ties go to the smaller id.
+    Exact: rows are dealt to parts by their id, queries to blocks, and each part meets each block in one product of matrices, which picks
+    what can be among the ``k`` first of the part; these few are scored by :func:`cosine` and ranked. Rounded to 5 digits; ties go to
+    the smaller id.
     """
     n = queries.count() // BLOCK + 1
     parts = max(PARTS, estimated_bytes(rows) // PART_BYTES)
-    blocks = queries.groupBy(F.pmod(F.hash("query"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("query", "q")).alias("own"))
-    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    pairs = rows.withColumn("part", F.pmod(F.hash("vec_id"), F.lit(parts))).join(blocks, "part").select("vec_id", "v", F.explode("own").alias("x")).where("x.query <> vec_id")
-    scored = pairs.select(F.col("x.query").alias("query"), "vec_id", F.round(cosine(F.col("x.q"), F.col("v")), 5).alias("score"))
+    every = lambda m, name: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(name)
+    asked = queries.select("query", "q", F.pmod(F.hash("query"), F.lit(n)).alias("block"), every(parts, "part"))
+    # Equal vectors have equal scores: k + 1 ids of each are enough, since one may be the query's own.
+    first = rows.where("vec_id is not null").select("vec_id", "v", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id")).alias("_d")).where(F.col("_d") <= k + 1)
+    first = first.withColumn("_n", F.row_number().over(Window.partitionBy("v", "vec_id").orderBy("vec_id"))).where(F.col("_n") <= k)
+    held = first.select("vec_id", "v", F.pmod(F.hash("vec_id"), F.lit(parts)).alias("part"), every(n, "block"))
+    types = {f.name: f.dataType.simpleString() for f in (*queries.schema, *rows.schema)}
+    pairs = held.groupBy("part", "block").cogroup(asked.where("query is not null").groupBy("part", "block")).applyInArrow(_near(k), ", ".join(f"{c} {types[c]}" for c in ("query", "q", "vec_id", "v")))
+    scored = pairs.select("query", "vec_id", F.round(cosine(F.col("q"), F.col("v")), 5).alias("score"))
     ranked = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     return scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)

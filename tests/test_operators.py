@@ -164,6 +164,29 @@ def test_tables_inside_others_are_left_out_and_cover_nothing_more(spark):
         assert got == sorted(tuple(a) for _, a in texts if not any(share(a, c) > 0.65 for _, c in tables))
 
 
+def test_nearest_equals_all_comparisons_and_passes_on_few(spark, monkeypatch, tmp_path):
+    """Copies, missing and odd vectors; and what the product of matrices picks is far less than all pairs."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from factweave.functions import embed
+
+    monkeypatch.setattr(embed, "STEP", 64)
+    r = np.random.default_rng(3)
+    vectors = [list(map(float, x)) for x in np.round(r.normal(size=(120, 4)) / 3, 3)] + [[0.5] * 4] * 40 + [None, [], [0.5], [0.5, None, 0.1, 0.2], [float("nan")] * 4]
+    spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id long, v array<double>").write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    queries = rows.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("q"))
+    got = sorted(map(tuple, embed.nearest(queries, rows, 3).select("query", "vec_id", "score", "rank").collect()))
+    every = queries.crossJoin(rows).where("query <> vec_id").withColumn("score", F.round(embed.cosine(F.col("q"), F.col("v")), 5))
+    window = embed.Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
+    assert got == sorted(map(tuple, every.withColumn("rank", F.row_number().over(window)).where("rank <= 3").select("query", "vec_id", "score", "rank").collect()))
+    ids, v = pa.array(range(120)), pa.array(vectors[:120], pa.list_(pa.float64()))
+    picked = embed._near(3)(pa.table({"vec_id": ids, "v": v}), pa.table({"query": ids, "q": v}))
+    assert picked.num_rows < 120 * 20
+
+
 def test_contained(spark):
     names = ["", "a", "ab", "xabx", "abcdef", "zabcdefz", "q"]
     got = {(r.inner, r.outer) for r in pairs.contained(spark.createDataFrame([(x,) for x in names], "name string")).collect()}
