@@ -158,3 +158,11 @@ def test_evidence_fuzzy_reads_every_line(spark, tmp_path):
     text = "\n".join(["alpha", *(f"filler line number {i}" for i in range(7)), "here zzz zzz stands"])
     spark.createDataFrame([(2, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [(r.quote_id, r.status, r.score) for r in queries.QUERIES["evidence_fuzzy"](spark, str(tmp_path)).collect()] == [(2, "grounded", 0.95)]
+
+
+def test_chunks_of_the_provider_are_made_once(spark):
+    """What asks and claims read is a written table, not the scoring of all blocks."""
+    from factweave.plans import queries
+
+    chunks = queries._chunk_batches(spark, "/root/testdata/sf0.001")
+    assert chunks.count() > 0 and all("/factweave/chunks-" in f for f in chunks.inputFiles())
