@@ -16,7 +16,8 @@ in the shared folder. Exact copies are one fingerprint throughout and are not ex
 
 The pipeline's stage asks for five-word shingles and a similarity of 0.8, at which SimHashes differ in about ten bits: no grid
 of this kind is that wide. :func:`similar` takes the grid join's links as candidates, adds those of a banded minimum hash, and
-verifies every one on the whole sets.
+verifies every one on the whole sets. Pairs that never meet so are found by a prefix join, which misses none: in one order of all
+shingles, frequent ones last, sets that are similar enough share one of their first ones. It looks at sets of different groups only.
 
 Defined results: null and empty texts and texts of white space have fingerprint zero and link like others; rows without an
 id get the component of their group, which is null if no row of the group has an id; repeated rows are in one group;
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, materialize, release, row_key, utf8
+from .common import bounded_batches, collected, documents, materialize, release, row_key, utf8
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 SALTS = 16
@@ -41,6 +42,8 @@ SALTS = 16
 WIDTHS = (4, 2, 1)
 #: The pipeline's stage: near copies by word shingles.
 STAGE_SHINGLE, STAGE_LEAST, BANDS, ROWS = 5, 0.8, 20, 5
+#: Frequent shingles come last in the order of the prefix join: up to FREQUENT of those of about SAMPLE texts. Any order gives the same links.
+SAMPLE, FREQUENT = 20_000, 1 << 18
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _ROW = (np.arange(8) * 256).astype(np.int64)
@@ -195,14 +198,69 @@ def bands(values: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(low.reshape(BANDS, ROWS))]
 
 
+def frequent(data: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles that several texts of a sample hold, by rising number of texts."""
+    every = max(1, data.count() // SAMPLE)
+    part = data.where(F.pmod(F.xxhash64("data"), F.lit(every)) == 0).dropDuplicates(["data"]).select("data")
+
+    def run(batches):
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(gram_hashes(x, shingle)).view(np.int64))], names=["token"])
+
+    counts = part.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    top = collected(counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token"))
+    return top["token"].to_numpy()[::-1].copy().view(np.uint64)
+
+
+def prefix(values: np.ndarray, least: float, late: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a set (sorted), of which a set with a similarity of ``least`` to it holds one; none if no other set can have it.
+
+    The order is that of the values, but those in ``late`` (sorted) come last, by ``ranks``.
+    """
+    n = len(values)
+    if n < least * (n + 1) - 1e-9:
+        return values[:0]
+    at = np.minimum(np.searchsorted(late, values), max(len(late) - 1, 0))
+    last = late[at] == values if len(late) else np.zeros(n, bool)
+    return np.concatenate([values[~last], values[last][np.argsort(ranks[at[last]])]])[: n - int(np.ceil(least * n - 1e-9)) + 1]
+
+
+def apart(sets: DataFrame, least: float) -> DataFrame:
+    """a, b: pairs of ``sets`` (fp, comp, n, prefix) of different groups (comp) that may be similar, and all that are.
+
+    A shingle's sets are joined with those outside its largest group, so copies and chains of one group cost nothing here. A pair's
+    common prefix shingles and what is left behind the last of them bound what it can share.
+    """
+    held = sets.select("fp", "comp", "n", F.posexplode("prefix").alias("at", "token"))
+    mixed = materialize(held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"), "mixed")
+    members = materialize(held.join(mixed, "token", "left_semi"), "members")
+    main = members.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
+    of = materialize(members.join(main, "token"), "of")
+    one = of.where("comp <> main").select("token", F.col("fp").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    two = of.select("token", F.col("fp").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("pb"), (F.col("comp") == F.col("main")).alias("inmost"))
+    met = one.join(two, "token").where("ca <> cb and (inmost or a < b)").where(F.least("na", "nb") >= F.lit(least - 1e-9) * F.greatest("na", "nb"))
+    behind, first = F.least(F.expr("na - pa"), F.expr("nb - pb")) - 1, F.ceil(F.greatest("na", "nb") * F.lit(least) - 1e-9) - 1
+    facts = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), behind.alias("behind"), first.alias("first"), ((F.col("na") + F.col("nb")) * F.lit(least / (1 + least)) - 1e-6).alias("need"))
+    pairs = facts.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("behind").alias("behind"), F.first("first").alias("first"), F.first("need").alias("need"))
+    out = materialize(pairs.where(F.col("shared") + F.least("behind", "first") >= F.col("need")).select("a", "b"), "apart")
+    release(mixed, members, of)
+    return out
+
+
 def similar(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     """doc_id, k, fp, component: rows by key, and the component of those whose shingle sets have a Jaccard similarity of ``least`` or more.
 
     Candidates are the grid join's links between SimHashes, and sets that share a band of minimum hashes; each meets one centre
-    of its SimHash or of its band's bucket, another in each band, so work is linear in a group. Every link is verified on the
-    whole sets; rows of equal sets (fp) are one node.
+    of its SimHash or of its band's bucket, another in each band, so work is linear in a group. What these leave in different
+    groups meets in the prefix join of :func:`apart`, so groups are those of all pairs. Every link is verified on the whole sets;
+    rows of equal sets (fp) are one node.
     """
     bounded_batches(docs.sparkSession)
+    data = docs.select(row_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("data"))
+    order = frequent(data, shingle)
+    late = np.sort(order)
+    ranks = np.argsort(order)  # order[ranks] is sorted, so ranks[i] is the place of late[i]
 
     def sign(batches):
         for b in batches:
@@ -210,11 +268,12 @@ def similar(docs: DataFrame, shingle: int, least: float) -> DataFrame:
             sets = [np.unique(h) for h in hashes]
             fp = pa.array([xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in sets], pa.int64())
             sim = pa.array(np.array([majority(h) for h in hashes], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, sim, pa.array([bands(x) for x in sets], pa.list_(pa.int64()))], names=["k", "doc_id", "fp", "sim", "bands"])
+            n, first = pa.array([len(x) for x in sets], pa.int32()), [prefix(x, least, late, ranks).view(np.int64) for x in sets]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in ([bands(x) for x in sets], first)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, sim, n, *lists], names=["k", "doc_id", "fp", "sim", "n", "bands", "prefix"])
 
-    data = docs.select(row_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("data"))
-    signed = materialize(data.mapInArrow(sign, "k long, doc_id long, fp long, sim long, bands array<long>"), "signed")
-    nodes = materialize(signed.groupBy("fp").agg(F.min(_order()).alias("first"), F.first("sim").alias("sim"), F.first("bands").alias("bands")), "nodes")
+    signed = materialize(data.mapInArrow(sign, "k long, doc_id long, fp long, sim long, n int, bands array<long>, prefix array<long>"), "signed")
+    nodes = materialize(signed.groupBy("fp").agg(F.min(_order()).alias("first"), *[F.first(c).alias(c) for c in ("sim", "n", "bands", "prefix")]), "nodes")
 
     def pair(x: str, y: str) -> list[Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -228,9 +287,6 @@ def similar(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     centre = member.groupBy("band").agg(F.min(turn)["fp"].alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "centre")
     of_band = member.join(centre, "band").where("fp <> centre").select(*pair("fp", "centre"))
     pairs = materialize(of_grid.union(of_sim).union(of_band).distinct(), "candidates")
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    one = nodes.join(wanted, "fp", "left_semi").select("fp", F.col("first.k").alias("k"))
-    texts = materialize(data.join(one, "k").dropDuplicates(["fp"]).select("fp", "data"), "texts")
 
     def verify(batches):
         for b in batches:
@@ -241,10 +297,21 @@ def similar(docs: DataFrame, shingle: int, least: float) -> DataFrame:
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    left, right = texts.select(F.col("fp").alias("a"), F.col("data").alias("x")), texts.select(F.col("fp").alias("b"), F.col("data").alias("y"))
-    edges = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
-    release(pairs, texts)
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+        one = nodes.join(wanted, "fp", "left_semi").select("fp", F.col("first.k").alias("k"))
+        texts = materialize(data.join(one, "k").dropDuplicates(["fp"]).select("fp", "data"), "texts")
+        left, right = texts.select(F.col("fp").alias("a"), F.col("data").alias("x")), texts.select(F.col("fp").alias("b"), F.col("data").alias("y"))
+        edges = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
+        release(pairs, texts)
+        return edges
+
+    edges = verified(pairs)
     found = components(edges, nodes.select("fp", "first"))
+    sets = nodes.where("size(prefix) > 0").join(found, "fp", "left").select("fp", F.coalesce("least", "first")["k"].alias("comp"), "n", "prefix")
+    more = verified(apart(sets, least))
+    if not more.isEmpty():
+        found = components(edges.union(more), nodes.select("fp", "first"))
     by_fp = nodes.join(found, "fp", "left").select("fp", F.coalesce("least", "first").alias("component"))
     return signed.select("doc_id", "k", "fp").join(by_fp, "fp")
 

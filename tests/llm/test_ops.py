@@ -328,6 +328,27 @@ def test_stage_links_similar_texts(spark):
     assert near > 20 and len(got) == len(docs) - near and {r.text for r in got if r.doc_id == 1} == {docs[0][1], docs[1][1]}
 
 
+def test_stage_groups_equal_all_pairs(spark):
+    """Pairs among many texts of one origin, which share their buckets with texts that are not similar enough; frequent shingles as well."""
+    rng = random.Random(4)
+    changed = lambda w, n: [("x%d" % rng.getrandbits(30)) if i in at else x for at in [set(rng.sample(range(len(w)), n))] for i, x in enumerate(w)]
+    base = ["w%d" % rng.getrandbits(30) for _ in range(200)]
+    texts = [v for _ in range(200) for w in [changed(base, 3)] for v in (w, changed(w, 4))] + [["a"] * n for n in (3, 5, 9)] + [list("abcdefgh"[:n]) for n in (5, 7, 8)] + [[]]
+    sets = [set(zip(*(w[k:] for k in range(5)), strict=False)) or {tuple(w)} for w in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component.doc_id for r in op6_simhash.similar(docs, 5, 0.8).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 # op7
 def test_viterbi_equals_trying_all():
     rng = np.random.default_rng(0)
