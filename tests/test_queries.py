@@ -144,6 +144,20 @@ def test_job_steps():
     assert jobs.advance(None, 5, [], 10**9, 1) == (None, 5, [])
 
 
+def test_job_state_is_read_and_written_once():
+    """A step of a key costs one read and one write of its state, however many events it holds: each is a trip to the JVM."""
+    from types import SimpleNamespace
+
+    calls, held = [], []
+    value = SimpleNamespace(exists=lambda: calls.append("exists") or bool(held), get=lambda: calls.append("get") or (held[-1] if held else None), update=lambda x: calls.append("update") or held.append(x))
+    states = jobs.JobStates(1000)
+    states.init(SimpleNamespace(getValueState=lambda *a: value, registerTimer=lambda at: calls.append(f"timer {at}")))
+    assert list(states._step(("a",), [(100, "QUEUED"), (50, "FACT_EXTRACTION")], 0)) == [] and calls == ["get", "update", "timer 51"]
+    calls.clear()
+    (out,) = states._step(("a",), [(2000, "COMPLETED")], 5000)
+    assert calls == ["get", "update"] and out[["key", "job", "stage", "started", "ended", "stalled"]].values.tolist() == [["a", 1, "QUEUED", 50, 1100, True], ["a", 2, "COMPLETED", 2000, 2000, False]]
+
+
 def test_stream_helpers(spark, tmp_path):
     spark.createDataFrame([("h", "QUEUED"), ("h", "QUEUED"), ("g", "DONE")], "file_hash string, stage string").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000))).coalesce(1).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema("file_hash string, stage string, ts timestamp").parquet(str(tmp_path / "in"))
