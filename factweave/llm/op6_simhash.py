@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .common import bounded_batches, collected, documents, materialize, release, row_key, utf8
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -290,9 +291,10 @@ def similar(docs: DataFrame, shingle: int, least: float) -> DataFrame:
 
     def verify(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.unique(gram_hashes(x, shingle)), np.unique(gram_hashes(y, shingle))
+            keep, texts = [], [b.column(i).to_pylist() for i in (2, 3)]
+            sets = {x: np.unique(gram_hashes(x, shingle)) for x in {*texts[0], *texts[1]}}
+            for x, y in zip(*texts, strict=True):
+                x, y = sets[x], sets[y]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
@@ -302,7 +304,7 @@ def similar(docs: DataFrame, shingle: int, least: float) -> DataFrame:
         one = nodes.join(wanted, "fp", "left_semi").select("fp", F.col("first.k").alias("k"))
         texts = materialize(data.join(one, "k").dropDuplicates(["fp"]).select("fp", "data"), "texts")
         left, right = texts.select(F.col("fp").alias("a"), F.col("data").alias("x")), texts.select(F.col("fp").alias("b"), F.col("data").alias("y"))
-        edges = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
+        edges = materialize(spread(pairs).join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
         release(pairs, texts)
         return edges
 
