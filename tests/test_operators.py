@@ -368,3 +368,19 @@ def test_sources(spark, tmp_path):
     html = "<h1>Title</h1><p>Some text.<table><tr><th>Metric</th><th>FY24</th></tr><tr><td>Revenue</td><td>100</td></tr></table><script>no</script><ul><li>one</ul>"
     rows = html_blocks(spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")).orderBy("block_index").collect()
     assert [(r.block_type, r.text) for r in rows] == [("heading", "Title"), ("text", "Some text."), ("table", table_text(["Metric", "FY24"], [["Revenue", "100"]])), ("list", "one")]
+
+
+def test_ratio_is_left_out_where_no_common_subsequence_allows_it(monkeypatch):
+    """Unlike texts of equal letters are never given to difflib; what is left out could not exceed the threshold."""
+    rng, tried, plain = random.Random(2), [], difflib.SequenceMatcher
+    monkeypatch.setattr(ground.difflib, "SequenceMatcher", lambda *a: tried.append(a) or plain(*a))
+    base = list("the quick brown fox jumps over the lazy dog and runs away " * 5)
+    for n in range(60):
+        a, b = base[:], base[: rng.randint(100, len(base))]
+        rng.shuffle(a) if n % 2 else [a.insert(rng.randrange(len(a)), "z") for _ in range(n)]
+        if n % 2:
+            rng.shuffle(b)
+        a, b = "".join(a), "".join(b)
+        want, got = plain(None, a, b).ratio(), ground.exact_ratio(a, b, 0.65)
+        assert got == want or (got is None and want <= 0.65)
+    assert 0 < len(tried) <= 30 and ground.common("abcbdab", "bdcaba") == 4 and ground.exact_ratio(None, "a", 0.65) is None and ground.exact_ratio("", "a", 0.65) is None
