@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
-from ..functions.text import any_of, strip
+from ..functions.text import any_of, bind, strip
 
 _SIDES = ("subject", "predicate", "raw_value", "normalized_value", "unit", "scope", "time_label")
 
@@ -23,25 +23,30 @@ def with_sides(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return pairs.join(a, pairs.target == a.a_id).join(b, pairs.candidate == b.b_id)
 
 
-def relationship() -> Column:
-    """struct<type, confidence, explanation, dimensions, tier, metadata> of a pair with sides a and b; null if undecided."""
-    a, b = ({c: F.col(f"{x}_{c}") for c in _SIDES} for x in "ab")
+def plain(x: str) -> Column:
+    """struct<s, p, t, c, u, x>: subject, predicate, period, scope, unit and text of a side as they are compared."""
+    a = {c: F.col(f"{x}_{c}") for c in _SIDES}
+
+    def low(c: Column) -> Column:
+        return F.lower(strip(c))
 
-    def low(x: Column) -> Column:
-        return F.lower(strip(x))
+    scope = low(F.when(F.coalesce(a["scope"], F.lit("")) == "", "global").otherwise(a["scope"]))
+    time, unit = (F.upper(strip(F.coalesce(a[c], F.lit("")))) for c in ("time_label", "unit"))
+    return F.struct(low(a["subject"]).alias("s"), low(a["predicate"]).alias("p"), time.alias("t"), scope.alias("c"), unit.alias("u"), low(a["raw_value"]).alias("x"))
 
-    sa, sb, pa, pb = low(a["subject"]), low(b["subject"]), low(a["predicate"]), low(b["predicate"])
+
+def relationship() -> Column:
+    """struct<type, confidence, explanation, dimensions, tier, metadata> of a pair with sides a and b and these sides' ``plain`` in _a and _b; null if undecided."""
+    a, b = ({c: F.col(f"{x}_{c}") for c in _SIDES} for x in "ab")
+    (sa, pa, ta, ca, ua, xa), (sb, pb, tb, cb, ub, xb) = ([F.col(f"_{x}")[c] for c in ("s", "p", "t", "c", "u", "x")] for x in "ab")
     institutions = pa.isin(V.MACRO_METRICS) & any_of(sa, V.MACRO_INSTITUTIONS) & any_of(sb, V.MACRO_INSTITUTIONS)
     comparable = (pa == pb) & ((sa == sb) | sb.contains(sa) | sa.contains(sb) | institutions)
-    ta, tb = (F.upper(strip(F.coalesce(x["time_label"], F.lit("")))) for x in (a, b))
     other_time = (ta != "") & (tb != "") & (ta != tb)
-    ca, cb = (low(F.when(F.coalesce(x["scope"], F.lit("")) == "", "global").otherwise(x["scope"])) for x in (a, b))
     other_scope = (ca != cb) & (ca != "unspecified") & (cb != "unspecified")
-    ua, ub = (F.upper(strip(F.coalesce(x["unit"], F.lit("")))) for x in (a, b))
     va, vb = a["normalized_value"], b["normalized_value"]
     numeric = va.isNotNull() & vb.isNotNull() & ((ua == ub) | (ua == "") | (ub == ""))
     gap = F.abs(va - vb) / F.greatest(F.abs(va), F.abs(vb), F.lit(1e-9))
-    same_text = low(a["raw_value"]) == low(b["raw_value"])
+    same_text = xa == xb
 
     def said(template: str, *values: Column) -> Column:
         return F.format_string(template, *[F.coalesce(v, F.lit("None")) for v in values])
@@ -69,7 +74,7 @@ def relationship() -> Column:
 
 def tier1(sided: DataFrame) -> DataFrame:
     """Pairs with their relationship in ``r``; null where a judge has to decide."""
-    return sided.withColumn("r", relationship())
+    return bind(bind(sided, _a=plain("a"), _b=plain("b")), r=relationship()).drop("_a", "_b")
 
 
 def tier3(undecided: DataFrame, judge) -> DataFrame:

@@ -177,6 +177,16 @@ def test_tiles_leave_no_better_item_out(monkeypatch, incremental):
     assert got == sorted(want) and len(got) > 150
 
 
+def test_sides_are_normalised_once_a_pair(spark):
+    """Whatever reads the relationship: six names of each side, not one for each use."""
+    f = facts(spark, [("f1", "d1", 1, " A ", "revenue", "1", 1.0, None, "FY1", None), ("f2", "d2", 2, "a", "Revenue", "1", 1.0, None, "fy1 ", None)])
+    p = spark.createDataFrame([("f2", "f1")], "target string, candidate string")
+    out = resolve.stored(resolve.tier1(resolve.with_sides(p, f))).select("fact_a_id", "relationship_type", "confidence")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 2 * 6
+    assert [tuple(r) for r in out.collect()] == [("f2", "CORROBORATES", 0.98)]
+
+
 def test_existing_edges_are_left_out(spark):
     p = spark.createDataFrame([("a", "b", 0.5, 1), ("b", "a", 0.5, 2), ("a", "c", 0.4, 2)], "target string, candidate string, score double, rank int")
     have = spark.createDataFrame([("c", "a")], "fact_a_id string, fact_b_id string")
